@@ -233,7 +233,7 @@ def normalize_band(
 def tier_prices(df: DataFrame, rates: DataFrame, key: str, price: str, discounts: dict[str, float]) -> DataFrame:
     """Add the converted price and a struct of tier prices; ``rates`` holds (key, rate)."""
     converted = F.col(price) * F.coalesce(F.col("rate"), F.lit(1.0))
-    tiers = F.struct(*[F.round(F.col("converted") * (1 - d), 2).alias(name) for name, d in discounts.items()])
+    tiers = F.struct(*[(F.col("converted") * (1 - d)).alias(name) for name, d in discounts.items()])
     return df.join(rates.select(key, "rate"), key, "left").withColumn("converted", converted).withColumn("prices", tiers)
 
 

@@ -9,6 +9,7 @@ from corpusworks import fixed
 from corpusworks.functions import text as T
 from corpusworks.functions.draws import draw, uniform_choice
 from corpusworks.operators.numbering import dense_positions
+from corpusworks.session import materialise
 
 
 def construct_schedule(needs: DataFrame, seed: int | str, by: str = "adapter", need: str = "need") -> DataFrame:
@@ -65,8 +66,9 @@ def split_train_val(
 
     Copies are counted first (partial counts before the shuffle, keys instead of texts). Prompt
     groups are then taken in drawn order until n_val rows are reached; a prompt with more than
-    n_val copies always trains. At most n_val prompt groups per ``by`` value are ever needed, so
-    the chosen list is bounded and broadcast; the texts themselves are never shuffled.
+    n_val copies always trains. At most n_val prompt groups per ``by`` value are ever chosen. The
+    list is written out, so that the planner knows its size: it is broadcast while it is small, and
+    the texts are not shuffled then.
     """
     keyed = pairs.withColumn("_key", T.text_key(F.col(prompt)))
     groups = keyed.groupBy(by, "_key").agg(F.count("*").alias("_n")).where(F.col("_n") <= n_val)
@@ -80,9 +82,8 @@ def split_train_val(
         .where(F.col("_before") < n_val)
         .select(F.col(by).alias("_by"), F.col("_key").alias("_chosen"))
     )
-    matched = keyed.join(
-        F.broadcast(chosen), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_key") == F.col("_chosen")), "left"
-    )
+    chosen = materialise(chosen, "validation")
+    matched = keyed.join(chosen, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_key") == F.col("_chosen")), "left")
     split = F.when(F.col("_chosen").isNotNull(), "validation").otherwise("train")
     return matched.withColumn("split", split).drop("_key", "_by", "_chosen")
 

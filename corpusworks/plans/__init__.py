@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "check_queries"]
+MODULES = ["text_queries", "check_queries", "construct_queries", "corpus_queries", "index_queries", "stream_queries"]
 
 
 def _load() -> None:

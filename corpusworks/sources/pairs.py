@@ -49,18 +49,20 @@ def append_corrections(df: DataFrame, path: str) -> None:
     df.withColumn("adapter", F.col("metadata.adapter")).write.mode("append").partitionBy("adapter").json(path)
 
 
-def file_counts(spark: SparkSession, root: str, adapters: DataFrame) -> DataFrame:
-    """Rows per adapter and file kind (train, validation, corrections) below root; missing files
-    count 0. Both names of the validation file are understood."""
+def file_counts(
+    spark: SparkSession, pattern: str, adapters: DataFrame, layout: str = r"/([^/]+)/([^/]+)\.jsonl$"
+) -> DataFrame:
+    """Rows per adapter and file kind (train, validation, corrections) in the files that match the
+    pattern; missing files count 0. ``layout`` finds adapter and kind in a file path, and both
+    names of the validation file are understood."""
     kinds = F.array(*[F.lit(k) for k in ("train", "validation", "corrections")])
     grid = adapters.select("adapter", F.explode(kinds).alias("kind"))
-    pattern = f"{root}/*/*.jsonl"
     if not path_exists(spark, pattern):
         return grid.withColumn("rows", F.lit(0).cast("bigint"))
-    name = F.regexp_extract("_metadata.file_path", r"/([^/]+)/([^/]+)\.jsonl$", 2)
+    path = F.col("_metadata.file_path")
+    kind = F.regexp_extract(path, layout, 2)
     lines = spark.read.text(pattern).where(F.trim("value") != "").select(
-        F.regexp_extract("_metadata.file_path", r"/([^/]+)/([^/]+)\.jsonl$", 1).alias("adapter"),
-        F.when(name == "val", "validation").otherwise(name).alias("kind"),
+        F.regexp_extract(path, layout, 1).alias("adapter"), F.when(kind == "val", "validation").otherwise(kind).alias("kind")
     )
     counts = lines.groupBy("adapter", "kind").agg(F.count("*").alias("rows"))
     return grid.join(counts, ["adapter", "kind"], "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint")))
