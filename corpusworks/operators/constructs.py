@@ -141,7 +141,7 @@ def string_agg(
     A key with more than per_part values comes as numbered parts to be read in order; a key's
     rows are numbered by a spread sort, so no task holds a whole hot key.
     """
-    numbered = dense_positions(df.where(F.col(col).isNotNull()).select(*by, col, *order), order, by=by, name="_pos")
+    numbered = dense_positions(df.where(F.col(col).isNotNull()).select(*dict.fromkeys([*by, col, *order])), order, by=by, name="_pos")
     part = F.floor((F.col("_pos") - 1) / per_part).alias("part")
     values = F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("p"), F.col(col).cast("string").alias("v"))))
     return numbered.groupBy(*by, part).agg(

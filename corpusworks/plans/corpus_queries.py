@@ -470,7 +470,7 @@ def pairs_round_trip(spark, sf) -> DataFrame:
     """Write pairs as JSON lines, read them back."""
     path = scratch_path(spark, "pairs")
     P.write_pairs(as_metadata(spark, sf), path)
-    name = F.regexp_extract("_metadata.file_path", "split=([a-z]+)", 1)
+    name = F.regexp_extract("file", "split=([a-z]+)", 1)
     rows = P.read_lines(spark, path).where("_corrupt_record is null").withColumn("split", name)
     return rows.select(
         F.col("metadata.idx").cast("bigint").alias("idx"), "metadata.adapter", "split", F.md5("prompt").alias("prompt_digest"),

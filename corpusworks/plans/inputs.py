@@ -127,7 +127,7 @@ with edges as (
   union all
   select p_partkey, p_partkey - 7 from part where p_partkey % 5 = 0 and p_partkey > 7
   union all
-  select p_partkey, cast(0 as bigint) from part where p_partkey % 3 = 0 and p_partkey > 0
+  select p_partkey, p_partkey % 3 from part where p_partkey % 3 = 0 and p_partkey > 0
   union all
   select p_partkey - 1, p_partkey from part where p_partkey in (41, 77)
   union all
@@ -143,7 +143,7 @@ select {_numbered('f', '(2 * p_partkey + n)')} as id, {_numbered('m', 'p_partkey
        case when (p_partkey + n) % 7 = 0 then 'pipeline' when (p_partkey + n) % 5 = 0 then 'type' else 'function' end as kind,
        'BODY ' || p_name || ' ' || p_type || ' ' || cast(n as string) as body,
        (p_partkey + n) % 4 = 0 as dirty, cast(50 + p_size % 50 as double) / 100 as confidence
-from part cross join (select 0 as n union all select 1 as n) k
+from (select *, 0 as n from part union all select *, 1 as n from part) p
 """
 
 # One source file per part: a module header, a function, a pipeline, a type and a patch.

@@ -20,21 +20,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every non-blank line with its fields; lines that are not JSON objects fill _corrupt_record."""
+    """Every non-blank line with its fields; lines that are not JSON objects fill _corrupt_record.
+
+    Lines are read as text and parsed by an expression, so that counts and filters on the corrupt
+    column alone work as on any other.
+    """
     schema = f"{PAIRS}, {CORRUPT} string"
     if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        return spark.createDataFrame([], f"{schema}, file string")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(parsed.alias("row"), F.col("_metadata.file_path").alias("file")).select("row.*", "file")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Readable lines only; a missing path gives no rows. Missing keys are null."""
-    return read_lines(spark, path).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return read_lines(spark, path).where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file")
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines read_pairs leaves out. Needs a data column beside the raw line, so one is carried."""
-    return read_lines(spark, path).where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), "system").drop("system")
+    """Lines read_pairs leaves out."""
+    return read_lines(spark, path).where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
 
 
 def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
