@@ -122,8 +122,11 @@ def token_estimate(text: Column) -> Column:
 
 
 def normalised(col: Column) -> Column:
-    """Prompt text as compared for duplicates: outer blanks removed, inner runs of blanks made one."""
-    return F.regexp_replace(strip(col), rf"{SPACE}+", " ")
+    """Prompt text as compared for duplicates: outer blanks removed, inner runs of blanks made one.
+
+    A single plain space is a run already in its final form, so the pattern leaves it alone.
+    """
+    return F.regexp_replace(strip(col), rf" {SPACE}+|(?! ){SPACE}{SPACE}*", " ")
 
 
 def text_key(col: Column) -> Column:

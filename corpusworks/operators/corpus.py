@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusworks import fixed
 from corpusworks.functions import text as T
-from corpusworks.operators.routing import sized, with_tier
+from corpusworks.operators.routing import with_tier
 
 
 def _keys(pairs: DataFrame, by: list[str], prompt: str) -> DataFrame:
@@ -33,6 +33,17 @@ def without_leakage(train: DataFrame, valid: DataFrame, by: list[str] = (), prom
     return keyed.join(_keys(valid, by, prompt), [*by, "prompt_key"], "left_anti").drop("prompt_key")
 
 
+def split_leakage(pairs: DataFrame, by: str = "adapter", prompt: str = "prompt") -> DataFrame:
+    """Distinct prompts per group and how many of them are on both sides of ``split``: one pass over
+    the texts, one shuffle of keys."""
+    keys = pairs.groupBy(by, T.text_key(F.col(prompt)).alias("prompt_key")).agg(
+        F.max(F.col("split") == "train").alias("_train"), F.max(F.col("split") == "validation").alias("_valid")
+    )
+    return keys.groupBy(by).agg(
+        F.count("*").alias("prompts"), F.count_if(F.col("_train") & F.col("_valid")).alias("leaked")
+    )
+
+
 def duplicate_prompts(pairs: DataFrame, key: str = "idx", prompt: str = "prompt") -> DataFrame:
     """Prompts that occur more than once: key, copies and the first row."""
     groups = pairs.groupBy(T.text_key(F.col(prompt)).alias("prompt_key")).agg(
@@ -200,7 +211,7 @@ def adapter_readiness(
     covered = (
         construct_coverage(pairs).groupBy("adapter").agg(F.min(F.col("have") > 0).alias("all_constructs"))
     )
-    limits = sized(catalog.select(F.col("profile").alias("adapter"), "threshold"))
+    limits = catalog.select(F.col("profile").alias("adapter"), "threshold")
     return (
         limits.join(counts, "adapter", "left")
         .join(covered, "adapter", "left")

@@ -61,7 +61,8 @@ def index_modules(index: Index, modules: DataFrame, blocks: DataFrame, now: Colu
     fresh = fresh.withColumns({"dirty": F.lit(True), "body_hash": body_hash(F.col("body")), "indexed_at": now})
     new_blocks = upsert(index.blocks, _same_columns(fresh, index.blocks), "id")
 
-    stale = fresh.select(F.col("module_id").alias("id")).distinct().withColumn("_stale", F.lit(True))
+    # Read several times below; written once.
+    stale = materialise(fresh.select(F.col("module_id").alias("id")).distinct(), "stale").withColumn("_stale", F.lit(True))
     previous = index.modules.select("id", F.col("dirty").alias("_was"))
     rows = modules.join(stale, "id", "left").join(previous, "id", "left")
     # A module seen for the first time is dirty, otherwise its own blocks decide.
@@ -80,42 +81,51 @@ def _same_columns(rows: DataFrame, like: DataFrame) -> DataFrame:
     )
 
 
+# Steps taken per written round: fewer jobs on deep graphs, at most this many steps to repeat
+# when an executor is lost.
+STEPS = 4
+
+
 def dependents(
     deps: DataFrame, modules: DataFrame, seeds: DataFrame, stop_at_dirty: bool = False, per: list[str] = ()
 ) -> DataFrame:
-    """All modules that transitively require a seed, seeds included, with the round that found them.
-
-    ``per`` names extra seed columns that keep separate closures apart. Each round joins the new
-    modules to the edges once, drops those already seen and writes the rest to the shared folder:
-    lineage stays short, lost executors cost one round, and the planner sees the true size of the
-    frontier, so it broadcasts small ones and shuffles large ones. Unknown modules are skipped;
-    cycles end because nothing is visited twice. With stop_at_dirty, modules that are dirty
-    already are neither reported nor passed through.
+    """All modules that transitively require a seed, seeds included, with their distance in steps.
+
+    ``per`` names extra seed columns that keep separate closures apart. A round takes STEPS steps
+    from the latest modules along the edges, leaves out what earlier rounds saw and writes the rest
+    to the shared folder: lineage stays short, lost executors cost one round, and the planner sees
+    the true size of the frontier, so it broadcasts small ones and shuffles large ones. Unknown
+    modules are skipped; cycles end because no round expands what an earlier one saw. With
+    stop_at_dirty, modules that are dirty already are neither reported nor passed through.
     """
     spark = deps.sparkSession
     reachable = modules.where(~F.col("dirty")) if stop_at_dirty else modules
     edges = deps.join(reachable.select(F.col("id").alias("from_module")), "from_module", "left_semi")
     edges = materialise(edges.select("from_module", "to_module"), "edges")
     keys = [*per, "id"]
-    schema = seeds.select(*keys).schema
+    schema = StructType([*seeds.select(*keys).schema.fields, StructField("distance", IntegerType())])
     folder = scratch_path(spark, "closure")
-    frontier = seeds.select(*keys).distinct()
+    found, distance = seeds.select(*keys).distinct().withColumn("distance", F.lit(0)), 0
     paths: list[str] = []
     while True:
-        path = f"{folder}/round={len(paths)}"
+        paths.append(f"{folder}/round={len(paths)}")
         seen = Observation()
-        frontier.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        if seen.get["n"] == 0:
-            break
-        paths.append(path)
-        latest = spark.read.schema(schema).parquet(path)
+        found.observe(seen, F.count_if(F.col("distance") == distance).alias("n")).write.parquet(paths[-1])
         visited = spark.read.schema(schema).parquet(*paths)
-        step = edges.join(latest.withColumnRenamed("id", "to_module"), "to_module")
-        frontier = step.select(*per, F.col("from_module").alias("id")).distinct().join(visited, keys, "left_anti")
-    if not paths:
-        return seeds.select(*keys).limit(0).withColumn("round", F.lit(0))
-    with_round = StructType([*schema.fields, StructField("round", IntegerType())])
-    return spark.read.schema(with_round).option("basePath", folder).parquet(*paths)
+        if seen.get["n"] == 0:
+            return visited
+        layer = spark.read.schema(schema).parquet(paths[-1]).where(F.col("distance") == distance).select(*keys)
+        steps = []
+        for _ in range(STEPS):
+            distance += 1
+            step = edges.join(layer.withColumnRenamed("id", "to_module"), "to_module")
+            step = step.select(*per, F.col("from_module").alias("id")).distinct()
+            layer = step.join(visited.select(*keys), keys, "left_anti")
+            steps.append(layer.withColumn("distance", F.lit(distance)))
+        together = steps[0]
+        for step in steps[1:]:
+            together = together.unionByName(step)
+        found = together.groupBy(*keys).agg(F.min("distance").alias("distance"))
 
 
 def _flag(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -190,9 +200,7 @@ def dirty_nodes(index: Index) -> DataFrame:
 
 def build_plan(index: Index, catalog: DataFrame) -> DataFrame:
     """The work list: dirty blocks with the adapter their profile routes to."""
-    from corpusworks.operators.routing import sized
-
-    adapters = sized(catalog.select("profile", "phase", "adapter_id"))
+    adapters = catalog.select("profile", "phase", "adapter_id")
     return dirty_nodes(index).join(adapters, "profile", "left").orderBy("module_id", "block_id")
 
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from corpusworks import fixed
 
-# A catalog beyond this many profiles is joined by shuffle instead of broadcast.
-BROADCAST_PROFILES = 100_000
-
 
 def default_catalog(spark: SparkSession, repo: str = "") -> DataFrame:
-    """The catalog of fixed values as a table: profile, phase, threshold, pairs, adapter_id, base_model."""
-    rows = spark.createDataFrame(fixed.PROFILES, "profile string, phase int, threshold double, pairs bigint")
+    """The catalog of fixed values as a table: profile, phase, threshold, pairs, adapter_id, base_model.
+
+    A literal table has a known size, as files have: joins below carry no hints, and the planner
+    broadcasts a catalog as long as that size is within its threshold.
+    """
+    values = ", ".join(f"('{p}', {phase}, {threshold}D, {pairs}L)" for p, phase, threshold, pairs in fixed.PROFILES)
+    rows = spark.sql(f"select * from values {values} as catalog(profile, phase, threshold, pairs)")
     return with_adapter_ids(rows, F.lit(repo), F.lit(fixed.BASE_MODEL))
 
 
@@ -23,12 +25,6 @@ def with_adapter_ids(rows: DataFrame, repo: Column, base_model: Column) -> DataF
     return rows.withColumns({"adapter_id": adapter_id, "base_model": base_model})
 
 
-def sized(catalog: DataFrame) -> DataFrame:
-    """Mark a catalog for broadcast only after its row count was checked."""
-    few = catalog.limit(BROADCAST_PROFILES + 1).count() <= BROADCAST_PROFILES
-    return F.broadcast(catalog) if few else catalog
-
-
 def route(df: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(routed, rejected): rows with the catalog entry of their profile, and rows without one.
 
@@ -37,21 +33,20 @@ def route(df: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = catalog.agg(
         F.concat_ws(", ", F.sort_array(F.collect_list("profile"))).alias("_known"), F.count("*").alias("_count")
     )
-    small = sized(catalog)
-    routed = df.join(small, "profile")
+    routed = df.join(catalog, "profile")
     empty = F.coalesce(F.col("profile"), F.lit("")) == ""
     message = F.when(empty, "profile must not be empty").otherwise(
         F.format_string(
             "Unknown profile '%s'. Known profiles (%d): %s", F.col("profile"), F.col("_count"), F.col("_known")
         )
     )
-    rejected = df.join(small.select("profile"), "profile", "left_anti").join(F.broadcast(known))
+    rejected = df.join(catalog.select("profile"), "profile", "left_anti").join(F.broadcast(known))
     return routed, rejected.withColumn("error", message).drop("_known", "_count")
 
 
 def known_profile(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows whose profile the catalog does not know."""
-    return df.join(sized(catalog.select("profile")), "profile", "left_anti")
+    return df.join(catalog.select("profile"), "profile", "left_anti")
 
 
 def unused_profiles(df: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -80,7 +75,7 @@ def adapters_by_phase(catalog: DataFrame) -> DataFrame:
 
 
 def is_trained(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    flags = sized(catalog.select("profile", (F.col("pairs") > 0).alias("trained")))
+    flags = catalog.select("profile", (F.col("pairs") > 0).alias("trained"))
     return df.join(flags, "profile", "left").withColumn("trained", F.coalesce("trained", F.lit(False)))
 
 
@@ -115,5 +110,5 @@ def retry_budget(df: DataFrame, attempts: str = "attempt", profile: str = "profi
 
 def against_threshold(rates: DataFrame, catalog: DataFrame, rate: str = "pass_rate") -> DataFrame:
     """Add the catalog threshold and whether the rate meets it."""
-    limits = sized(catalog.select("profile", "threshold"))
+    limits = catalog.select("profile", "threshold")
     return rates.join(limits, "profile", "left").withColumn("meets", F.col(rate) >= F.col("threshold"))

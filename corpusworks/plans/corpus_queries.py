@@ -167,11 +167,21 @@ def leakage(spark, sf) -> DataFrame:
 )
 def leakage_after_split(spark, sf) -> DataFrame:
     """Prompts per adapter and how many of them are on both sides of the split."""
-    rows = split_pairs(spark, sf)
-    both = G.leaked_keys(rows.where("split = 'train'"), rows.where("split = 'validation'"), ["adapter"])
-    leaked = both.groupBy("adapter").agg(F.count("*").alias("leaked"))
-    prompts = rows.select("adapter", T.text_key(F.col("prompt")).alias("k")).distinct().groupBy("adapter").agg(F.count("*").alias("prompts"))
-    return prompts.join(leaked, "adapter", "left").withColumn("leaked", F.coalesce("leaked", F.lit(0).cast("bigint")))
+    return G.split_leakage(split_pairs(spark, sf))
+
+
+@register(
+    "leaked_keys",
+    f"select distinct {key_sql('text')} as prompt_key from documents where {key_sql('text')} in (select {key_sql('text')} from documents where lang = 'fr') and lang <> 'fr' "
+    f"union select {key_sql('text')} from benchmark",
+)
+def leaked_keys(spark, sf) -> DataFrame:
+    """Keys common to two sets of texts: other languages with French, and the held-out items, which both sets hold."""
+    docs = table(spark, sf, "documents").withColumnRenamed("text", "prompt")
+    items = table(spark, sf, "benchmark").select(F.col("text").alias("prompt"))
+    french = docs.where("lang = 'fr'").select("prompt").unionByName(items)
+    others = docs.where("lang <> 'fr'").select("prompt").unionByName(items)
+    return G.leaked_keys(others, french)
 
 
 @register(

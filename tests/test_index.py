@@ -113,7 +113,7 @@ def graph(spark):
 
 def test_cycle_unknown_and_dirty_path(spark, graph):
     deps, modules = graph
-    reached = {r.id: r["round"] for r in I.dependents(deps, modules, ids(spark, "a")).collect()}
+    reached = {r.id: r.distance for r in I.dependents(deps, modules, ids(spark, "a")).collect()}
     assert reached == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 3, "f": 4}
     stopped = {r.id for r in I.dependents(deps, modules, ids(spark, "a"), stop_at_dirty=True).collect()}
     assert stopped == {"a"}
