@@ -188,7 +188,9 @@ def phase_status(status: DataFrame) -> DataFrame:
 
 def length_profile(pairs: DataFrame, text: str = "text", max_tokens: int = fixed.MAX_TOKENS) -> DataFrame:
     """Length distribution per adapter; the percentile is an approximation with bounded memory."""
-    sized_rows = pairs.select("adapter", F.length(text).alias("chars"), T.token_estimate(F.col(text)).alias("tokens"))
+    sized_rows = pairs.select(
+        "adapter", F.length(text).cast("bigint").alias("chars"), T.token_estimate(F.col(text)).cast("bigint").alias("tokens")
+    )
     return sized_rows.groupBy("adapter").agg(
         F.count("*").alias("n"),
         F.min("chars").alias("min_chars"),

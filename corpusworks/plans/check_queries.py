@@ -277,7 +277,7 @@ def validate_rules(spark, sf) -> DataFrame:
     "validation_summary",
     f"""with {JUDGED} select doc_id, 'Validation ' || case when passed then 'PASSED' else 'FAILED' end || ' (' ||
         (t2::int + t3::int + t4::int + t5::int + t6::int + t7::int)::varchar || '/6 checks)' as headline,
-        7 + (not t2)::int + (not t3)::int + (not t4)::int + (not t6)::int + (not t7)::int as lines from final""",
+        7 + (not t2)::int + (not t3)::int + (not t4)::int + (not t6)::int + (not t7)::int::bigint as lines from final""",
     ["compiled"],
 )
 def validation_summary(spark, sf) -> DataFrame:

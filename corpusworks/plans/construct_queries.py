@@ -490,13 +490,13 @@ def scalar_functions(spark, sf) -> DataFrame:
 @register(
     "date_functions",
     """select o_orderkey, year(o_orderdate)::int as y, month(o_orderdate)::int as m, date_trunc('month', o_orderdate)::timestamp as month_start,
-       o_orderdate + interval 30 days as due, o_orderdate::date as day from orders""",
+       o_orderdate + interval 30 days as due, strftime(o_orderdate, '%Y-%m-%d') as day from orders""",
 )
 def date_functions(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").select(
         "o_orderkey", F.extract(F.lit("YEAR"), "o_orderdate").alias("y"), F.extract(F.lit("MONTH"), "o_orderdate").alias("m"),
         F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month_start"),
-        (F.col("o_orderdate") + F.expr("interval 30 days")).alias("due"), F.to_date("o_orderdate").alias("day"),
+        (F.col("o_orderdate") + F.expr("interval 30 days")).alias("due"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
     )
 
 

@@ -144,7 +144,9 @@ def first_occurrence(spark, sf) -> DataFrame:
 )
 def top_k_per_group(spark, sf) -> DataFrame:
     sized = view(spark, sf, "pairs").select("adapter", "idx", F.length("prompt").alias("n"))
-    return W.top_k_per_group(sized, ["adapter"], [F.desc("n"), F.asc("idx")], 7).select("adapter", "idx", "rank")
+    return W.top_k_per_group(sized, ["adapter"], [F.desc("n"), F.asc("idx")], 7).select(
+        "adapter", "idx", F.col("rank").cast("bigint").alias("rank")
+    )
 
 
 # --- leakage and duplicates ------------------------------------------------------------------------------------
@@ -215,7 +217,7 @@ def category_mix(spark, sf) -> DataFrame:
     return G.category_mix(view(spark, sf, "pairs"))
 
 
-GRID = f"""select adapter, construct, case when construct in ('PARALLEL', 'FALLBACK', 'TRANSACTION') then 100 else 50 end as needed
+GRID = f"""select adapter, construct, case when construct in ('PARALLEL', 'FALLBACK', 'TRANSACTION') then 100 else 50 end::bigint as needed
     from (select distinct adapter from pairs) a cross join (select unnest({list_sql(fixed.CONSTRUCTS)}) as construct) c"""
 
 
@@ -314,9 +316,10 @@ def catalog_with_use(spark, sf) -> DataFrame:
 USED = f"(select profile, phase, threshold, count(idx) as pairs from {CATALOG_SQL} left join pairs on adapter = profile group by 1, 2, 3)"
 
 
-@register("phase_totals", f"select phase, profile, sum(pairs)::bigint as pairs from {USED} u group by rollup (phase, profile)", ["compiled", "pairs"])
+@register("phase_totals", f"select coalesce(phase, -1) as phase, coalesce(profile, 'all') as profile, sum(pairs)::bigint as pairs from {USED} u group by rollup (phase, profile)", ["compiled", "pairs"])
 def phase_totals(spark, sf) -> DataFrame:
-    return G.phase_totals(catalog_with_use(spark, sf))
+    totals = G.phase_totals(catalog_with_use(spark, sf))
+    return totals.withColumns({"phase": F.coalesce("phase", F.lit(-1)), "profile": F.coalesce("profile", F.lit("all"))})
 
 
 @register(
@@ -393,14 +396,15 @@ def assemble_outputs(spark, sf) -> DataFrame:
 @register(
     "route",
     f"select id, profile, phase, threshold, pairs, profile as adapter_id, '{fixed.BASE_MODEL}' as base_model, '' as error from modules join {CATALOG_SQL} using (profile) "
-    f"union all select id, profile, null, null, null, null, null, 'Unknown profile ''' || profile || '''. Known profiles (24): {', '.join(sorted(r[0] for r in fixed.PROFILES))}' "
+    f"union all select id, profile, -1, null, -1, null, null, 'Unknown profile ''' || profile || '''. Known profiles (24): {', '.join(sorted(r[0] for r in fixed.PROFILES))}' "
     f"from modules where profile not in (select profile from {CATALOG_SQL})",
     ["modules"],
 )
 def route(spark, sf) -> DataFrame:
     routed, rejected = J.route(view(spark, sf, "modules").select("id", "profile"), J.default_catalog(spark))
     good = routed.withColumn("error", F.lit(""))
-    return good.unionByName(rejected, allowMissingColumns=True)
+    both = good.unionByName(rejected, allowMissingColumns=True)
+    return both.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("phase", "pairs")})
 
 
 @register("known_profile", f"select id, profile from modules where profile not in (select profile from {CATALOG_SQL})", ["modules"])
@@ -457,11 +461,13 @@ def is_trained(spark, sf) -> DataFrame:
 
 @register(
     "language_tiers",
-    f"select id, tier, budget as retry_budget, rate as required_rate, cap as escalation_limit from modules left join {TIER_SQL} on language = split_part(profile, '_', 1)",
+    f"select id, tier, coalesce(budget, -1) as retry_budget, rate as required_rate, cap as escalation_limit from modules left join {TIER_SQL} on language = split_part(profile, '_', 1)",
     ["modules"],
 )
 def language_tiers(spark, sf) -> DataFrame:
-    return J.with_tier(view(spark, sf, "modules")).select("id", "tier", "retry_budget", "required_rate", "escalation_limit")
+    return J.with_tier(view(spark, sf, "modules")).select(
+        "id", "tier", F.coalesce("retry_budget", F.lit(-1)).alias("retry_budget"), "required_rate", "escalation_limit"
+    )
 
 
 # --- files ---------------------------------------------------------------------------------------------------------------

@@ -192,11 +192,11 @@ def dirty_nodes(spark, sf) -> DataFrame:
 
 @register(
     "build_plan",
-    f"select b.id as block_id, module_id, b.name, kind, m.profile, phase, case when phase is not null then m.profile end as adapter_id from blocks b join modules m on m.id = module_id left join {CATALOG_SQL} on cat.profile = m.profile where b.dirty",
+    f"select b.id as block_id, module_id, b.name, kind, m.profile, coalesce(phase, -1) as phase, case when phase is not null then m.profile end as adapter_id from blocks b join modules m on m.id = module_id left join {CATALOG_SQL} on cat.profile = m.profile where b.dirty",
     VIEWS,
 )
 def build_plan(spark, sf) -> DataFrame:
-    return I.build_plan(base(spark, sf), J.default_catalog(spark))
+    return I.build_plan(base(spark, sf), J.default_catalog(spark)).withColumn("phase", F.coalesce("phase", F.lit(-1)))
 
 
 @register("index_stats", "select (select count(*) from modules) as modules, count(*) as blocks, count(*) filter (where dirty) as dirty_blocks from blocks", VIEWS)

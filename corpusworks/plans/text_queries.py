@@ -388,7 +388,7 @@ def render_request(spark, sf) -> DataFrame:
 @register(
     "project_fields",
     "select l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) * (1 + l_tax) as charge, "
-    "l_shipdate::date as ship_day from lineitem",
+    "strftime(l_shipdate, '%Y-%m-%d') as ship_day from lineitem",
 )
 def project_fields(spark, sf) -> DataFrame:
     lines = table(spark, sf, "lineitem")
@@ -396,7 +396,7 @@ def project_fields(spark, sf) -> DataFrame:
     dropped = [
         "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ]
-    return R.project_fields(lines, {"charge": charge, "ship_day": F.to_date("l_shipdate")}, dropped)
+    return R.project_fields(lines, {"charge": charge, "ship_day": F.date_format("l_shipdate", "yyyy-MM-dd")}, dropped)
 
 
 # --- source files -----------------------------------------------------------------------------------
