@@ -47,7 +47,8 @@ def _search(code: Column, folded: Column, words: list[str], pattern: str) -> Col
 
 # --- gates on blocks and completions ----------------------------------------------------------
 def block_reason(col: Column) -> Column:
-    """'ok', or why the text does not look like a block; the first reason wins."""
+    """'ok', or why the text does not look like a block; the first reason wins. Null is empty text."""
+    col = F.coalesce(col, F.lit(""))
     header = given(strip(col), lambda text: _any_of(fixed.BLOCK_KEYWORDS, text))
     return (
         F.when(~header, fixed.NO_HEADER)
@@ -58,7 +59,8 @@ def block_reason(col: Column) -> Column:
 
 
 def completion_reason(col: Column) -> Column:
-    """'ok', or why the compiled text may not enter a corpus; the first reason wins."""
+    """'ok', or why the compiled text may not enter a corpus; the first reason wins. Null is empty text."""
+    col = F.coalesce(col, F.lit(""))
     reason = F.when(~col.contains(fixed.BEGIN_TAG), fixed.NO_BEGIN_MARKER).when(
         ~col.contains(fixed.END_TAG), fixed.NO_END_MARKER
     )
@@ -220,8 +222,11 @@ CSS_RULE = rf"(?:{WORD}|-){SPACE}*\{{"
 
 
 def check_sentinel(code: Column, block_id: Column) -> Column:
+    block_id = F.coalesce(block_id, F.lit(""))
+
     def marker(tag: str) -> Column:
-        return F.regexp_like(code, F.concat(F.lit(rf"(?iu){tag}{SPACE}+\[id=\Q"), block_id, F.lit(r"\E\]")))
+        found = F.regexp_like(code, F.concat(F.lit(rf"(?iu){tag}{SPACE}+\[id=\Q"), block_id, F.lit(r"\E\]")))
+        return F.coalesce(found, F.lit(False))
 
     missing = F.concat_ws(
         ", ",
@@ -258,7 +263,10 @@ def mentions(code: Column, names: Column) -> Column:
 
 
 def unmapped_preconditions(code: Column, preconditions: Column) -> Column:
-    return F.filter(preconditions, lambda e: ~mentions(code, identifiers(e, fixed.GUARD_STOP_WORDS)))
+    def is_open(expression: Column) -> Column:
+        return ~F.coalesce(mentions(code, identifiers(expression, fixed.GUARD_STOP_WORDS)), F.lit(False))
+
+    return F.filter(preconditions, is_open)
 
 
 def unmapped_postconditions(code: Column, postconditions: Column) -> Column:

@@ -46,7 +46,7 @@ def split_leakage(pairs: DataFrame, by: str = "adapter", prompt: str = "prompt")
 
 def duplicate_prompts(pairs: DataFrame, key: str = "idx", prompt: str = "prompt") -> DataFrame:
     """Prompts that occur more than once: key, copies and the first row."""
-    groups = pairs.groupBy(T.text_key(F.col(prompt)).alias("prompt_key")).agg(
+    groups = pairs.where(F.col(prompt).isNotNull()).groupBy(T.text_key(F.col(prompt)).alias("prompt_key")).agg(
         F.count("*").alias("copies"), F.min(key).alias("first_row")
     )
     return groups.where("copies > 1")

@@ -64,22 +64,27 @@ def split_train_val(
 ) -> DataFrame:
     """Add ``split``: all copies of a prompt fall on one side within their ``by`` group.
 
-    Copies are counted first (partial counts before the shuffle, keys instead of texts). Prompt
-    groups are then taken in drawn order until n_val rows are reached; a prompt with more than
-    n_val copies always trains. At most n_val prompt groups per ``by`` value are ever chosen. The
-    list is written out, so that the planner knows its size: it is broadcast while it is small, and
-    the texts are not shuffled then.
+    Copies are counted first (partial counts before the shuffle, keys instead of texts). Prompts
+    are then taken in drawn order until n_val rows are reached. Prompts with more than n_val copies
+    come last, smallest first, and the very largest always trains, so one much-copied prompt does
+    not fill the validation side. At most n_val prompts per ``by`` value are ever chosen. The list
+    is written out, so that the planner knows its size: it is broadcast while it is small, and the
+    texts are not shuffled then.
     """
     keyed = pairs.withColumn("_key", T.text_key(F.col(prompt)))
-    groups = keyed.groupBy(by, "_key").agg(F.count("*").alias("_n")).where(F.col("_n") <= n_val)
-    groups = groups.withColumn("_draw", draw(F.col("_key"), seed))
-    in_order = Window.partitionBy(by).orderBy("_draw", "_key")
-    # row_number <= n_val is pushed below the shuffle as a per-task limit, which bounds each group.
-    first = groups.withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= n_val)
+    groups = keyed.groupBy(by, "_key").agg(F.count("*").alias("_n"))
+    large = F.col("_n") > n_val
+    groups = groups.withColumns(
+        {"_large": F.when(large, F.col("_n")).otherwise(0), "_draw": draw(F.col("_key"), seed)}
+    )
+    in_order = Window.partitionBy(by).orderBy("_large", "_draw", "_key")
+    # The limit is pushed below the shuffle as a per-task one, which bounds each group. One row more
+    # than needed tells whether a prompt is the last, that is the largest, of its group.
+    first = groups.withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= n_val + 1)
     before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     chosen = (
-        first.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .where(F.col("_before") < n_val)
+        first.withColumns({"_before": F.coalesce(before, F.lit(0)), "_next": F.lead("_key").over(in_order)})
+        .where((F.col("_before") < n_val) & ((F.col("_large") == 0) | F.col("_next").isNotNull()))
         .select(F.col(by).alias("_by"), F.col("_key").alias("_chosen"))
     )
     chosen = materialise(chosen, "validation")
@@ -120,12 +125,14 @@ def next_ids(existing: DataFrame, new: DataFrame, order: str, key: str = "id", l
 
 
 def first_occurrence(pairs: DataFrame, key: str = "idx", prompt: str = "prompt") -> DataFrame:
-    """Keep the row with the smallest key of each duplicate prompt.
+    """Keep the row with the smallest key of each duplicate prompt; rows without a prompt all stay.
 
     The smallest keys come from a hash aggregate with map-side combine, so copies collapse before
     the shuffle; rows are then picked by their unique key, which cannot be skewed.
     """
-    keep = pairs.groupBy(T.text_key(F.col(prompt)).alias("_key")).agg(F.min(key).alias(key)).select(key)
+    own = F.concat(F.lit("row "), F.col(key).cast("string"))
+    same = F.coalesce(T.text_key(F.col(prompt)), own)
+    keep = pairs.groupBy(same.alias("_key")).agg(F.min(key).alias(key)).select(key)
     return pairs.join(keep, key, "left_semi")
 
 

@@ -27,8 +27,9 @@ def validate(df: DataFrame, names: list[str] = fixed.CHECK_NAMES) -> DataFrame:
 
     Input columns: block_id, profile, compiled_code, preconditions, postconditions, mutates,
     emits, observable, return_type. A pure projection: no shuffle, so it works on streams too.
+    Missing code or profile counts as empty.
     """
-    code, profile = F.col("compiled_code"), F.col("profile")
+    code, profile = F.coalesce("compiled_code", F.lit("")), F.coalesce("profile", F.lit(""))
     # Used several times below, so they get their own projection.
     staged = df.withColumn("_folded", C.case_folded(code))
     if fixed.CHECK_NAMES[0] in names:

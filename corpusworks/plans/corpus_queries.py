@@ -94,10 +94,11 @@ def shuffle(spark, sf) -> DataFrame:
 
 
 SPLIT = f"""
-    g as (select adapter, {key_sql('prompt')} as k, count(*) as n from pairs group by 1, 2 having count(*) <= {N_VAL}),
-    d as (select *, {draw_sql('k', '5')} as draw from g),
-    o as (select *, coalesce(sum(n) over (partition by adapter order by draw, k rows between unbounded preceding and 1 preceding), 0) as before from d),
-    chosen as (select adapter, k from o where before < {N_VAL}),
+    g as (select adapter, {key_sql('prompt')} as k, count(*) as n from pairs group by 1, 2),
+    d as (select *, case when n > {N_VAL} then n else 0 end as large, {draw_sql('k', '5')} as draw from g),
+    o as (select *, coalesce(sum(n) over (partition by adapter order by large, draw, k rows between unbounded preceding and 1 preceding), 0) as before,
+                 n = max(n) over (partition by adapter) and row_number() over (partition by adapter order by large desc, draw desc, k desc) = 1 as largest from d),
+    chosen as (select adapter, k from o where before < {N_VAL} and not (large > 0 and largest)),
     assigned as (select p.*, case when c.k is null then 'train' else 'validation' end as split from pairs p left join chosen c on c.adapter = p.adapter and c.k = {key_sql('p.prompt')})
 """
 

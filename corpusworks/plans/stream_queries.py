@@ -159,11 +159,11 @@ def dirty_feed(spark, sf) -> DataFrame:
     files.write_version(index.blocks, blocks_root, 0)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        now = I.Index(files.read_version(spark, modules_root), files.read_version(spark, blocks_root), index.deps)
+        # Batch n turns version n into version n + 1, so a repeated batch gives the same versions.
+        now = I.Index(files.read_version(spark, modules_root, batch_id), files.read_version(spark, blocks_root, batch_id), index.deps)
         after = I.mark_dirty(now, batch)
-        version = files.latest_version(spark, modules_root) + 1
-        files.write_version(after.blocks, blocks_root, version)
-        files.write_version(after.modules, modules_root, version)
+        files.write_version(after.blocks, blocks_root, batch_id + 1, retry=True)
+        files.write_version(after.modules, modules_root, batch_id + 1, retry=True)
 
     changes = spark.readStream.schema("id string").parquet(feed)
     E.dirty_feed(changes, on_batch, scratch_path(spark, "feed-state")).awaitTermination()

@@ -15,11 +15,12 @@ def read_sources(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
+def write_version(df: DataFrame, root: str, version: int, retry: bool = False) -> str:
     """Write one numbered version of a table. A version is never overwritten, so a job may read
-    the latest one while it writes the next."""
+    the latest one while it writes the next. With ``retry`` a version that a failed attempt left
+    behind is written again; the writer then reads an earlier version by number."""
     path = f"{root}/v={version:08d}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite" if retry else "errorifexists").parquet(path)
     return path
 
 

@@ -71,6 +71,8 @@ CASES = {
     "pass with more": (row("", OPEN + "pass_on = 1" + CLOSE), []),
     "unimplemented": (row("", OPEN + "fn f() { unimplemented!() }" + CLOSE, "rust_axum"), ["T7-NoPlaceholders"]),
     "throw": (row("", OPEN + 'f() { throw new Error("not implemented") }' + CLOSE, "typescript_nextjs"), ["T7-NoPlaceholders"]),
+    "no code at all": (row("", None, "go_gin"), ["T2-Sentinel"]),
+    "no profile": (row("", OPEN + "x = [1" + CLOSE, None), ["T1-Syntax"]),
     "html attribute": (row("", "INTL:BEGIN [id=f001]<input placeholder='x'>INTL:END [id=f001]", "html_blade"), ["T7-NoPlaceholders"]),
 }
 
@@ -163,6 +165,12 @@ def test_gates(spark):
     assert all(r.got == r.want for r in df.select("want", C.completion_reason(F.col("t")).alias("got")).collect())
 
 
+def test_gate_rejects_missing_texts(spark):
+    pairs = spark.createDataFrame([(None, "INTL:BEGIN INTL:END"), ("FUNCTION f INTENT END FUNCTION", None), ("FUNCTION f INTENT END FUNCTION", "INTL:BEGIN INTL:END")], "prompt string, completion string")
+    accepted, rejected = V.quality_gate(pairs)
+    assert accepted.count() == 1 and sorted(r.reason for r in rejected.collect()) == [fixed.NO_HEADER, fixed.NO_BEGIN_MARKER]
+
+
 def test_manifests(spark):
     rows = [('{"modules": []}', "ok"), ('{"modules": {}}', "missing modules list"), ('{"a": 1}', "missing modules list"),
             ("nope", "invalid JSON"), ("[1]", "missing modules list"), ('{"modules": null}', "missing modules list")]

@@ -104,3 +104,20 @@ def test_category_shares(spark):
     counts = {r.c: r["count"] for r in spark.range(n).select(assign_category(F.col("id"), 1).alias("c")).groupBy("c").count().collect()}
     for category, share in fixed.CATEGORY_SHARES:
         assert abs(counts[category] / n - share) < 0.02
+
+
+def test_missing_prompts_are_no_duplicates(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a "), (3, None), (4, None)], "idx int, prompt string")
+    assert sorted(r.idx for r in W.first_occurrence(df).collect()) == [1, 3, 4]
+    assert [r.copies for r in G.duplicate_prompts(df).collect()] == [2]
+
+
+def test_split_when_every_prompt_has_many_copies(spark):
+    """Prompts of 30, 40 and 90 copies for 20 wanted rows: the smallest validates, the largest trains."""
+    df = spark.createDataFrame([(i, "a", p) for p, n in (("x", 40), ("y", 90), ("z", 30)) for i in range(n)], "i int, adapter string, prompt string")
+    rows = W.split_train_val(df, 20, seed=3).collect()
+    assert {r.prompt for r in rows if r.split == "validation"} == {"z"} and len(rows) == 160
+    rows = W.split_train_val(df, 65, seed=3).collect()
+    assert {r.prompt for r in rows if r.split == "validation"} == {"x", "z"}
+    single = W.split_train_val(df.where("prompt = 'y'"), 20, seed=3).collect()
+    assert {r.split for r in single} == {"train"}
