@@ -11,6 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpusworks.plans import all_queries  # noqa: E402
+from corpusworks.plans.inputs import view  # noqa: E402
 from corpusworks.session import local_session  # noqa: E402
 
 HEADLINES = [
@@ -22,6 +23,8 @@ HEADLINES = [
     "duplicate_prompts", "first_occurrence", "split_train_val", "leakage_after_split", "construct_schedule", "construct_coverage",
     # index and propagation
     "dependents", "index_modules", "changed_blocks", "build_plan",
+    # routing
+    "route",
     # statements over the order tables and the event log
     "cache_lookup", "aggregate_join", "all_or_nothing", "upsert", "paginate", "trending", "string_agg",
     # streams
@@ -45,6 +48,8 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    modules = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    lines = view(spark, sf_dir, "sources").selectExpr("sum(size(split(source, '\n'))) as n").first()["n"]
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -56,6 +61,8 @@ def main() -> None:
                 "sf": float(scale.group(1)) if scale else None,
                 "warm_up": WARM_UP,
                 "validated_rows_per_second": round(documents / seconds["validate"], 1),
+                "routed_rows_per_second": round(modules / seconds["route"], 1),
+                "source_lines_per_second": round(lines / seconds["block_fields"], 1),
             }
         ),
         flush=True,

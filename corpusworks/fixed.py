@@ -130,7 +130,8 @@ BEGIN_FORMAT = "═══ INTL:BEGIN [id=%s] %s ═══"
 END_FORMAT = "═══ INTL:END   [id=%s] %s ═══"
 # profile prefix, comment opener, comment closer; any other profile uses "# "
 COMMENT_STYLES = [("sql", "-- ", ""), ("html", "<!-- ", " -->"), ("css", "/* ", " */")]
-COMMENT_OPENERS = r"(?:#|--|<!--|/\*)"
+COMMENT_OPENERS = ["#", "--", "<!--", r"/\*"]
+SLASH_LANGUAGES = ["typescript", "javascript", "java", "csharp", "go", "rust", "cpp", "php", "swift", "kotlin", "dart"]
 
 # --- completion gate -------------------------------------------------------------------------
 NO_BEGIN_MARKER = "missing INTL:BEGIN sentinel"

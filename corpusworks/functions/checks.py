@@ -88,9 +88,11 @@ def manifest_reason(col: Column) -> Column:
     )
 
 
-def has_sentinels(col: Column) -> Column:
-    begin = rf"{fixed.COMMENT_OPENERS}{SPACE}*═+{SPACE}*{fixed.BEGIN_TAG}"
-    end = rf"{fixed.COMMENT_OPENERS}{SPACE}*═+{SPACE}*{fixed.END_TAG}"
+def has_sentinels(col: Column, slash: bool = False) -> Column:
+    """A BEGIN and an END marker in a known comment style; ``slash`` also takes // comments."""
+    opener = "|".join([*fixed.COMMENT_OPENERS, *(["//"] if slash else [])])
+    begin = rf"(?:{opener}){SPACE}*═+{SPACE}*{fixed.BEGIN_TAG}"
+    end = rf"(?:{opener}){SPACE}*═+{SPACE}*{fixed.END_TAG}"
     return col.rlike(begin) & col.rlike(end)
 
 

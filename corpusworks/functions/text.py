@@ -61,16 +61,19 @@ def split_batch(col: Column) -> Column:
     return F.transform(F.filter(chunks, lambda c: c != ""), extract_block)
 
 
-def comment_style(profile: Column) -> tuple[Column, Column]:
+def comment_style(profile: Column, slash: bool = False) -> tuple[Column, Column]:
+    """Opener and closer of a marker comment. With ``slash``, languages that know no # use //."""
     opener, closer = F.lit("# "), F.lit("")
+    if slash:
+        opener = F.when(F.substring_index(profile, "_", 1).isin(fixed.SLASH_LANGUAGES), "// ").otherwise(opener)
     for prefix, left, right in fixed.COMMENT_STYLES:
         opener = F.when(profile.startswith(prefix), left).otherwise(opener)
         closer = F.when(profile.startswith(prefix), right).otherwise(closer)
     return opener, closer
 
 
-def wrap_sentinels(code: Column, block_id: Column, name: Column, profile: Column) -> Column:
-    opener, closer = comment_style(profile)
+def wrap_sentinels(code: Column, block_id: Column, name: Column, profile: Column, slash: bool = False) -> Column:
+    opener, closer = comment_style(profile, slash)
     begin = F.concat(opener, F.format_string(fixed.BEGIN_FORMAT, block_id, name), closer)
     end = F.concat(opener, F.format_string(fixed.END_FORMAT, block_id, name), closer)
     return F.concat_ws("\n", begin, rstrip(code), end)

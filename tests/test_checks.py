@@ -185,6 +185,14 @@ def test_marker_styles(spark):
     assert [r.got for r in df.select(C.has_sentinels(F.col("t")).alias("got")).collect()] == [w for _, w in rows]
 
 
+def test_slash_comments(spark):
+    df = spark.createDataFrame([("x", "go_gin"), ("x", "ruby_rails")], "t string, p string")
+    wrapped = T.wrap_sentinels(F.col("t"), F.lit("f1"), F.lit("n"), F.col("p"), slash=True)
+    rows = df.select(wrapped.alias("w"), C.has_sentinels(wrapped).alias("plain"), C.has_sentinels(wrapped, slash=True).alias("slash")).collect()
+    assert rows[0].w.startswith("// ═══ INTL:BEGIN") and rows[1].w.startswith("# ═══ INTL:BEGIN")
+    assert [(r.plain, r.slash) for r in rows] == [(False, True), (True, True)]
+
+
 def test_fail_if_strict(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     assert [r.x for r in V.fail_if(df, F.col("x") > 5, "E", "m", strict=True).collect()] == [1, 2]
