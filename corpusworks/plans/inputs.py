@@ -149,7 +149,7 @@ from (select *, 0 as n from part union all select *, 1 as n from part) p
 
 # One source file per part: a module header, a function, a pipeline, a type and a patch.
 VIEWS["sources"] = f"""
-select p_partkey, 'src/' || cast(p_partkey as string) || '.intl' as path,
+select p_partkey, 'src/' || cast(p_partkey as string) || '.block' as path,
   'MODULE mod_' || replace(p_name, ' ', '_') || ' [id=' || {_numbered('m', 'p_partkey')} || ']' || chr(10)
   || 'TARGET    "src/' || cast(p_partkey as string) || '.py"' || chr(10)
   || 'PROFILE   ' || {_nth(PROFILE_LIST, '(p_partkey % 24)')} || chr(10)

@@ -121,8 +121,8 @@ END PATCH FUNCTION login [id=f001]
 
 
 def test_source_text(spark, tmp_path):
-    (tmp_path / "a.intl").write_text(SOURCE)
-    sources = files.read_sources(spark, f"{tmp_path}/*.intl")
+    (tmp_path / "a.block").write_text(SOURCE)
+    sources = files.read_sources(spark, f"{tmp_path}/*.block")
     module = X.module_fields(sources).collect()[0]
     assert (module.module_id, module["name"], module.profile, module.requires, module.version) == ("m001", "auth", "python_fastapi", ["m002", "m003"], "1.2.0")
     fields = {r.kind: r for r in X.block_fields(X.blocks_of(sources)).collect()}
