@@ -7,6 +7,7 @@ labels are learned from; the sentence scores then tell where the offence is.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -177,35 +178,29 @@ def score(docs: DataFrame, model: ToxicModel, locate_from: float = 0.5) -> DataF
     """
     base, weights = model.base, model.weights
 
-    def run(batches):
-        known: dict[str, float] = {}
+    starts = {f.rstrip("*")[: min(PREFIXES)] for f in weights}
 
-        def weight(word: str) -> float:
-            out = sum(weights[f] for f in features_of(word) if f in weights)
-            if len(known) < 200_000:
-                known[word] = out
-            return out
+    def hits(words: set[str]) -> dict[str, float]:
+        """Weights of the words that have one; most words share no beginning with any feature."""
+        near = [w for w in words if w[: min(PREFIXES)] in starts]
+        return {w: x for w in near if (x := sum(weights[f] for f in features_of(w) if f in weights))}
 
-        silent = -np.log1p(np.exp(base))
+    def run(batches):
+        silent = -math.log1p(math.exp(base))
         for batch in batches:
             scores, places = [], []
             for text in batch.column("text").to_pylist():
+                known = hits(set(_WORD.findall((text or "").lower())))
                 all_of = sentences(text) if text else []
-                none, spans = 0.0, []
-                for start, s in all_of:
-                    z = 0.0
-                    for w in set(_WORD.findall(s.lower())):
-                        x = known.get(w)
-                        z += weight(w) if x is None else x
+                none, spans = max(1, len(all_of)) * silent, []
+                for start, s in all_of if known else ():
+                    z = sum(known[w] for w in set(_WORD.findall(s.lower())) if w in known)
                     if z:
                         z = min(30.0, max(-30.0, base + z))
-                        p = 1 / (1 + np.exp(-z))
-                        none -= np.log1p(np.exp(z))
-                        if p >= locate_from:
-                            spans.append({"start": start, "length": len(s), "score": float(p)})
-                    else:
-                        none += silent
-                scores.append(float(-np.expm1(none if all_of else silent)))
+                        none -= silent + math.log1p(math.exp(z))
+                        if (p := 1 / (1 + math.exp(-z))) >= locate_from:
+                            spans.append({"start": start, "length": len(s), "score": p})
+                scores.append(-math.expm1(none))
                 places.append(spans)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(places, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("score", pa.float64())])))],
