@@ -19,7 +19,7 @@ from corpusworks.llm.common import remainder
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample: rows read per language, characters over all languages and per language, and from one row.
-SAMPLE_ROWS, TOTAL_CHARS, LANGUAGE_CHARS, ROW_CHARS = 600, 400_000, 60_000, 1_000
+SAMPLE_ROWS, TOTAL_CHARS, LANGUAGE_CHARS, ROW_CHARS = 600, 240_000, 30_000, 1_000
 CLASSES = 64
 BLOCK = 1024
 
@@ -88,23 +88,22 @@ def build_model(samples: dict[str, list[str]]) -> LanguageModel:
         classes[ord(c)] = k
     for c in "\t\n\x0b\x0c\r":
         classes[ord(c)] = classes[0x20]
-    tables, roots, offset = [], [], 0
+    tables, roots, rows = [], [], 0
     for language in languages:
         moves = suffix_automaton(classes[[ord(c) if ord(c) < len(classes) else 0 for c in texts[language]]].tolist())
-        states = np.full((len(moves), CLASSES), -1, dtype=np.int64)
+        states = np.full((len(moves), CLASSES), -1, dtype=np.int32)
         for s, row in enumerate(moves):
-            for c, t in row.items():
-                states[s, c] = t
+            states[s, list(row)] = list(row.values())
         start = np.where(states[0] >= 0, states[0], 0)
-        step = np.where(states >= 0, states * 2, start[None, :] * 2 + 1)
-        step[0] = start * 2 + (states[0] < 0)  # at the root an unknown character is a phrase of its own
-        tables.append((step + 2 * (offset // CLASSES)).astype(np.int64))
-        roots.append(offset)
-        offset += states.size
-    flat = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int64)
-    flat = (flat >> 1) * CLASSES * 2 + (flat & 1)
+        # a step that leaves the automaton ends the phrase and starts the next; so does an unknown character at the root
+        ended = states < 0
+        states = np.where(ended, start[None, :], states)
+        tables.append(((states + rows) * (2 * CLASSES) + ended).ravel())
+        roots.append(rows * CLASSES)
+        rows += len(moves)
+    flat = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32)
     bits = np.log2([max(2, len(texts[x])) for x in languages]) if languages else np.zeros(0)
-    return LanguageModel(languages, classes, flat.astype(np.int32), np.array(roots, dtype=np.int32), bits)
+    return LanguageModel(languages, classes, flat.astype(np.int32, copy=False), np.array(roots, dtype=np.int32), bits)
 
 
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> LanguageModel:
