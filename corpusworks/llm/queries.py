@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusworks.llm import ann, langid, quality, simhash, substrings, toxicity
+from corpusworks.llm import ann, html, langid, quality, simhash, substrings, toxicity
 from corpusworks.llm.common import remainder, table
 
 QUERIES = {}
@@ -21,6 +21,12 @@ def held_out(modulus: int, fold: int):
     return F.coalesce(remainder("doc_id", modulus) == fold, F.lit(False)).alias("held_out")
 
 
+@query
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.learn(pages))
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
