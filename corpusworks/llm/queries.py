@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusworks.llm import ann, html, langid, quality, simhash, substrings, toxicity
+from corpusworks.llm import ann, decontam, html, langid, mixing, quality, secrets, simhash, substrings, toxicity
 from corpusworks.llm.common import remainder, table
 
 QUERIES = {}
@@ -21,12 +21,35 @@ def held_out(modulus: int, fold: int):
     return F.coalesce(remainder("doc_id", modulus) == fold, F.lit(False)).alias("held_out")
 
 
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, domain: the language of the documents that ``labels`` covers."""
+    covered = labels.select("doc_id").where("doc_id is not null").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(covered, "doc_id", "left_semi")
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, domain_labels(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html.extract(pages, html.learn(pages))
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
