@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from corpusworks.llm.common import grams, materialise, word_groups
+from corpusworks.llm.common import grams, word_groups
 
 #: Words of a seed, and least share of an item's words under tiles.
 SEED, COVERAGE = 5, 0.5
@@ -113,21 +114,23 @@ def _matches(items: _Items, hashes: np.ndarray, offsets: np.ndarray) -> dict[tup
     return found
 
 
+def _pairs(items: _Items, texts: list[str | None], coverage: float):
+    """(text, item id, coverage, tiles, longest tile) of the pairs that reach the coverage."""
+    for first, _, hashes, offsets in word_groups([normal(t) for t in texts], _APART):
+        for (d, i), starts in _matches(items, hashes, offsets).items():
+            size = len(items.words[i])
+            if len({p for _, p in starts}) * SEED < coverage * size:
+                continue  # a shared place covers SEED words at the most
+            marked = [n for _, _, n in tiles(starts)]
+            if sum(marked) >= coverage * size:
+                yield first + d, items.ids[i], sum(marked) / size, len(marked), max(marked)
+
+
 def _scan(items: _Items, coverage: float):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = [normal(t) for t in batch.column("text").to_pylist()]
-            rows = []
-            for first, _, hashes, offsets in word_groups(texts, _APART):
-                for (d, i), starts in _matches(items, hashes, offsets).items():
-                    item = items.words[i]
-                    if len({p for _, p in starts}) * SEED < coverage * len(item):
-                        continue  # a shared place covers SEED words at the most
-                    marked = tiles(starts)
-                    words = sum(n for _, _, n in marked)
-                    if words >= coverage * len(item):
-                        rows.append((ids[first + d], items.ids[i], words / len(item), len(marked), max(n for _, _, n in marked)))
+            rows = [(ids[p[0]], *p[1:]) for p in _pairs(items, batch.column("text").to_pylist(), coverage)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
             names = ("doc_id", "item_id", "coverage", "n_tiles", "longest")
@@ -136,6 +139,13 @@ def _scan(items: _Items, coverage: float):
     return run
 
 
+def _blocks_of_items(benchmark: DataFrame, block_words: int):
+    for block in blocks(benchmark, block_words):
+        items = _Items(sorted({(r.item_id, r.text) for r in block.collect()}))
+        if len(items.seeds):
+            yield items
+
+
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
     """The benchmark cut by a hash of the item id into blocks of about ``block_words`` words."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
@@ -154,18 +164,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
     out = None
-    for block in blocks(benchmark, block_words):
-        found = sorted({(r.item_id, r.text) for r in block.collect()})
-        items = _Items(found)
-        if len(items.seeds):
-            part = rows.mapInArrow(_scan(items, coverage), "doc_id long, item_id long, coverage double, n_tiles int, longest int")
-            out = part if out is None else out.unionByName(part)
+    for items in _blocks_of_items(benchmark, block_words):
+        part = rows.mapInArrow(_scan(items, coverage), "doc_id long, item_id long, coverage double, n_tiles int, longest int")
+        out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, n_tiles int, longest int")
     return out
 
 
-def without(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item; rows with a null id stay."""
-    gone = materialise(pairs.select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows, with all their columns, whose text holds no benchmark item by that coverage; no shuffle."""
+
+    def clean_of(items: _Items):
+        @pandas_udf("boolean")
+        def clean(text):
+            held = {p[0] for p in _pairs(items, text.tolist(), coverage)}
+            return type(text)([i not in held for i in range(len(text))])
+
+        return clean
+
+    for items in _blocks_of_items(benchmark, block_words):
+        docs = docs.where(clean_of(items)(F.col("text")))
+    return docs

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from corpusworks.llm.common import bounded, materialise, texts_of, word_groups
 
@@ -160,25 +161,63 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> t
     return moves, reached.tolist()
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix", steps: int = STEPS) -> DataFrame:
-    """doc_id, tokens, domain (largest share), shares, rate, copies of every row.
+@dataclass
+class Mixture:
+    """A classifier and the moves that lead from rates of one to the targets."""
 
-    ``targets`` are weights per learned domain, scaled to sum 1; a domain that is not named gets 0, and
-    None asks for equal weights. ``copies`` is the rate rounded down, plus one with the chance of the rest,
-    drawn by a hash of id and ``seed``: the expected number is the rate.
+    model: DomainModel
+    moves: list[np.ndarray]
+    seed: str = "mix"
+
+    def rate(self) -> Column:
+        """The rate as a column over ``shares``."""
+        return rate_column(len(self.model.domains), self.moves)
+
+    def copies(self) -> Column:
+        """The column ``rate`` rounded down, plus one with the chance of the rest, by a hash of the id."""
+        draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(self.seed)), F.lit(1 << 40)) / float(1 << 40)
+        return (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
 
-    Null and empty texts have no tokens and the labels' overall shares; their rate counts like others'.
-    With no rows the result is empty; with no labelled rows all rates are 1. Repeated rows are draws of
-    the same hash. Other columns are ignored.
+
+def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix", steps: int = STEPS) -> tuple[Mixture, DataFrame]:
+    """The mixture, and the memberships it was fitted to.
+
+    ``targets`` are weights per learned domain, scaled to sum 1; a domain that is not named gets 0, and
+    None asks for equal weights. With no labelled rows all rates are 1.
     """
     model = fit(docs, labelled)
     named = targets or dict.fromkeys(model.domains, 1.0)
     weights = np.array([max(0.0, float(named.get(d, 0.0))) for d in model.domains])
     weights = weights / weights.sum() if weights.sum() else np.full(len(weights), 1 / len(weights))
     members = materialise(memberships(docs, model), "memberships")
-    moves, _ = fit_rates(members, weights.tolist(), steps)
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    rated = members.withColumn("rate", rate_column(len(model.domains), moves))
-    best = F.element_at(F.array(*[F.lit(d) for d in model.domains]), F.array_position("shares", F.array_max("shares")).cast("int"))
-    copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    return rated.select("doc_id", "tokens", best.alias("domain"), "shares", "rate", copies.alias("copies"))
+    return Mixture(model, fit_rates(members, weights.tolist(), steps)[0], seed), members
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix") -> DataFrame:
+    """doc_id, tokens, domain (largest share), shares, rate, copies of every row.
+
+    ``copies`` is a whole number whose expectation is the rate. Null and empty texts have no tokens and the
+    labels' overall shares; their rate counts like others'. With no rows the result is empty. Repeated
+    rows are draws of the same hash. Other columns are ignored.
+    """
+    mixture, members = fit_mixture(docs, labelled, targets, seed)
+    best = F.element_at(F.array(*[F.lit(d) for d in mixture.model.domains]), F.array_position("shares", F.array_max("shares")).cast("int"))
+    rated = members.withColumn("rate", mixture.rate())
+    return rated.select("doc_id", "tokens", best.alias("domain"), "shares", "rate", mixture.copies().alias("copies"))
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix") -> DataFrame:
+    """The rows that are taken once or more, with all their columns, ``rate`` and ``copies``.
+
+    Shares are computed again from the text, which costs less than bringing rates and texts together.
+    """
+    mixture, _ = fit_mixture(docs, labelled, targets, seed)
+
+    @pandas_udf("array<double>")
+    def shares(text):
+        found, _ = posteriors(mixture.model, [(t or "").encode() for t in text])
+        return type(text)(found.tolist(), dtype=object)
+
+    rated = docs.withColumn("shares", shares(F.col("text"))).withColumn("rate", mixture.rate())
+    taken = rated.withColumn("copies", mixture.copies()).where("copies > 0")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shares", "rate", "copies")], "rate", "copies")

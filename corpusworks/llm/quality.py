@@ -53,11 +53,12 @@ def statistics() -> dict[str, Column]:
     }
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and one double per statistic; a null text counts as empty."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+def with_statistics(docs: DataFrame, *kept: Column) -> DataFrame:
+    """The ``kept`` columns (doc_id if none are named) and one double per statistic; a null text counts as empty."""
+    kept = kept or (F.col("doc_id").cast("long").alias("doc_id"),)
+    rows = docs.select(F.struct(*kept).alias("_kept"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_words", F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
-    return rows.select("doc_id", *[c.cast("double").alias(k) for k, c in statistics().items()])
+    return rows.select("_kept", *[c.cast("double").alias(k) for k, c in statistics().items()])
 
 
 @dataclass
@@ -164,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
     """Learn ``labels.quality`` from at most about ``most`` labelled rows outside the held-out fold."""
     names = list(statistics())
     chosen = labelled_sample(labels, "quality", modulus, held_out, most)
-    learned = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
-    rows = learned.join(F.broadcast(chosen), "doc_id").select("label", *names).toPandas()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = with_statistics(labelled, F.col("label")).select("_kept.label", *names).toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)  # the fit must not depend on row order
     return fit_rows(names, rows[names].to_numpy(float), rows["label"].to_numpy(float))
 
@@ -176,4 +177,10 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     Null and empty texts are scored by their statistics, all zero. Repeated rows give repeated
     results; other columns are ignored.
     """
-    return with_statistics(docs).select("doc_id", model.score().alias("score"))
+    return with_statistics(docs).select("_kept.doc_id", model.score().alias("score"))
+
+
+def accept(docs: DataFrame, model: RuleModel, least: float = 0.7) -> DataFrame:
+    """The rows, with all their columns, that score ``least`` or more."""
+    judged = with_statistics(docs, *[F.col(f"`{c}`") for c in docs.columns]).where(model.score() >= least)
+    return judged.select("_kept.*")
