@@ -67,9 +67,11 @@ def candidates(text: str) -> list[tuple[int, str]]:
 
 
 def learn_usual(texts: list[str]) -> Surroundings:
+    """Surroundings of some texts, without their long tokens that are no plain words."""
     pairs, words = Counter(), Counter()
     for text in texts:
-        found = [w.lower() for w in _WORD.findall(text)]
+        plain = _CANDIDATE.sub(lambda m: m[0] if m[0][1:].isalpha() and m[0][1:].islower() else " ", text)
+        found = [w.lower() for w in _WORD.findall(plain)]
         words.update(w for w in found if len(w) >= 4)
         for w in found:
             pairs.update(a + b for a, b in zip(w, w[1:], strict=False))
@@ -199,7 +201,7 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, no
         cost = a * (n - a) / n + b * (m - b) / m
         i = int(cost.argmin())
         if cost[i] < best[0]:
-            best = (cost[i], (int(k), float((v[cut[i]] + v[cut[i] + 1]) / 2)))
+            best = (cost[i], (int(k), float(v[cut[i]])))
     if best[1] is None:
         return at
     k, threshold = best[1]
