@@ -227,8 +227,10 @@ def check_sentinel(code: Column, block_id: Column) -> Column:
     block_id = F.coalesce(block_id, F.lit(""))
 
     def marker(tag: str) -> Column:
-        found = F.regexp_like(code, F.concat(F.lit(rf"(?iu){tag}{SPACE}+\[id=\Q"), block_id, F.lit(r"\E\]")))
-        return F.coalesce(found, F.lit(False))
+        # What follows each tag on its line is compared as text, so an id may hold any characters.
+        tails = F.regexp_extract_all(code, F.lit(rf"(?iu){tag}{SPACE}+\[id=(?=([^\n]*))"), F.lit(1))
+        wanted = case_folded(F.concat(block_id, F.lit("]")))
+        return F.coalesce(F.exists(tails, lambda t: case_folded(t).startswith(wanted)), F.lit(False))
 
     missing = F.concat_ws(
         ", ",
@@ -384,7 +386,8 @@ def check_return_type(code: Column, return_type: Column) -> Column:
     # Whole word as a regex engine sees it: an outer edge of the type that is no word character
     # needs a word character next to it, so the boundary test follows the edge.
     edge = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-    pattern = F.concat(F.lit(rf"{edge}\Q"), return_type, F.lit(rf"\E{edge}"))
+    quoted = F.replace(return_type, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))  # the type may hold the end of a quotation
+    pattern = F.concat(F.lit(rf"{edge}\Q"), quoted, F.lit(rf"\E{edge}"))
 
     def fold(passed: Column) -> Column:
         message = (

@@ -134,4 +134,4 @@ def normalised(col: Column) -> Column:
 
 def text_key(col: Column) -> Column:
     """32-byte key of a normalised text, so shuffles carry keys and not texts."""
-    return F.sha2(normalised(col), 256)
+    return F.unhex(F.sha2(normalised(col), 256))

@@ -261,22 +261,25 @@ def cache_lookup(
     An as-of join without pairing rows: gets and sets are stacked and cut into time slices per key,
     so a hot key spreads over many tasks. Within a slice a running window carries the latest set;
     across slices only the last set of each (key, slice) travels. A set counts before a get of
-    the same instant. ``gets`` may hold further columns; ``sets`` needs key, ts and value.
+    the same instant. Of sets at one instant the largest value counts.
+    ``gets`` may hold further columns; ``sets`` needs key, ts and value.
     """
     extra = [c for c in gets.columns if c not in (key, ts)]
-    minutes = F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    # Instants are cut by their own count, so slices never run backwards when a zone changes its clock.
+    wall = F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    minutes = F.floor(F.unix_seconds(F.col(ts)) / 60) if dict(sets.dtypes)[ts] == "timestamp" else wall
     slice_no = F.floor(minutes / slice_minutes).alias("_slice")
     entry = F.struct(F.col(ts).alias("set_ts"), F.col(value).alias("v")).alias("_set")
     puts = sets.select(key, ts, slice_no, entry, F.lit(0).alias("_kind"))
     asks = gets.select(key, ts, slice_no, F.lit(1).alias("_kind"), *extra)
-    last_sets = puts.groupBy(key, "_slice").agg(F.max_by("_set", ts).alias("_last"))
+    last_sets = puts.groupBy(key, "_slice").agg(F.max("_set").alias("_last"))
     slices = last_sets.unionByName(
         asks.select(key, "_slice").distinct(), allowMissingColumns=True
     ).groupBy(key, "_slice").agg(F.max("_last").alias("_last"))
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slices.select(key, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
     stacked = puts.unionByName(asks, allowMissingColumns=True)
-    running = Window.partitionBy(key, "_slice").orderBy(ts, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(key, "_slice").orderBy(ts, "_kind", "_set").rowsBetween(Window.unboundedPreceding, 0)
     found = stacked.withColumn("_here", F.last("_set", ignorenulls=True).over(running)).where("_kind = 1")
     joined = found.join(carried, [key, "_slice"], "left")
     latest = F.coalesce("_here", "_carried")

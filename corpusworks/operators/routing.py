@@ -103,9 +103,10 @@ def with_tier(df: DataFrame, profile: str = "profile") -> DataFrame:
 
 
 def retry_budget(df: DataFrame, attempts: str = "attempt", profile: str = "profile") -> DataFrame:
-    """Add the budget and whether it is used up."""
+    """Add the budget and whether it is used up: ``attempts`` counts the retries made so far, and as many
+    retries as the budget are made before a failure goes up."""
     out = df.withColumn("retry_budget", tier_value(F.col(profile), 2))
-    return out.withColumn("exhausted", F.col(attempts) > F.col("retry_budget"))
+    return out.withColumn("exhausted", F.col(attempts) >= F.col("retry_budget"))
 
 
 def against_threshold(rates: DataFrame, catalog: DataFrame, rate: str = "pass_rate") -> DataFrame:

@@ -434,7 +434,7 @@ def tier_pass_rate(spark, sf) -> DataFrame:
 )
 def escalation_rate(spark, sf) -> DataFrame:
     rows = J.retry_budget(rules_checked(spark, sf))
-    return G.escalation_rate(rows.withColumn("escalated", ~F.col("passed") & (F.col("attempt") >= F.col("retry_budget"))))
+    return G.escalation_rate(rows.withColumn("escalated", ~F.col("passed") & F.col("exhausted")))
 
 
 @register(
@@ -451,7 +451,7 @@ def failing_checks(spark, sf) -> DataFrame:
 
 @register(
     "retry_budget",
-    f"select doc_id, budget as retry_budget, attempt > budget as exhausted from compiled join {TIER_SQL} on language = split_part(profile, '_', 1)",
+    f"select doc_id, budget as retry_budget, attempt >= budget as exhausted from compiled join {TIER_SQL} on language = split_part(profile, '_', 1)",
     ["compiled"],
 )
 def retry_budget(spark, sf) -> DataFrame:

@@ -514,7 +514,7 @@ def read_broken_lines(spark, sf) -> DataFrame:
 
 @register(
     "append_corrections",
-    "select profile as adapter, 2 * count(*) as rows from compiled where doc_id % 7 = 0 group by 1",
+    "select profile as adapter, 2 * count(*) as rows from compiled group by 1",
     ["compiled"],
 )
 def append_corrections(spark, sf) -> DataFrame:
@@ -523,7 +523,7 @@ def append_corrections(spark, sf) -> DataFrame:
     from corpusworks.plans.text_queries import failed_rows
 
     path = scratch_path(spark, "corrections")
-    rows = render_correction(failed_rows(spark, sf).where("doc_id % 7 = 0"), F.expr("timestamp_ntz'2024-02-01 00:00:00'"))
+    rows = render_correction(failed_rows(spark, sf), F.expr("timestamp_ntz'2024-02-01 00:00:00'"))
     P.append_corrections(rows, path)
     P.append_corrections(rows, path)
     return P.read_pairs(spark, path).groupBy("metadata.adapter").agg(F.count("*").alias("rows"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusworks import fixed
-from corpusworks.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -33,7 +32,6 @@ def _nth(list_text: str, position: str) -> str:
 
 
 VIEWS: dict[str, str] = {}
-TEXT_VIEWS = ("compiled", "pairs", "sources", "manifests")
 
 # One compiled block per document. The whole text rides along as a comment (Python) or as is.
 VIEWS["compiled"] = f"""
@@ -239,9 +237,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in used:
         query = query.replace(f"from {t}", f"from {{{t}}}")
     bound = {t: table(spark, sf_dir, t) for t in used}
-    # Texts go through many regexes, so the rows that make them are dealt out to all cores.
-    if name in TEXT_VIEWS:
-        bound = {t: spread(df) for t, df in bound.items()}
     return spark.sql(query, **bound)
 
 

@@ -79,13 +79,13 @@ def progress_windows(spark, sf) -> DataFrame:
     return rows.join(F.broadcast(last), "batch").select(F.col("start").cast("timestamp_ntz").alias("start"), "good", "failed", "done")
 
 
-@register("corrections_stream", "select profile as adapter, count(*) as rows from compiled where doc_id % 7 = 0 group by 1", ["compiled"])
+@register("corrections_stream", "select profile as adapter, count(*) as rows from compiled group by 1", ["compiled"])
 def corrections_stream(spark, sf) -> DataFrame:
     from corpusworks.operators.rendering import render_correction
     from corpusworks.plans.text_queries import failed_rows
 
     path, out = scratch_path(spark, "corrections"), scratch_path(spark, "counts")
-    append_corrections(render_correction(failed_rows(spark, sf).where("doc_id % 7 = 0"), F.expr("timestamp_ntz'2024-02-01'")), path)
+    append_corrections(render_correction(failed_rows(spark, sf), F.expr("timestamp_ntz'2024-02-01'")), path)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:06d}")
@@ -99,30 +99,34 @@ def corrections_stream(spark, sf) -> DataFrame:
     return rows.join(F.broadcast(last), "batch").select("adapter", "rows")
 
 
-# A block's failures since its last success decide; the budget of the medium tier.
+# Users' blocks are dealt to three tiers with 2, 3 and 4 retries.
+BUDGETS = [("sql_postgres", 2), ("python_fastapi", 3), ("rust_axum", 4)]
+
+
 @register(
     "retry_budget_state",
     """with w as (select user_id, max(case when event_type = 'purchase' then ts end) as won from events where event_type in ('error', 'purchase') group by 1)
-       select user_id as block_id, least(4, count(*) filter (where event_type = 'error' and (won is null or ts > won)))::int as failures,
-         count(*) filter (where event_type = 'error' and (won is null or ts > won)) >= 4 as escalate
+       select user_id as block_id, count(*) filter (where event_type = 'error' and (won is null or ts > won)) > user_id % 3 + 2 as escalate
        from events join w using (user_id) where event_type in ('error', 'purchase') group by 1""",
 )
 def retry_budget_state(spark, sf) -> DataFrame:
     """Errors are failed attempts of a user's block, purchases are successes."""
+    profiles = F.array(*[F.lit(p) for p, _ in BUDGETS])
     rows = event_stream(spark, sf).where("event_type in ('error', 'purchase')").select(
-        F.col("user_id").alias("block_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "purchase").alias("success")
+        F.col("user_id").alias("block_id"),
+        F.element_at(profiles, (F.col("user_id") % 3).cast("int") + 1).alias("profile"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        (F.col("event_type") == "purchase").alias("success"),
     )
     out = scratch_path(spark, "retries")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:06d}")
 
-    state = S.retry_budget_state(rows, budget=3)
-    state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "retries-state")).trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    latest = spark.read.parquet(out).groupBy("block_id").agg(F.max_by(F.struct("failures", "escalate"), "batch").alias("s"))
-    return latest.select("block_id", "s.failures", "s.escalate")
+    S.retry_budget_state(rows).writeStream.outputMode("update").foreachBatch(keep).option(
+        "checkpointLocation", scratch_path(spark, "retries-state")
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("block_id").agg(F.max_by("escalate", "batch").alias("escalate"))
 
 
 @register(

@@ -1,4 +1,4 @@
-"""Session defaults, shared folders and size checks."""
+"""Session defaults and shared folders."""
 
 from __future__ import annotations
 
@@ -49,21 +49,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small scan out to all cores before row work that is heavy on CPU.
-
-    A table below one full split per core cannot keep the cores busy on its own, and moving that
-    little is cheap. From that size on the scan's own splits do the work and nothing is moved.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors,
     fixes non-deterministic row placement, and gives the planner true sizes for later joins."""

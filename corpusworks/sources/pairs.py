@@ -22,15 +22,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every non-blank line with its fields; lines that are not JSON objects fill _corrupt_record.
 
-    Lines are read as text and parsed by an expression, so that counts and filters on the corrupt
-    column alone work as on any other.
+    A field of another type than expected is null and its line is kept. Lines are read as text and
+    parsed by an expression, so that counts and filters on the corrupt column alone work as on any other.
     """
     schema = f"{PAIRS}, {CORRUPT} string"
     if not path_exists(spark, path):
         return spark.createDataFrame([], f"{schema}, file string")
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(parsed.alias("row"), F.col("_metadata.file_path").alias("file")).select("row.*", "file")
+    is_object = F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    corrupt = F.when(~is_object, F.col("value")).alias(CORRUPT)
+    rows = lines.select(parsed.alias("row"), corrupt, F.col("_metadata.file_path").alias("file"))
+    fields = [F.when(F.col(CORRUPT).isNull(), F.col(f"row.{f}")).alias(f) for f in ("system", "prompt", "completion", "metadata")]
+    return rows.select(*fields, CORRUPT, "file")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -43,21 +47,29 @@ def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
 
 
-def write_pairs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def _clustered(rows: DataFrame, files: int) -> DataFrame:
+    """Rows of an (adapter, split) folder together, in ``files`` files at the most; a hot folder keeps that many writers."""
+    return rows.repartition("adapter", "split", F.pmod(F.xxhash64("prompt"), F.lit(files)))
+
+
+def write_pairs(df: DataFrame, path: str, mode: str = "overwrite", files: int = 8) -> None:
     """One JSON object per line below adapter=…/split=…; null fields are left out."""
     rows = df.withColumn("adapter", F.col("metadata.adapter")) if "adapter" not in df.columns else df
     rows = rows if "split" in rows.columns else rows.withColumn("split", F.lit("train"))
-    rows.write.mode(mode).partitionBy("adapter", "split").json(path)
+    _clustered(rows, files).write.mode(mode).partitionBy("adapter", "split").json(path)
+
+
+def append_corrections(df: DataFrame, path: str, files: int = 8) -> None:
+    """Append correction pairs below adapter=…/split=corrections; earlier files stay untouched."""
+    rows = df.withColumns({"adapter": F.col("metadata.adapter"), "split": F.lit("corrections")})
+    _clustered(rows, files).write.mode("append").partitionBy("adapter", "split").json(path)
 
 
-def append_corrections(df: DataFrame, path: str) -> None:
-    """Append correction pairs below adapter=…; earlier files stay untouched."""
-    df.withColumn("adapter", F.col("metadata.adapter")).write.mode("append").partitionBy("adapter").json(path)
+#: Finds adapter and kind in the paths of write_pairs and append_corrections, and in flat adapter/kind.jsonl.
+LAYOUT = r"/(?:adapter=)?([^/=]+)/(?:split=)?(train|val|validation|corrections)(?:\.jsonl$|/[^/]+$)"
 
 
-def file_counts(
-    spark: SparkSession, pattern: str, adapters: DataFrame, layout: str = r"/([^/]+)/([^/]+)\.jsonl$"
-) -> DataFrame:
+def file_counts(spark: SparkSession, pattern: str, adapters: DataFrame, layout: str = LAYOUT) -> DataFrame:
     """Rows per adapter and file kind (train, validation, corrections) in the files that match the
     pattern; missing files count 0. ``layout`` finds adapter and kind in a file path, and both
     names of the validation file are understood."""

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from corpusworks.operators.routing import tier_value
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
 
@@ -20,44 +24,44 @@ def use_rocksdb(spark) -> None:
 
 
 class RetryBudget(StatefulProcessor):
-    """Failures of a block since its last success.
+    """Whether a block's failures since its last success use up its budget.
 
     Rows of a batch may arrive in any order, so the state keeps times, not a counter: the last
-    success, and the latest failures after it. budget + 1 of these decide the question, which
-    bounds the state however often a block fails.
+    success, and the latest failures after it. A first attempt and ``budget`` retries decide the
+    question, so budget + 1 failures are kept, which bounds the state however often a block fails.
     """
 
-    def __init__(self, budget: int):
-        self.keep = budget + 1
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("retries", "last_success bigint, failures array<bigint>")
+        self.state = handle.getValueState("retries", "last_success bigint, failures array<bigint>, budget int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, failures = self.state.get() if self.state.exists() else (-1, [])
+        last, failures, budget = self.state.get() if self.state.exists() else (None, [], 0)
         failures = list(failures)
         for pdf in rows:
+            budget = max(budget, int(pdf["budget"].max()))
             wins = pdf.loc[pdf["success"], "at"]
-            last = last if wins.empty else max(last, int(wins.max()))
-            losses = pdf.loc[~pdf["success"], "at"]
-            failures = sorted([*failures, *losses.tolist()])
-            failures = [t for t in failures if t > last][-self.keep:]
-        self.state.update((int(last), [int(t) for t in failures]))
-        yield pd.DataFrame(
-            {"block_id": [key[0]], "failures": [len(failures)], "escalate": [len(failures) >= self.keep]}
-        )
+            if not wins.empty:
+                last = int(wins.max()) if last is None else max(last, int(wins.max()))
+            failures = sorted([*failures, *pdf.loc[~pdf["success"], "at"].tolist()])
+            failures = [t for t in failures if last is None or t > last][-(budget + 1) :]
+        self.state.update((last, [int(t) for t in failures], budget))
+        yield pd.DataFrame({"block_id": [key[0]], "escalate": [len(failures) > budget]})
 
     def close(self) -> None:
         pass
 
 
-def retry_budget_state(stream: DataFrame, budget: int) -> DataFrame:
-    """block_id, at (bigint time), success → after each batch: failures since the last success, at
-    most budget + 1 counted, and whether the budget is used up."""
+def retry_budget_state(stream: DataFrame, profile: str = "profile") -> DataFrame:
+    """block_id, profile, at (bigint time), success → after each batch: whether the budget of the
+    profile's tier is used up, that is, the first attempt and all retries since the last success failed.
+
+    A profile of no tier has no retries. The largest budget seen for a block counts.
+    """
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy("block_id").transformWithStateInPandas(
-        statefulProcessor=RetryBudget(budget),
-        outputStructType="block_id bigint, failures int, escalate boolean",
+    budget = F.coalesce(tier_value(F.col(profile), 2).cast("int"), F.lit(0)).alias("budget")
+    return stream.select("block_id", "at", "success", budget).groupBy("block_id").transformWithStateInPandas(
+        statefulProcessor=RetryBudget(),
+        outputStructType="block_id bigint, escalate boolean",
         outputMode="Update",
         timeMode="None",
     )
@@ -66,40 +70,52 @@ def retry_budget_state(stream: DataFrame, budget: int) -> DataFrame:
 class Cache(StatefulProcessor):
     """Latest set of a key; gets are answered with it until it expires."""
 
-    def __init__(self, ttl: int):
-        self.ttl = ttl
+    def __init__(self, ttl: int, keep_ms: int | None):
+        self.ttl, self.keep_ms = ttl, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entry", "at bigint, value double")
+        self.state = handle.getValueState("entry", "at bigint, row_id bigint, value double", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, value = self.state.get() if self.state.exists() else (None, None)
-        for pdf in rows:
-            out = []
-            for row in pdf.sort_values(["at", "is_get"]).itertuples(index=False):
-                if row.is_get:
-                    alive = at is not None and at <= row.at < at + self.ttl
-                    out.append((key[0], row.row_id, value if alive else None))
-                elif at is None or row.at >= at:
-                    at, value = int(row.at), float(row.value)
-            yield pd.DataFrame(out, columns=["key", "row_id", "value"]).astype({"value": "float64"})
-        if at is not None:
-            self.state.update((at, value))
+        # A key's rows come in several Arrow chunks without order, so all are taken before one is answered.
+        batch = pd.concat(list(rows), ignore_index=True)
+        sets = batch.loc[~batch["is_get"], ["at", "row_id", "value"]]
+        if self.state.exists():
+            known = pd.DataFrame([self.state.get()], columns=["at", "row_id", "value"])
+            sets = pd.concat([known, sets], ignore_index=True) if len(sets) else known
+        sets = sets.sort_values(["at", "row_id"], kind="stable")
+        gets = batch.loc[batch["is_get"], ["at", "row_id"]]
+        at = sets["at"].to_numpy(dtype=np.int64)
+        place = np.searchsorted(at, gets["at"].to_numpy(dtype=np.int64), side="right") - 1
+        out = np.full(len(gets), np.nan)
+        hit = np.flatnonzero(place >= 0)
+        hit = hit[gets["at"].to_numpy(dtype=np.int64)[hit] < at[place[hit]] + self.ttl]
+        out[hit] = sets["value"].to_numpy(dtype=float)[place[hit]]
+        if len(sets):
+            last = sets.iloc[-1]
+            self.state.update((int(last["at"]), int(last["row_id"]), float(last["value"])))
+        yield pd.DataFrame({"key": key[0], "row_id": gets["row_id"].to_numpy(), "value": out})
 
     def close(self) -> None:
         pass
 
 
-def cache_state(stream: DataFrame, ttl: int) -> DataFrame:
+def cache_state(stream: DataFrame, ttl: int, keep_ms: int | None = None) -> DataFrame:
     """key, row_id, at (bigint time), is_get, value → one row per get.
 
-    Gets see the sets that arrived before them; within one batch rows are taken in time order.
+    A get is answered with the latest set at or before it, of those that arrived in earlier batches or
+    its own, if ``ttl`` has not passed between them (times as in ``at``). Of sets at one instant the
+    larger row_id counts. A key's rows of one batch are held in memory together.
+
+    With ``keep_ms`` a key's state is freed when that much wall time passes without a set; choose it
+    longer than a batch can be late. Spark then runs batches without end to look for expired state, so
+    it suits a stream that stays up, not an ``availableNow`` run. Without it one set per key is kept.
     For exact answers on late data use constructs.cache_lookup.
     """
     use_rocksdb(stream.sparkSession)
     return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Cache(ttl),
+        statefulProcessor=Cache(ttl, keep_ms),
         outputStructType="key bigint, row_id bigint, value double",
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if keep_ms is None else "ProcessingTime",
     )

@@ -1,5 +1,7 @@
 """State across several micro-batches, and streams equal to their batch twins."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpusworks.session import scratch_path
@@ -25,18 +27,16 @@ def collected(stream, mode):
 
 
 def test_retry_budget_over_batches(spark, tmp_path):
-    schema = "block_id bigint, at bigint, success boolean"
+    schema = "block_id bigint, profile string, at bigint, success boolean"
+    sql, rust = "sql_postgres", "rust_axum"  # 2 and 4 retries
     batches = [
-        [(1, 10, False), (1, 20, False), (2, 10, False)],
-        [(1, 30, False), (2, 20, True)],
-        [(1, 25, True), (2, 30, False)],  # a late success takes back the failures before it
+        [(1, sql, -30, False), (1, sql, -20, False), (2, sql, 10, False), (3, rust, -10, False), (3, rust, 0, False), (3, rust, 1, False)],
+        [(1, sql, -10, False), (2, sql, 20, True), (3, rust, 2, False)],
+        [(1, sql, -15, True), (2, sql, 30, False), (3, rust, 3, False)],  # a late success takes back the failures before it
     ]
-    out = collected(S.retry_budget_state(feed(spark, tmp_path, batches, schema), budget=2), "update")
-    seen = {}
-    for batch in out:
-        seen.update({(k): (f, e) for k, f, e in batch})
-    assert (1, 3, True) in [r for b in out for r in b]
-    assert seen == {1: (1, False), 2: (1, False)}
+    out = collected(S.retry_budget_state(feed(spark, tmp_path, batches, schema)), "update")
+    by_batch = [dict(b) for b in out if b]
+    assert by_batch == [{1: False, 2: False, 3: False}, {1: True, 2: False, 3: False}, {1: False, 2: False, 3: True}]
 
 
 def test_cache_over_batches(spark, tmp_path):
@@ -52,6 +52,17 @@ def test_cache_over_batches(spark, tmp_path):
     assert all(v is None or v != v for v in (answers[2], answers[4], answers[5]))
 
 
+def test_cache_of_a_hot_key_in_one_batch(spark, tmp_path):
+    """More rows of a key than an Arrow chunk holds, shuffled: every get sees the set just before it."""
+    draw = random.Random(1)
+    rows = [(1, n, n // 2, n % 2 == 1, None if n % 2 else float(n)) for n in range(40_000)]
+    draw.shuffle(rows)
+    schema = "key bigint, row_id bigint, at bigint, is_get boolean, value double"
+    out = collected(S.cache_state(feed(spark, tmp_path, [rows], schema), ttl=1), "append")
+    answers = {row_id: value for batch in out for _, row_id, value in batch}
+    assert len(answers) == 20_000 and all(v == n - 1 for n, v in answers.items())
+
+
 def test_windows_equal_batch(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     good = F.col("event_type") != "error"
