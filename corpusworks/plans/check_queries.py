@@ -275,16 +275,18 @@ def validate_rules(spark, sf) -> DataFrame:
 
 @register(
     "validation_summary",
-    f"""with {JUDGED} select doc_id, 'Validation ' || case when passed then 'PASSED' else 'FAILED' end || ' (' ||
-        (t2::int + t3::int + t4::int + t5::int + t6::int + t7::int)::varchar || '/6 checks)' as headline,
-        7 + (not t2)::int + (not t3)::int + (not t4)::int + (not t6)::int + (not t7)::int::bigint as lines from final""",
+    f"""{ALL_CHECKED} select doc_id, 'Validation ' || case when passed then 'PASSED' else 'FAILED' end || ' (' ||
+        (t1::int + t2::int + t3::int + t4::int + t5::int + t6::int + t7::int)::varchar || '/7 checks)' as headline,
+        8 + (not t2)::int + (not t3)::int + (not t4)::int + (not t6)::int + (not t7)::int::bigint as lines from seven""",
     ["compiled"],
 )
 def validation_summary(spark, sf) -> DataFrame:
-    rows = V.with_summary(rules_checked(spark, sf))
-    return rows.select(
-        "doc_id", F.substring_index("summary", "\n", 1).alias("headline"), F.size(F.split("summary", "\n")).cast("bigint").alias("lines")
-    )
+    """Lines leave out the parser's own detail, whose wording is not ours."""
+    rows = V.with_summary(V.validate(compiled(spark, sf)))
+    first = F.element_at("checks", 1)
+    detail = (~first.passed & (first.detail != "")).cast("int")
+    lines = (F.size(F.split("summary", "\n")) - detail).cast("bigint").alias("lines")
+    return rows.select("doc_id", F.substring_index("summary", "\n", 1).alias("headline"), lines)
 
 
 @register(
@@ -417,36 +419,36 @@ TIER_SQL = "(values " + ", ".join(
 
 @register(
     "tier_pass_rate",
-    f"""with {JUDGED} select tier, any_value(rate) as required_rate, count(*) as n, avg(passed::int) as pass_rate, avg(passed::int) >= any_value(rate) as meets
-        from final join {TIER_SQL} on language = split_part(profile, '_', 1) group by tier""",
+    f"""{ALL_CHECKED} select tier, any_value(rate) as required_rate, count(*) as n, avg(passed::int) as pass_rate, avg(passed::int) >= any_value(rate) as meets
+        from seven join {TIER_SQL} on language = split_part(profile, '_', 1) group by tier""",
     ["compiled"],
 )
 def tier_pass_rate(spark, sf) -> DataFrame:
-    return G.tier_pass_rate(rules_checked(spark, sf))
+    return G.tier_pass_rate(V.validate(compiled(spark, sf)))
 
 
 @register(
     "escalation_rate",
-    f"""with {JUDGED} select tier, any_value(cap) as escalation_limit, count(*) as n, avg((not passed and attempt >= budget)::int) as escalation_rate,
+    f"""{ALL_CHECKED} select tier, any_value(cap) as escalation_limit, count(*) as n, avg((not passed and attempt >= budget)::int) as escalation_rate,
         avg((not passed and attempt >= budget)::int) < any_value(cap) as within
-        from final join {TIER_SQL} on language = split_part(profile, '_', 1) group by tier""",
+        from seven join {TIER_SQL} on language = split_part(profile, '_', 1) group by tier""",
     ["compiled"],
 )
 def escalation_rate(spark, sf) -> DataFrame:
-    rows = J.retry_budget(rules_checked(spark, sf))
+    rows = J.retry_budget(V.validate(compiled(spark, sf)))
     return G.escalation_rate(rows.withColumn("escalated", ~F.col("passed") & F.col("exhausted")))
 
 
 @register(
     "failing_checks",
-    f"""with {JUDGED}, s as (select count(*) filter (where not t2) as a, count(*) filter (where not t3) as b, count(*) filter (where not t4) as c,
-        count(*) filter (where not t5) as d, count(*) filter (where not t6) as e, count(*) filter (where not t7) as f from final)
-        select 'T2-Sentinel' as name, a as failures from s union all select 'T3-Preconditions', b from s union all select 'T4-Postconditions', c from s
+    f"""{ALL_CHECKED}, s as (select count(*) filter (where not t1) as z, count(*) filter (where not t2) as a, count(*) filter (where not t3) as b, count(*) filter (where not t4) as c,
+        count(*) filter (where not t5) as d, count(*) filter (where not t6) as e, count(*) filter (where not t7) as f from seven)
+        select '{fixed.CHECK_NAMES[0]}' as name, z as failures from s union all select 'T2-Sentinel', a from s union all select 'T3-Preconditions', b from s union all select 'T4-Postconditions', c from s
         union all select 'T5-SideEffects', d from s union all select 'T6-Types', e from s union all select 'T7-NoPlaceholders', f from s""",
     ["compiled"],
 )
 def failing_checks(spark, sf) -> DataFrame:
-    return G.failing_checks(rules_checked(spark, sf), RULES)
+    return G.failing_checks(V.validate(compiled(spark, sf)), fixed.CHECK_NAMES)
 
 
 @register(

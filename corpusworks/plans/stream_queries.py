@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusworks.operators import index as I
 from corpusworks.operators.validate import validate
-from corpusworks.plans.check_queries import JUDGED, RULES
+from corpusworks.plans.check_queries import ALL_CHECKED
 from corpusworks.plans.inputs import compiled, table, view
 from corpusworks.plans.registry import register
 from corpusworks.plans.index_queries import SEEDS, base, closure
@@ -144,13 +144,13 @@ def cache_state(spark, sf) -> DataFrame:
     return answers.select(F.col("row_id").alias("event_id"), F.col("key").alias("user_id"), "value")
 
 
-@register("validate_stream", f"with {JUDGED} select doc_id, passed from final", ["compiled"])
+@register("validate_stream", f"{ALL_CHECKED} select doc_id, passed from seven", ["compiled"])
 def validate_stream(spark, sf) -> DataFrame:
     """Compilations are validated as they arrive: the batch validator on a stream."""
     path = scratch_path(spark, "compiled")
     compiled(spark, sf).write.parquet(path)
     rows = spark.readStream.schema(compiled(spark, sf).schema).parquet(path)
-    return E.drain(validate(rows, RULES).select("doc_id", "passed"), "validated")
+    return E.drain(validate(rows).select("doc_id", "passed"), "validated")
 
 
 @register("dirty_feed", f"with recursive {SEEDS}, {closure()} select m.id, m.id in (select id from reached) as dirty from modules m", ["modules", "deps", "blocks"])

@@ -52,7 +52,7 @@ def stream_filter(stream: DataFrame, where: Column | str) -> DataFrame:
 
 def stream_corrections(spark: SparkSession, folder: str) -> DataFrame:
     """Corrections as they are appended below adapter=… folders."""
-    return spark.readStream.schema(f"{PAIRS}, adapter string").json(folder)
+    return spark.readStream.schema(f"{PAIRS}, adapter string, split string").json(folder)
 
 
 def corrections_per_adapter(corrections: DataFrame) -> DataFrame:

@@ -238,3 +238,13 @@ def test_wrap_and_strip(spark):
     for r in df.select("t", "p", wrapped.alias("w"), T.strip_sentinels(wrapped).alias("back")).collect():
         assert r.back == r.t.rstrip()
     assert df.select(wrapped.alias("w")).collect()[1].w == "-- ═══ INTL:BEGIN [id=f1] n ═══\na\nb\n-- ═══ INTL:END   [id=f1] n ═══"
+
+
+def test_ids_and_types_of_any_characters(spark):
+    ids = [r"a\Eb", "a]b", "a(b", 'q"q', "[x", "$1"]
+    rows = [(i, f"# INTL:BEGIN [id={i}]\nx: T{i}y {i}\n# INTL:end [id={i.upper()}]") for i in ids]
+    df = spark.createDataFrame(rows, "id string, code string")
+    good = df.select(C.check_sentinel(F.col("code"), F.col("id")).passed.alias("s"), C.check_return_type(F.col("code"), F.concat(F.lit("T"), F.col("id"), F.lit("y"))).passed.alias("t")).collect()
+    assert all(r.s and r.t for r in good)
+    other = df.select(C.check_sentinel(F.col("code"), F.concat(F.lit("z"), F.col("id"))).passed.alias("s"), C.check_return_type(F.col("code"), F.concat(F.col("id"), F.lit("zz"))).passed.alias("t")).collect()
+    assert not any(r.s or r.t for r in other)

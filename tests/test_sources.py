@@ -21,6 +21,27 @@ def test_read_pairs_edge_cases(spark, tmp_path):
     assert pairs.read_pairs(spark, str(tmp_path / "none.jsonl")).count() == 0
 
 
+def test_fields_of_other_types_keep_their_line(spark, tmp_path):
+    file = tmp_path / "train.jsonl"
+    lines = [{"prompt": "a", "metadata": {"idx": "7", "adapter": "x"}}, {"prompt": "b", "metadata": {"idx": 3.5}}, {"prompt": "c", "metadata": "x"}, {"prompt": "d", "metadata": {"idx": 4}}]
+    file.write_text("\n".join(map(json.dumps, lines)) + "\n[1]\n{broken\n")
+    rows = {r.prompt: r.metadata for r in pairs.read_pairs(spark, str(file)).collect()}
+    assert set(rows) == set("abcd") and rows["d"].idx == 4 and (rows["b"] is None or rows["b"].idx is None) and rows["c"] is None
+    assert sorted(r.line for r in pairs.rejected_lines(spark, str(file)).collect()) == ["[1]", "{broken"]
+
+
+def test_counts_of_written_pairs(spark, tmp_path):
+    pair = F.struct(F.lit("C").alias("category"), F.col("a").alias("adapter"))
+    df = spark.createDataFrame([("go_gin", "train", str(n)) for n in range(50)] + [("go_gin", "val", "v"), ("sql_mysql", "train", "s")], "a string, split string, prompt string")
+    rows = df.select(F.lit("s").alias("system"), "prompt", F.lit("c").alias("completion"), pair.alias("metadata"), "split")
+    pairs.write_pairs(rows.repartition(20), str(tmp_path / "out"), files=4)
+    pairs.append_corrections(rows.where("split = 'val'"), str(tmp_path / "out"))
+    adapters = spark.createDataFrame([("go_gin",), ("sql_mysql",)], "adapter string")
+    got = {(r.adapter, r.kind): r.rows for r in pairs.file_counts(spark, f"{tmp_path}/out/*/*/*.json", adapters).collect()}
+    assert got == {("go_gin", "train"): 50, ("go_gin", "validation"): 1, ("go_gin", "corrections"): 1, ("sql_mysql", "train"): 1, ("sql_mysql", "validation"): 0, ("sql_mysql", "corrections"): 0}
+    assert len(list((tmp_path / "out" / "adapter=go_gin" / "split=train").glob("*.json"))) <= 4
+
+
 def test_write_and_append(spark, tmp_path):
     meta = F.struct(F.lit("C").alias("category"), F.lit("go_gin").alias("adapter"), F.lit("LOOP").alias("construct"), F.lit(1).alias("idx"))
     df = spark.createDataFrame([("s", "π", "c")], "system string, prompt string, completion string").withColumn("metadata", meta)
