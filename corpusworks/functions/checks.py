@@ -8,14 +8,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from corpusworks import fixed
 from corpusworks.functions.text import SPACE, WORD, WORD_END, strip, whole_words
 
-# Nesting deeper than this many brackets is handed to the Arrow helper: the in-engine walk
-# keeps its open brackets in a string and would slow down on very long ones.
-WALK_LIMIT = 4000
 IDENTIFIER = rf"[a-zA-Z_]{WORD}*"
 
 CHECK_TYPE = "struct<name:string,passed:boolean,message:string,detail:string>"
@@ -115,25 +112,6 @@ def python_problem(code: pd.Series) -> pd.Series:
     return code.map(problem, na_action=None)
 
 
-@F.pandas_udf(BooleanType())
-def deep_brackets_balance(brackets: pd.Series) -> pd.Series:
-    """Balance of a bracket-only string of any depth; nulls are skipped."""
-    closing = {")": "(", "]": "[", "}": "{"}
-
-    def balanced(text):
-        if text is None:
-            return None
-        open_ones = []
-        for mark in text:
-            if mark not in closing:
-                open_ones.append(mark)
-            elif not open_ones or open_ones.pop() != closing[mark]:
-                return False
-        return not open_ones
-
-    return brackets.map(balanced, na_action=None)
-
-
 def brackets_of(col: Column) -> Column:
     """Only the brackets of a text, with directly closed pairs already taken out."""
     marks = F.regexp_replace(col, r"[^()\[\]{}]+", "")
@@ -147,21 +125,32 @@ def balanced(col: Column) -> Column:
 
 
 def balanced_marks(marks: Column) -> Column:
-    """True if every bracket of a bracket-only string closes the latest open one."""
+    """True if every bracket of a bracket-only string closes the latest open one.
 
-    def step(stack: Column, mark: Column) -> Column:
-        top = F.right(stack, F.lit(1))
-        closes = ((mark == ")") & (top == "(")) | ((mark == "]") & (top == "[")) | ((mark == "}") & (top == "{"))
+    The walk keeps the open brackets as two strings, the latest few hundred and the rest, so a step
+    copies a short string however deep the nesting is.
+    """
+    keep = 256
+
+    def state(top: Column, rest: Column) -> Column:
+        return F.struct(top.alias("top"), rest.alias("rest"))
+
+    def step(open_ones: Column, mark: Column) -> Column:
+        top, rest = open_ones.top, open_ones.rest
+        latest, size = F.right(top, F.lit(1)), F.length(top)
+        opens = mark.isin("(", "[", "{")
+        closes = ((mark == ")") & (latest == "(")) | ((mark == "]") & (latest == "[")) | ((mark == "}") & (latest == "{"))
         return (
-            F.when(stack == "!", stack)
-            .when(mark.isin("(", "[", "{"), F.concat(stack, mark))
-            .when(closes, F.left(stack, F.length(stack) - 1))
-            .otherwise(F.lit("!"))
+            F.when(top == "!", open_ones)
+            .when(opens & (size < 2 * keep), state(F.concat(top, mark), rest))
+            .when(opens, state(F.concat(F.substring(top, keep + 1, 2 * keep), mark), F.concat(rest, F.left(top, F.lit(keep)))))
+            .when(closes & ((size > 1) | (rest == "")), state(F.left(top, size - 1), rest))
+            .when(closes, state(F.right(rest, F.lit(keep)), F.left(rest, F.length(rest) - keep)))
+            .otherwise(state(F.lit("!"), F.lit("")))
         )
 
-    walked = F.when(marks == "", True).otherwise(F.aggregate(F.split(marks, ""), F.lit(""), step) == "")
-    long = F.length(marks) > WALK_LIMIT
-    return F.when(long, deep_brackets_balance(F.when(long, marks))).otherwise(walked)
+    start = state(F.lit(""), F.lit(""))
+    return F.when(marks == "", True).otherwise(F.aggregate(F.split(marks, ""), start, step, lambda s: s.top == ""))
 
 
 def _check(name: str, passed: Column, message: Column, detail: Column) -> Column:
@@ -181,23 +170,34 @@ def uses_brackets(profile: Column) -> Column:
     return ~profile.rlike("^(?:python|sql|html|css)")
 
 
-def check_syntax(
+def _syntax_check(outcome: Column, good: Column) -> Column:
+    """``outcome`` is empty when the text passes, else the message, and the detail behind a line break."""
+
+    def fold(found: Column) -> Column:
+        message = F.when(found == "", good).otherwise(F.substring_index(found, "\n", 1))
+        return _check(fixed.CHECK_NAMES[0], found == "", message, F.substring_index(found, "\n", -1))
+
+    return given(outcome, fold)
+
+
+def check_parsed(code: Column) -> Column:
+    """The syntax check of profiles with a parser."""
+    return _syntax_check(F.coalesce(python_problem(code), F.lit("")), F.lit("Python AST parse OK"))
+
+
+def check_rules(
     code: Column, profile: Column, marks: Column | None = None, folded: Column | None = None
 ) -> Column:
-    """Rule by profile prefix. ``marks`` and ``folded`` may carry brackets_of(code) and
-    case_folded(code) computed beforehand."""
+    """The syntax check of all other profiles, by prefix. ``marks`` and ``folded`` may carry
+    brackets_of(code) and case_folded(code) computed beforehand."""
     folded = case_folded(code) if folded is None else folded
-    is_python = uses_python_parser(profile)
     is_script = profile.startswith("typescript") | profile.startswith("javascript")
-    problem = F.coalesce(python_problem(F.when(is_python, code)), F.lit(""))
     closes = balanced_marks(brackets_of(F.when(uses_brackets(profile), code)) if marks is None else marks)
     sql = _search(code, folded, fixed.SQL_WORDS, whole_words(fixed.SQL_WORDS))
     html = code.rlike(fixed.HTML_TAG)
     css = code.contains("{") & code.rlike(CSS_RULE)
-    # Empty when the text passes, else the message, and the detail behind a line break.
     outcome = (
-        F.when(is_python, problem)
-        .when(profile.startswith("sql"), F.when(sql, "").otherwise("No SQL keyword found in output\n"))
+        F.when(profile.startswith("sql"), F.when(sql, "").otherwise("No SQL keyword found in output\n"))
         .when(profile.startswith("html"), F.when(html, "").otherwise("No HTML tag found in output\n"))
         .when(profile.startswith("css"), F.when(css, "").otherwise("No CSS rule found in output\n"))
         .when(closes, "")
@@ -205,19 +205,13 @@ def check_syntax(
         .otherwise("Unbalanced braces/brackets\n")
     )
     good = (
-        F.when(is_python, "Python AST parse OK")
-        .when(is_script, "Brace balance OK")
+        F.when(is_script, "Brace balance OK")
         .when(profile.startswith("sql"), "SQL keyword present")
         .when(profile.startswith("html"), "HTML tag present")
         .when(profile.startswith("css"), "CSS rule present")
         .otherwise("Brace balance OK (fallback)")
     )
-
-    def fold(found: Column) -> Column:
-        message = F.when(found == "", good).otherwise(F.substring_index(found, "\n", 1))
-        return _check(fixed.CHECK_NAMES[0], found == "", message, F.substring_index(found, "\n", -1))
-
-    return given(outcome, fold)
+    return _syntax_check(outcome, good)
 
 
 CSS_RULE = rf"(?:{WORD}|-){SPACE}*\{{"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,34 +10,42 @@ from corpusworks.functions import checks as C
 from corpusworks.functions import text as T
 
 
-def counted(df: DataFrame, step: str, **metrics: Column) -> DataFrame:
-    """Report row counts of a step as query metrics (listeners, streaming progress).
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters read but do not compute again.
 
-    The counts also pin the step: a filter on its result stays above it, where it would otherwise
-    be pushed down and have every regex of the step computed a second time.
+    They are generated, one row for one row, so a filter on them stays above while a filter on the
+    input's own columns still reaches the scan.
     """
-    named = [m.alias(name) for name, m in metrics.items()]
-    return df.observe(f"{step}-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), *named)
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def validate(df: DataFrame, names: list[str] = fixed.CHECK_NAMES) -> DataFrame:
     """Run the checks on every row and add ``checks`` and ``passed``; ``names`` selects some of them.
 
     Input columns: block_id, profile, compiled_code, preconditions, postconditions, mutates,
-    emits, observable, return_type. A pure projection: no shuffle, so it works on streams too.
-    Missing code or profile counts as empty.
+    emits, observable, return_type. No shuffle, so it works on streams too. Missing code or
+    profile counts as empty. Rows of profiles with a language parser are checked on a branch of
+    their own: the filter on the profile reaches the scan, and only they pass through Python.
     """
+    if fixed.CHECK_NAMES[0] not in names:
+        return _validated(df, names)
+    parsed = C.uses_python_parser(F.col("profile"))
+    others = ~parsed | F.col("profile").isNull()
+    return _validated(df.where(others), names).unionByName(_validated(df.where(parsed), names, True))
+
+
+def _validated(df: DataFrame, names: list[str], parsed: bool = False) -> DataFrame:
     code, profile = F.coalesce("compiled_code", F.lit("")), F.coalesce("profile", F.lit(""))
     # Used several times below, so they get their own projection.
     staged = df.withColumn("_folded", C.case_folded(code))
-    if fixed.CHECK_NAMES[0] in names:
+    if fixed.CHECK_NAMES[0] in names and not parsed:
         staged = staged.withColumn("_marks", C.brackets_of(F.when(C.uses_brackets(profile), code)))
     folded = F.col("_folded")
     available = dict(
         zip(
             fixed.CHECK_NAMES,
             [
-                lambda: C.check_syntax(code, profile, F.col("_marks"), folded),
+                lambda: C.check_parsed(code) if parsed else C.check_rules(code, profile, F.col("_marks"), folded),
                 lambda: C.check_sentinel(code, F.col("block_id")),
                 lambda: C.check_preconditions(code, F.col("preconditions")),
                 lambda: C.check_postconditions(code, F.col("postconditions")),
@@ -52,9 +58,8 @@ def validate(df: DataFrame, names: list[str] = fixed.CHECK_NAMES) -> DataFrame:
         )
     )
     chosen = [available[name]() for name in fixed.CHECK_NAMES if name in names]
-    checked = staged.withColumn("checks", F.array(*chosen)).drop("_marks", "_folded")
-    judged = checked.withColumn("passed", F.forall("checks", lambda c: c.passed))
-    return counted(judged, "validation", failed=F.count_if(~F.col("passed")))
+    checked = computed_once(staged, checks=F.array(*chosen)).drop("_marks", "_folded")
+    return checked.withColumn("passed", F.forall("checks", lambda c: c.passed))
 
 
 def with_summary(validated: DataFrame) -> DataFrame:
@@ -74,16 +79,18 @@ def escalation_package(validated: DataFrame) -> DataFrame:
     return validated.withColumn("package", F.when(~F.col("passed"), package))
 
 
-def quality_gate(pairs: DataFrame, *conditions: Column) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) pairs: block and completion gates, and any further condition.
-
-    Both sides are plain filters over the same projection, so neither shuffles.
-    """
+def judged_pairs(pairs: DataFrame, *conditions: Column) -> DataFrame:
+    """Add ``reason``: ok, or why a pair fails the block and completion gates or a further condition."""
     reasons = [C.block_reason(F.col("prompt")), C.completion_reason(F.col("completion"))]
     for n, condition in enumerate(conditions, 1):
         reasons.append(F.when(~F.coalesce(condition, F.lit(False)), f"condition {n} not met").otherwise("ok"))
     first = F.coalesce(*[F.nullif(reason, F.lit("ok")) for reason in reasons], F.lit("ok"))
-    judged = counted(pairs.withColumn("reason", first), "gate", rejected=F.count_if(F.col("reason") != "ok"))
+    return computed_once(pairs, reason=first)
+
+
+def quality_gate(pairs: DataFrame, *conditions: Column) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) pairs by judged_pairs(), which serves better where both sides go on together."""
+    judged = judged_pairs(pairs, *conditions)
     return judged.where("reason = 'ok'").drop("reason"), judged.where("reason <> 'ok'")
 
 

@@ -217,7 +217,7 @@ def bracket_balance(spark, sf) -> DataFrame:
 def syntax_signals(spark, sf) -> DataFrame:
     """The keyword, tag and rule tests on every row, whatever its profile."""
     rows = view(spark, sf, "compiled")
-    found = lambda prefix: C.check_syntax(F.col("compiled_code"), F.lit(prefix))["passed"]
+    found = lambda prefix: C.check_rules(F.col("compiled_code"), F.lit(prefix))["passed"]
     return rows.select("doc_id", found("sql").alias("sql_word"), found("html").alias("html_tag"), found("css").alias("css_rule"))
 
 

@@ -117,6 +117,10 @@ def test_balance_model(spark):
     texts = ["".join(rng.choice("()[]{}a") for _ in range(rng.randrange(0, 9))) for _ in range(400)]
     deep = "(" * 3000 + "[" * 3000
     texts += [deep + "]" * 3000 + ")" * 3000, deep + ")" * 3000 + "]" * 3000, deep]
+    for n in (255, 256, 257, 511, 512, 513, 514, 769):  # around the pieces the walk keeps
+        opened = [rng.choice("([{") for _ in range(n)]
+        closed = "".join({"(": ")", "[": "]", "{": "}"}[c] for c in reversed(opened))
+        texts += ["".join(opened) + closed, "".join(opened) + closed[:-1], "".join(opened) + closed[:-1] + "x)]"[n % 3]]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in df.select("t", C.balanced(F.col("t")).alias("ok")).collect():
         assert r.ok == model_balanced(r.t), r.t[:50]

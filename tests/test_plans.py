@@ -60,6 +60,26 @@ def test_top_k_limits_before_the_shuffle(spark, sf):
     assert text.count("WindowGroupLimit") == 2
 
 
-def test_filter_on_checked_rows_stays_above(spark, sf):
-    text = plan(V.validate(compiled(spark, sf), RULES).where("not passed").select("doc_id"))
-    assert text.index("Filter") < text.index("CollectMetrics")
+def stored(spark, sf, tmp_path):
+    path = str(tmp_path / "compiled")
+    compiled(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_filters_pass_the_checks(spark, sf, tmp_path):
+    """Filters on input columns reach the scan, filters on results stay above the checks."""
+    df = stored(spark, sf, tmp_path)
+    text = plan(V.validate(df).where("profile = 'go_gin' and not passed"))
+    assert text.count("EqualTo(profile,go_gin)") == text.count("FileScan")
+    gate = df.select("doc_id", "profile", F.col("intl_block").alias("prompt"), F.col("compiled_code").alias("completion"))
+    accepted, _ = V.quality_gate(gate)
+    text = plan(accepted.where("profile = 'go_gin'"))
+    assert "EqualTo(profile,go_gin)" in text
+    assert text.index("Filter") < text.index("Generate inline")
+
+
+def test_parser_sees_its_own_rows_only(spark, sf, tmp_path):
+    text = plan(V.validate(stored(spark, sf, tmp_path)))
+    before, after = text.split("ArrowEvalPython", 1)
+    assert "StringStartsWith(profile,python)" in after.split("Scan", 1)[1]
+    assert before.count("Generate inline") == 2  # one evaluation of the checks on each branch
