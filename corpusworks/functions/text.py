@@ -133,5 +133,5 @@ def normalised(col: Column) -> Column:
 
 
 def text_key(col: Column) -> Column:
-    """Key (64 hex digits) of a normalised text, so shuffles carry keys and not texts."""
-    return F.sha2(normalised(col), 256)
+    """Key (32 bytes) of a normalised text, so shuffles carry keys and not texts."""
+    return F.unhex(F.sha2(normalised(col), 256))

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from corpusworks.functions.scalars import AGGREGATES, TRANSFORMS
 from corpusworks.operators.numbering import dense_positions
 
-# Pages that end beyond this row are found by a spread numbering instead of a single merge.
-DEEP_PAGE = 100_000
-
 
 def _condition(where: Column | str) -> Column:
     return F.expr(where) if isinstance(where, str) else where
@@ -74,12 +71,14 @@ def all_or_nothing(df: DataFrame, txn: str, ok: Column | str) -> DataFrame:
 
 # --- pages ----------------------------------------------------------------------------------------
 def paginate(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """Page ``page`` (from 1) of ``size`` rows in a total order."""
-    first, last = (page - 1) * size, page * size
-    if last <= DEEP_PAGE:
-        return df.orderBy(*order).offset(first).limit(size)
+    """Page ``page`` (from 1) of ``size`` rows in a total order.
+
+    Rows are numbered by a spread sort, so a deep page costs what the first one does and no task
+    gathers the rows before it. paginate_after() needs no numbers.
+    """
     numbered = dense_positions(df, order, name="_pos")
-    return numbered.where((F.col("_pos") > first) & (F.col("_pos") <= last)).drop("_pos").orderBy(*order)
+    wanted = (F.col("_pos") > (page - 1) * size) & (F.col("_pos") <= page * size)
+    return numbered.where(wanted).drop("_pos").orderBy(*order)
 
 
 def paginate_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
@@ -133,20 +132,17 @@ def bucket_counts(df: DataFrame, rules: list[tuple[str, Column]], other: str) ->
     return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def string_agg(
-    df: DataFrame, by: list[str], col: str, order: list[str], sep: str = ", ", per_part: int = 10_000
-) -> DataFrame:
-    """Joined values per key in a total order, with the number of values.
+def string_agg(df: DataFrame, by: list[str], col: str, order: list[str], sep: str = ", ") -> DataFrame:
+    """Pieces (by, pos, piece) of the values joined per key in a total order; null values are left out.
 
-    A key with more than per_part values comes as numbered parts to be read in order; a key's
-    rows are numbered by a spread sort, so no task holds a whole hot key.
+    Read in the order of ``pos`` (from 1) the pieces are the joined text: every piece but the first
+    starts with the separator. A key's rows are numbered by a spread sort and stay rows whatever
+    their number.
     """
-    numbered = dense_positions(df.where(F.col(col).isNotNull()).select(*dict.fromkeys([*by, col, *order])), order, by=by, name="_pos")
-    part = F.floor((F.col("_pos") - 1) / per_part).alias("part")
-    values = F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("p"), F.col(col).cast("string").alias("v"))))
-    return numbered.groupBy(*by, part).agg(
-        F.count("*").alias("n"), F.array_join(F.transform(values, lambda x: x.v), sep).alias("joined")
-    )
+    values = df.where(F.col(col).isNotNull()).select(*dict.fromkeys([*by, col, *order]))
+    numbered = dense_positions(values, order, by=by, name="pos")
+    text = F.col(col).cast("string")
+    return numbered.select(*by, "pos", F.when(F.col("pos") == 1, text).otherwise(F.concat(F.lit(sep), text)).alias("piece"))
 
 
 def weighted_mean(df: DataFrame, by: list[str], value: str, weight: str, min_weight: float) -> DataFrame:

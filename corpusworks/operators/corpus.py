@@ -20,17 +20,21 @@ def leaked_keys(train: DataFrame, valid: DataFrame, by: list[str] = (), prompt:
     return _keys(train, by, prompt).intersect(_keys(valid, by, prompt))
 
 
-def leakage(train: DataFrame, valid: DataFrame, by: list[str] = (), prompt: str = "prompt") -> DataFrame:
-    """Validation rows whose prompt also trains. The other side is reduced to distinct keys, so a
-    prompt with many copies meets one row, and AQE splits a hot key of the left side."""
-    keyed = valid.withColumn("prompt_key", T.text_key(F.col(prompt)))
-    return keyed.join(_keys(train, by, prompt), [*by, "prompt_key"], "left_semi")
+def _leaked_rows(rows: DataFrame, others: DataFrame, key: str, by: list[str], prompt: str) -> DataFrame:
+    """(key, prompt_key) of the rows whose prompt is among the others': no text is shuffled, a prompt
+    with many copies meets one row, and AQE splits a hot key of the left side."""
+    narrow = rows.select(key, *by, T.text_key(F.col(prompt)).alias("prompt_key"))
+    return narrow.join(leaked_keys(rows, others, by, prompt), [*by, "prompt_key"], "left_semi").select(key, "prompt_key")
 
 
-def without_leakage(train: DataFrame, valid: DataFrame, by: list[str] = (), prompt: str = "prompt") -> DataFrame:
-    """Training rows whose prompt is not in the validation side."""
-    keyed = train.withColumn("prompt_key", T.text_key(F.col(prompt)))
-    return keyed.join(_keys(valid, by, prompt), [*by, "prompt_key"], "left_anti").drop("prompt_key")
+def leakage(train: DataFrame, valid: DataFrame, key: str, by: list[str] = (), prompt: str = "prompt") -> DataFrame:
+    """Validation rows whose prompt also trains, with the prompt's key. ``key`` is unique in ``valid``."""
+    return valid.join(_leaked_rows(valid, train, key, by, prompt), key)
+
+
+def without_leakage(train: DataFrame, valid: DataFrame, key: str, by: list[str] = (), prompt: str = "prompt") -> DataFrame:
+    """Training rows whose prompt is not in the validation side. ``key`` is unique in ``train``."""
+    return train.join(_leaked_rows(train, valid, key, by, prompt).select(key), key, "left_anti")
 
 
 def split_leakage(pairs: DataFrame, by: str = "adapter", prompt: str = "prompt") -> DataFrame:
@@ -66,15 +70,6 @@ def category_mix(pairs: DataFrame) -> DataFrame:
     )
 
 
-def construct_rows(spark) -> DataFrame:
-    """The 22 quota constructs with the number of pairs each adapter needs."""
-    rows = [
-        (c, fixed.HIGH_FREQUENCY_QUOTA if c in fixed.HIGH_FREQUENCY else fixed.CONSTRUCT_QUOTA)
-        for c in fixed.CONSTRUCTS
-    ]
-    return spark.createDataFrame(rows, "construct string, needed int")
-
-
 def coverage_grid(adapters: DataFrame) -> DataFrame:
     """Every adapter with every construct, so that zero counts show: an explode of the fixed list."""
     listed = F.array(
@@ -249,15 +244,10 @@ def merge_append(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True)
 
 
-def assemble_outputs(
-    compiled: DataFrame, file: str = "module_id", pos: str = "pos", code: str = "code", per_part: int = 1000
-) -> DataFrame:
-    """Output text per file: block outputs in order, each followed by a blank line.
+def assemble_outputs(compiled: DataFrame, file: str = "module_id", pos: str = "pos", code: str = "code") -> DataFrame:
+    """Output pieces (file, pos, text): block outputs, each followed by a blank line.
 
-    ``pos`` counts blocks of a file from 0 without gaps. A file of more than per_part blocks comes
-    as numbered parts that read one after the other, so no task gathers an unbounded file.
+    Read in the order of ``pos`` they are the file's text. A file stays in pieces whatever its size,
+    so no task gathers one; sources.files.write_pieces() writes them out in order.
     """
-    part = F.floor(F.col(pos) / per_part).alias("part")
-    pieces = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(code).alias("c"))))
-    text = F.array_join(F.transform(pieces, lambda x: F.concat(x.c, F.lit("\n\n"))), "")
-    return compiled.groupBy(file, part).agg(text.alias("text"))
+    return compiled.select(file, pos, F.concat(F.coalesce(code, F.lit("")), F.lit("\n\n")).alias("text"))

@@ -64,27 +64,24 @@ def split_train_val(
 ) -> DataFrame:
     """Add ``split``: all copies of a prompt fall on one side within their ``by`` group.
 
-    Copies are counted first (partial counts before the shuffle, keys instead of texts). Prompts
-    are then taken in drawn order until n_val rows are reached. Prompts with more than n_val copies
-    come last, smallest first, and the very largest always trains, so one much-copied prompt does
-    not fill the validation side. At most n_val prompts per ``by`` value are ever chosen. The list
+    Copies are counted first (partial counts before the shuffle, keys instead of texts). Prompts are
+    then taken in drawn order until n_val rows are reached, whatever their number of copies: the last
+    one may overshoot, by its copies less one at most, and a group of a single prompt validates whole.
+    split_sizes() reports both sides. At most n_val prompts per ``by`` value are ever chosen. The list
     is written out, so that the planner knows its size: it is broadcast while it is small, and the
     texts are not shuffled then.
     """
     keyed = pairs.withColumn("_key", T.text_key(F.col(prompt)))
-    groups = keyed.groupBy(by, "_key").agg(F.count("*").alias("_n"))
-    large = F.col("_n") > n_val
-    groups = groups.withColumns(
-        {"_large": F.when(large, F.col("_n")).otherwise(0), "_draw": draw(F.col("_key"), seed)}
+    groups = keyed.groupBy(by, "_key").agg(F.count("*").alias("_n")).withColumn(
+        "_draw", draw(F.lower(F.hex("_key")), seed)
     )
-    in_order = Window.partitionBy(by).orderBy("_large", "_draw", "_key")
-    # The limit is pushed below the shuffle as a per-task one, which bounds each group. One row more
-    # than needed tells whether a prompt is the last, that is the largest, of its group.
-    first = groups.withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= n_val + 1)
+    in_order = Window.partitionBy(by).orderBy("_draw", "_key")
+    # The limit is pushed below the shuffle as a per-task one, which bounds each group.
+    first = groups.withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= n_val)
     before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     chosen = (
-        first.withColumns({"_before": F.coalesce(before, F.lit(0)), "_next": F.lead("_key").over(in_order)})
-        .where((F.col("_before") < n_val) & ((F.col("_large") == 0) | F.col("_next").isNotNull()))
+        first.withColumn("_before", F.coalesce(before, F.lit(0)))
+        .where(F.col("_before") < n_val)
         .select(F.col(by).alias("_by"), F.col("_key").alias("_chosen"))
     )
     chosen = materialise(chosen, "validation")
@@ -93,6 +90,14 @@ def split_train_val(
     return matched.withColumn("split", split).drop("_key", "_by", "_chosen")
 
 
+def split_sizes(split: DataFrame, n_val: int = fixed.VALIDATION_PAIRS, by: str = "adapter") -> DataFrame:
+    """Rows on each side per group, and by how many the validation side exceeds n_val."""
+    sizes = split.groupBy(by).agg(
+        F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "validation").alias("validation")
+    )
+    return sizes.withColumn("overshoot", F.greatest(F.lit(0).cast("bigint"), F.col("validation") - n_val))
+
+
 def micro_batches(df: DataFrame, key: str, size: int = fixed.BATCH_SIZE) -> DataFrame:
     """Add ``batch`` and ``place``: consecutive groups of ``size`` in key order."""
     numbered = dense_positions(df, [key], name="_pos")
@@ -127,13 +132,14 @@ def next_ids(existing: DataFrame, new: DataFrame, order: str, key: str = "id", l
 def first_occurrence(pairs: DataFrame, key: str = "idx", prompt: str = "prompt") -> DataFrame:
     """Keep the row with the smallest key of each duplicate prompt; rows without a prompt all stay.
 
-    The smallest keys come from a hash aggregate with map-side combine, so copies collapse before
-    the shuffle; rows are then picked by their unique key, which cannot be skewed.
+    ``key`` is unique. Prompt keys are written once beside the row keys; rows are compared by them,
+    copies collapse in the partial aggregate, and only the list of later copies meets the full rows.
     """
-    own = F.concat(F.lit("row "), F.col(key).cast("string"))
-    same = F.coalesce(T.text_key(F.col(prompt)), own)
-    keep = pairs.groupBy(same.alias("_key")).agg(F.min(key).alias(key)).select(key)
-    return pairs.join(keep, key, "left_semi")
+    keyed = pairs.where(F.col(prompt).isNotNull()).select(key, T.text_key(F.col(prompt)).alias("_key"))
+    keyed = materialise(keyed, "prompt-keys")
+    groups = keyed.groupBy("_key").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    later = keyed.join(groups, "_key").where(F.col(key) != F.col("_first")).select(key)
+    return pairs.join(later, key, "left_anti")
 
 
 def modules_ordered(modules: DataFrame) -> DataFrame:

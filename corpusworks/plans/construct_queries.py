@@ -222,8 +222,8 @@ def bucket_counts(spark, sf) -> DataFrame:
 
 @register(
     "string_agg",
-    f"""with r as (select user_id, event_type, (row_number() over (partition by user_id order by ts, event_id) - 1) as rn from events where ts > {NOW} - interval 7 days)
-        select user_id, (rn // 10000)::bigint as part, count(*) as n, string_agg(event_type, '; ' order by rn) as joined from r group by 1, 2""",
+    f"""select user_id, row_number() over w as pos, case when row_number() over w = 1 then event_type else '; ' || event_type end as piece
+        from events where ts > {NOW} - interval 7 days window w as (partition by user_id order by ts, event_id)""",
 )
 def string_agg(spark, sf) -> DataFrame:
     rows = D.recent(table(spark, sf, "events"), "ts", now(), "7 days")

@@ -17,6 +17,8 @@ from corpusworks.plans.registry import register
 from corpusworks.plans.text_queries import TOKENS, WS, strip_sql
 from corpusworks.session import scratch_path
 from corpusworks.sources import pairs as P
+from corpusworks.sources.files import read_sources
+from corpusworks.sources.files import write_pieces as write_files
 
 # Corpora of the given sizes are small, so that quotas bind: targets are cut down to this share.
 N_VAL = 5
@@ -30,6 +32,10 @@ def key_sql(col: str) -> str:
     return f"sha256(regexp_replace({strip_sql(col)}, '{WS}+', ' ', 'g'))"
 
 
+def hex_key():
+    return F.lower(F.hex("prompt_key")).alias("prompt_key")
+
+
 def list_sql(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -95,10 +101,8 @@ def shuffle(spark, sf) -> DataFrame:
 
 SPLIT = f"""
     g as (select adapter, {key_sql('prompt')} as k, count(*) as n from pairs group by 1, 2),
-    d as (select *, case when n > {N_VAL} then n else 0 end as large, {draw_sql('k', '5')} as draw from g),
-    o as (select *, coalesce(sum(n) over (partition by adapter order by large, draw, k rows between unbounded preceding and 1 preceding), 0) as before,
-                 n = max(n) over (partition by adapter) and row_number() over (partition by adapter order by large desc, draw desc, k desc) = 1 as largest from d),
-    chosen as (select adapter, k from o where before < {N_VAL} and not (large > 0 and largest)),
+    o as (select *, coalesce(sum(n) over (partition by adapter order by {draw_sql('k', '5')}, k rows between unbounded preceding and 1 preceding), 0) as before from g),
+    chosen as (select adapter, k from o where before < {N_VAL}),
     assigned as (select p.*, case when c.k is null then 'train' else 'validation' end as split from pairs p left join chosen c on c.adapter = p.adapter and c.k = {key_sql('p.prompt')})
 """
 
@@ -153,14 +157,25 @@ def top_k_per_group(spark, sf) -> DataFrame:
 # --- leakage and duplicates ------------------------------------------------------------------------------------
 @register(
     "leakage",
-    f"select distinct b.item_id from benchmark b where {key_sql('b.text')} in (select {key_sql('t')} from (select text as t from documents union all select text from benchmark where item_id >= 20) x)",
+    f"""with h as (select *, doc_id in (select doc_id from labels) as held from documents)
+        select doc_id from h where held and {key_sql('text')} in (select {key_sql('text')} from h where not held)""",
 )
 def leakage(spark, sf) -> DataFrame:
-    """Held-out items that occur in the corpus as a whole text; half of them are planted there."""
-    items = table(spark, sf, "benchmark").withColumnRenamed("text", "prompt")
-    planted = items.where("item_id >= 20").select("prompt")
-    corpus = table(spark, sf, "documents").select(F.col("text").alias("prompt")).unionByName(planted)
-    return G.leakage(corpus, items).select("item_id")
+    """Labelled documents, taken as held out, whose text also occurs among the others."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    labels = table(spark, sf, "labels").select("doc_id")
+    corpus, held_out = docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id", "left_semi")
+    return G.leakage(corpus, held_out, "doc_id").select("doc_id")
+
+
+@register(
+    "split_sizes",
+    f"with {SPLIT} select adapter, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'validation') as validation, "
+    f"greatest(0, count(*) filter (where split = 'validation') - {N_VAL}) as overshoot from assigned group by 1",
+    ["compiled", "pairs"],
+)
+def split_sizes(spark, sf) -> DataFrame:
+    return W.split_sizes(split_pairs(spark, sf), N_VAL)
 
 
 @register(
@@ -184,7 +199,7 @@ def leaked_keys(spark, sf) -> DataFrame:
     items = table(spark, sf, "benchmark").select(F.col("text").alias("prompt"))
     french = docs.where("lang = 'fr'").select("prompt").unionByName(items)
     others = docs.where("lang <> 'fr'").select("prompt").unionByName(items)
-    return G.leaked_keys(others, french)
+    return G.leaked_keys(others, french).select(hex_key())
 
 
 @register(
@@ -194,7 +209,7 @@ def leaked_keys(spark, sf) -> DataFrame:
 def without_leakage(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnRenamed("text", "prompt")
     held_out = docs.join(docs.agg(F.min("source").alias("source")), "source", "left_semi")
-    return G.without_leakage(docs, held_out).select("doc_id")
+    return G.without_leakage(docs, held_out, "doc_id").select("doc_id")
 
 
 @register(
@@ -203,7 +218,7 @@ def without_leakage(spark, sf) -> DataFrame:
     ["compiled", "pairs"],
 )
 def duplicate_prompts(spark, sf) -> DataFrame:
-    return G.duplicate_prompts(view(spark, sf, "pairs"))
+    return G.duplicate_prompts(view(spark, sf, "pairs")).select(hex_key(), "copies", "first_row")
 
 
 # --- coverage and reports -----------------------------------------------------------------------------------------
@@ -383,14 +398,29 @@ def delta_ready(spark, sf) -> DataFrame:
 
 @register(
     "assemble_outputs",
-    """with b as (select conv_id, text, row_number() over (partition by conv_id order by turn) - 1 as pos from conversations)
-       select conv_id, (pos // 1000)::bigint as part, md5(string_agg(text || chr(10) || chr(10), '' order by pos)) as digest from b group by 1, 2""",
+    "select conv_id, turn, md5(text || chr(10) || chr(10)) as digest from conversations",
 )
 def assemble_outputs(spark, sf) -> DataFrame:
-    """A conversation's turns stand for the blocks of a file; turns are numbered without gaps."""
+    """A conversation's turns stand for the blocks of a file."""
+    pieces = G.assemble_outputs(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+    return pieces.select("conv_id", "turn", F.md5("text").alias("digest"))
+
+
+@register(
+    "write_pieces",
+    "select conv_id, md5(string_agg(text || chr(10) || chr(10), '' order by turn)) as digest from conversations group by 1",
+)
+def write_pieces(spark, sf) -> DataFrame:
+    """Files written from pieces, read back whole: one conversation of many turns may hold several
+    files, whose order is that of their names."""
+    folder = scratch_path(spark, "pieces")
     turns = table(spark, sf, "conversations")
-    rows = G.assemble_outputs(turns, "conv_id", "turn", "text")
-    return rows.select("conv_id", "part", F.md5("text").alias("digest"))
+    write_files(G.assemble_outputs(turns, "conv_id", "turn", "text"), folder, "conv_id", "turn", "text")
+    files = read_sources(spark, f"{folder}/conv_id=*").select(
+        F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("bigint").alias("conv_id"), "path", "source"
+    )
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "source"))), lambda f: f.source), "")
+    return files.groupBy("conv_id").agg(F.md5(texts).alias("digest"))
 
 
 # --- routing ------------------------------------------------------------------------------------------------------------
@@ -413,21 +443,26 @@ def known_profile(spark, sf) -> DataFrame:
     return J.known_profile(view(spark, sf, "modules"), J.default_catalog(spark)).select("id", "profile")
 
 
-@register("unused_profiles", f"select profile from {CATALOG_SQL} except select profile from modules where version = '1.11.0' and dirty", ["modules"])
+PLANNED = f"(select profile from {CATALOG_SQL} union select lang || '_plain' from documents)"
+
+
+@register("unused_profiles", f"select profile from {PLANNED} except select profile from modules", ["modules"])
 def unused_profiles(spark, sf) -> DataFrame:
-    used = view(spark, sf, "modules").where("version = '1.11.0' and dirty")
-    return J.unused_profiles(used, J.default_catalog(spark))
+    """The catalog with one planned profile for each language of the documents, less all profiles in use."""
+    planned = table(spark, sf, "documents").select(F.concat("lang", F.lit("_plain")).alias("profile")).where("profile is not null")
+    catalog = J.default_catalog(spark).select("profile").unionByName(planned.distinct())
+    return J.unused_profiles(view(spark, sf, "modules"), catalog)
 
 
 @register(
     "phases_complete",
-    f"""with listed as (select distinct profile from modules where not (profile like 'sql%')), cat as (select profile from {CATALOG_SQL})
+    f"""with listed as (select distinct profile from modules), cat as (select profile from {CATALOG_SQL})
         select profile, 'catalog' as only_in from cat where profile not in (select profile from listed)
         union all select profile, 'phases' from listed where profile not in (select profile from cat)""",
     ["modules"],
 )
 def phases_complete(spark, sf) -> DataFrame:
-    phases = view(spark, sf, "modules").where("not (profile like 'sql%')").select("profile")
+    phases = view(spark, sf, "modules").select("profile")
     return J.phases_complete(J.default_catalog(spark), phases)
 
 

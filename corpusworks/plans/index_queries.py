@@ -159,10 +159,10 @@ def index_modules(spark, sf) -> DataFrame:
     return flagged.withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
-@register("module_rollup", "select m.id, coalesce(bool_or(b.dirty), m.dirty) as dirty from modules m left join (select * from blocks where kind <> 'type') b on b.module_id = m.id group by m.id, m.dirty", VIEWS)
+@register("module_rollup", "select m.id, coalesce(bool_or(b.dirty), m.dirty) as dirty from modules m left join blocks b on b.module_id = m.id group by m.id, m.dirty", VIEWS)
 def module_rollup(spark, sf) -> DataFrame:
     index = base(spark, sf)
-    return I.module_rollup(index.modules, index.blocks.where("kind <> 'type'")).select("id", "dirty")
+    return I.module_rollup(index.modules, index.blocks).select("id", "dirty")
 
 
 @register(

@@ -15,6 +15,18 @@ def read_sources(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
+def write_pieces(pieces: DataFrame, folder: str, key: str, pos: str, text: str) -> None:
+    """Write each key's pieces into ``folder``/key=…, in the order of ``pos``.
+
+    Read by name, a key's files give its text: tasks hold consecutive ranges of (key, pos), so a long
+    text spreads over many files and none is gathered. Pieces must end with a line break, which the
+    writer puts back after each one.
+    """
+    placed = pieces.repartitionByRange(key, pos).sortWithinPartitions(key, pos)
+    line = F.regexp_replace(text, r"\n\z", "").alias("value")
+    placed.select(key, line).write.partitionBy(key).text(folder)
+
+
 def write_version(df: DataFrame, root: str, version: int, retry: bool = False) -> str:
     """Write one numbered version of a table. A version is never overwritten, so a job may read
     the latest one while it writes the next. With ``retry`` a version that a failed attempt left

@@ -3,7 +3,6 @@
 import datetime
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusworks.functions import scalars as S
@@ -38,9 +37,7 @@ def test_all_or_nothing_with_null_transaction(spark):
     assert sorted(r.t for r in D.all_or_nothing(df, "t", "ok").collect()) == ["b", "c"]
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
-def test_pages(spark, limit, monkeypatch):
-    monkeypatch.setattr(D, "DEEP_PAGE", limit)
+def test_pages(spark):
     df = spark.range(95).repartition(4)
     assert [r.id for r in D.paginate(df, ["id"], 3, 10).collect()] == list(range(20, 30))
     assert [r.id for r in D.paginate(df, ["id"], 10, 10).collect()] == list(range(90, 95))
@@ -64,11 +61,12 @@ def test_cache_lookup_brute_force(spark):
         assert got[n] == want
 
 
-def test_string_agg_parts(spark):
-    df = spark.range(25).select(F.lit("k").alias("k"), "id")
-    parts = sorted(D.string_agg(df, ["k"], "id", ["id"], ",", per_part=10).collect(), key=lambda r: r.part)
-    assert [r.n for r in parts] == [10, 10, 5]
-    assert ",".join(r.joined for r in parts) == ",".join(map(str, range(25)))
+def test_string_agg_has_one_form_for_all_sizes(spark):
+    df = spark.range(50_000).select(F.when(F.col("id") < 3, "few").otherwise("many").alias("k"), "id").repartition(6)
+    for k, ids in (("few", range(3)), ("many", range(3, 50_000))):
+        rows = sorted(D.string_agg(df, ["k"], "id", ["id"], ",").where(F.col("k") == k).collect(), key=lambda r: r.pos)
+        assert [r.pos for r in rows] == list(range(1, len(ids) + 1))
+        assert "".join(r.piece for r in rows) == ",".join(map(str, ids))
 
 
 def test_fallback_and_lookup(spark):

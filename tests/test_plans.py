@@ -54,6 +54,22 @@ def test_duplicates_shuffle_keys_not_texts(spark, sf):
     assert "partial_count" in text
 
 
+def test_texts_do_not_travel(spark, sf):
+    """Without broadcasts, no exchange below the last join on the row key carries a text."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("prompt"))
+    other = docs.where("idx > 100")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (G.leakage(docs, other, "idx"), G.without_leakage(docs, other, "idx"), W.first_occurrence(docs)):
+            exchanges = [e for e in re.findall(r"Exchange hashpartitioning\(([^)]*)\)[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan(df))]
+            assert exchanges
+            for keys, columns in exchanges:
+                assert not re.search(r"(?:^|, )(?:prompt|text)#|AS prompt#", columns) or keys.startswith("idx#")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_top_k_limits_before_the_shuffle(spark, sf):
     df = view(spark, sf, "pairs").select("adapter", "idx")
     text = plan(W.top_k_per_group(df, ["adapter"], ["idx"], 5))
@@ -63,6 +79,7 @@ def test_top_k_limits_before_the_shuffle(spark, sf):
 def stored(spark, sf, tmp_path):
     path = str(tmp_path / "compiled")
     compiled(spark, sf).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # whole filter lists in plans
     return spark.read.parquet(path)
 
 

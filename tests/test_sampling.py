@@ -28,10 +28,11 @@ def test_split_is_a_partition_without_leakage(spark, pairs):
     assert sorted(r.idx for r in rows) == list(range(3000))
     sizes = collections.Counter((r.adapter, r.split) for r in rows)
     for adapter in ("python_flask", "go_gin"):
-        assert 50 <= sizes[adapter, "validation"] < 100
+        assert 50 <= sizes[adapter, "validation"] < 600
+    report = {r.adapter: r for r in W.split_sizes(split, 50).collect()}
+    assert all(report[a].overshoot == sizes[a, "validation"] - 50 and report[a].train == sizes[a, "train"] for a in report)
     train, valid = split.where("split = 'train'"), split.where("split = 'validation'")
     assert G.leaked_keys(train, valid, ["adapter"]).count() == 0
-    assert all(r.split == "train" for r in rows if "hot" in r.prompt)
 
 
 def test_split_does_not_depend_on_row_order(pairs):
@@ -49,10 +50,10 @@ def test_duplicates(pairs):
 
 
 def test_leakage_pair(spark):
-    train = spark.createDataFrame([("a b",), ("c",)], "prompt string")
-    valid = spark.createDataFrame([(" a  b ",), ("d",)], "prompt string")
-    assert [r.prompt for r in G.leakage(train, valid).collect()] == [" a  b "]
-    assert [r.prompt for r in G.without_leakage(train, valid).collect()] == ["c"]
+    train = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "idx int, prompt string")
+    valid = spark.createDataFrame([(1, " a  b "), (2, "d"), (3, None)], "idx int, prompt string")
+    assert [r.prompt for r in G.leakage(train, valid, "idx").collect()] == [" a  b "]
+    assert [r.idx for r in G.without_leakage(train, valid, "idx").orderBy("idx").collect()] == [2, 3]
 
 
 @pytest.mark.parametrize("need", [10, 500, 1013, 1100, 2500])
@@ -112,12 +113,19 @@ def test_missing_prompts_are_no_duplicates(spark):
     assert [r.copies for r in G.duplicate_prompts(df).collect()] == [2]
 
 
-def test_split_when_every_prompt_has_many_copies(spark):
-    """Prompts of 30, 40 and 90 copies for 20 wanted rows: the smallest validates, the largest trains."""
+def test_split_takes_prompts_in_drawn_order_alone(spark):
+    """Prompts of 30, 40 and 90 copies: the first drawn one that reaches the wanted rows ends the choice."""
     df = spark.createDataFrame([(i, "a", p) for p, n in (("x", 40), ("y", 90), ("z", 30)) for i in range(n)], "i int, adapter string, prompt string")
-    rows = W.split_train_val(df, 20, seed=3).collect()
-    assert {r.prompt for r in rows if r.split == "validation"} == {"z"} and len(rows) == 160
-    rows = W.split_train_val(df, 65, seed=3).collect()
-    assert {r.prompt for r in rows if r.split == "validation"} == {"x", "z"}
+    sizes = {"x": 40, "y": 90, "z": 30}
+    key = W.draw(F.lower(F.hex(W.T.text_key(F.col("p")))), 3)
+    drawn = [r.p for r in spark.createDataFrame([(p,) for p in sizes], "p string").orderBy(key).collect()]
+    for n_val in (20, 65, 100):
+        want, total = set(), 0
+        for p in drawn:
+            if total < n_val:
+                want.add(p)
+                total += sizes[p]
+        rows = W.split_train_val(df, n_val, seed=3).collect()
+        assert {r.prompt for r in rows if r.split == "validation"} == want and len(rows) == 160
     single = W.split_train_val(df.where("prompt = 'y'"), 20, seed=3).collect()
-    assert {r.split for r in single} == {"train"}
+    assert {r.split for r in single} == {"validation"} and len(single) == 90
