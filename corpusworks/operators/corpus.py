@@ -198,7 +198,8 @@ def length_profile(pairs: DataFrame, text: str = "text", max_tokens: int = fixed
 
 
 def adapter_readiness(
-    pairs: DataFrame, rates: DataFrame, catalog: DataFrame, min_pairs: int = fixed.NEW_TARGET_PAIRS
+    pairs: DataFrame, rates: DataFrame, catalog: DataFrame, min_pairs: int = fixed.NEW_TARGET_PAIRS,
+    min_held_out: int = fixed.VALIDATION_PAIRS,
 ) -> DataFrame:
     """One row per adapter with a flag per readiness rule: pairs, constructs, threshold.
 
@@ -217,7 +218,7 @@ def adapter_readiness(
             "adapter",
             (F.coalesce("pairs", F.lit(0)) >= min_pairs).alias("enough_pairs"),
             F.coalesce("all_constructs", F.lit(False)).alias("all_constructs"),
-            (F.coalesce("held_out", F.lit(0)) >= fixed.VALIDATION_PAIRS).alias("enough_held_out"),
+            (F.coalesce("held_out", F.lit(0)) >= min_held_out).alias("enough_held_out"),
             F.coalesce(F.col("pass_rate") >= F.col("threshold"), F.lit(False)).alias("meets_threshold"),
         )
         .withColumn(

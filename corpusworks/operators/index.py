@@ -18,11 +18,15 @@ from corpusworks.session import materialise, scratch_path
 
 @dataclass(frozen=True)
 class Index:
-    """modules(id, dirty, …), blocks(id, module_id, dirty, …), deps(from_module, to_module)."""
+    """modules(id, dirty, …), blocks(id, module_id, dirty, …), deps(from_module, to_module).
+
+    ``changed`` holds the ids of the modules whose blocks the latest batch added or changed.
+    """
 
     modules: DataFrame
     blocks: DataFrame
     deps: DataFrame
+    changed: DataFrame | None = None
 
 
 def body_hash(body: Column) -> Column:
@@ -53,25 +57,25 @@ def index_modules(index: Index, modules: DataFrame, blocks: DataFrame, now: Colu
     """Upsert parsed modules (with ``requires``) and blocks (with ``body``) as one batch.
 
     Blocks whose body hash did not change keep their output and flag unless ``force`` is set;
-    modules with a changed block, and all their dependents, become dirty.
+    modules with a changed block, and all their dependents, become dirty. Runs jobs when called:
+    the rows to be stored are written once, as the tables are built from them several times.
     """
     change = changed_blocks(index.blocks, blocks)
     touched = change.where("change in ('added', 'changed')").select("id")
     fresh = blocks if force else blocks.join(touched, "id", "left_semi")
     fresh = fresh.withColumns({"dirty": F.lit(True), "body_hash": body_hash(F.col("body")), "indexed_at": now})
-    new_blocks = upsert(index.blocks, _same_columns(fresh, index.blocks), "id")
-
-    # Read several times below; written once.
-    stale = materialise(fresh.select(F.col("module_id").alias("id")).distinct(), "stale").withColumn("_stale", F.lit(True))
+    fresh = materialise(_same_columns(fresh, index.blocks), "blocks")
+    new_blocks = upsert(index.blocks, fresh, "id")
+    seeds = materialise(fresh.select(F.col("module_id").alias("id")).distinct(), "stale")
+    stale = seeds.withColumn("_stale", F.lit(True))
     previous = index.modules.select("id", F.col("dirty").alias("_was"))
     rows = modules.join(stale, "id", "left").join(previous, "id", "left")
     # A module seen for the first time is dirty, otherwise its own blocks decide.
     dirty = F.lit(force) | F.coalesce("_stale", "_was", F.lit(True)) | F.coalesce("_was", F.lit(True))
-    rows = rows.withColumns({"dirty": dirty, "indexed_at": now}).drop("_stale", "_was")
+    rows = materialise(rows.withColumns({"dirty": dirty, "indexed_at": now}).drop("_stale", "_was"), "modules")
     new_modules = upsert(index.modules, _same_columns(rows, index.modules), "id")
-    new_deps = replace_deps(index.deps, modules)
-    seeds = stale.select("id")
-    return _flag_dependents(Index(new_modules, new_blocks, new_deps), seeds)
+    new_deps = replace_deps(index.deps, rows)
+    return _flag_dependents(Index(new_modules, new_blocks, new_deps, seeds), seeds)
 
 
 def _same_columns(rows: DataFrame, like: DataFrame) -> DataFrame:

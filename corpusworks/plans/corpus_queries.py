@@ -11,7 +11,8 @@ from corpusworks.functions import text as T
 from corpusworks.operators import corpus as G
 from corpusworks.operators import routing as J
 from corpusworks.operators import sampling as W
-from corpusworks.plans.check_queries import CATALOG_SQL, TIER_SQL
+from corpusworks.operators.validate import validate as validated
+from corpusworks.plans.check_queries import ALL_CHECKED, CATALOG_SQL, TIER_SQL
 from corpusworks.plans.inputs import compiled, table, view
 from corpusworks.plans.registry import register
 from corpusworks.plans.text_queries import TOKENS, WS, strip_sql
@@ -375,20 +376,20 @@ def length_profile(spark, sf) -> DataFrame:
 
 @register(
     "adapter_readiness",
-    f"""with p as (select adapter, count(*) as n, count(distinct construct) as c from pairs group by 1),
-        h as (select adapter, count(*) as n, avg((length(completion) > 1500)::int) as rate from pairs group by 1)
-        select profile as adapter, coalesce(p.n, 0) >= 40 as enough_pairs, coalesce(p.c, 0) = 22 as all_constructs, coalesce(h.n, 0) >= 200 as enough_held_out,
-          coalesce(h.rate >= threshold, false) as meets_threshold,
-          coalesce(p.n, 0) >= 40 and coalesce(p.c, 0) = 22 and coalesce(h.n, 0) >= 200 and coalesce(h.rate >= threshold, false) as ready
-        from {CATALOG_SQL} left join p on p.adapter = profile left join h on h.adapter = profile""",
+    f"""{ALL_CHECKED}, {SPLIT}, p as (select adapter, count(*) as n, count(distinct construct) as c from pairs group by 1),
+        h as (select adapter, count(*) as n, avg(passed::int) as rate from assigned join seven on doc_id = idx where split = 'validation' group by 1),
+        r as (select profile as adapter, coalesce(p.n, 0) >= {fixed.NEW_TARGET_PAIRS} as enough_pairs, coalesce(p.c, 0) = 22 as all_constructs, coalesce(h.n, 0) >= {N_VAL} as enough_held_out,
+          coalesce(h.rate >= threshold, false) as meets_threshold
+        from {CATALOG_SQL} left join p on p.adapter = profile left join h on h.adapter = profile)
+        select *, enough_pairs and all_constructs and enough_held_out and meets_threshold as ready from r""",
     ["compiled", "pairs"],
 )
 def adapter_readiness(spark, sf) -> DataFrame:
-    pairs = view(spark, sf, "pairs")
-    rates = pairs.groupBy("adapter").agg(
-        F.count("*").alias("n"), F.avg((F.length("completion") > 1500).cast("double")).alias("pass_rate")
-    )
-    return G.adapter_readiness(pairs, rates, J.default_catalog(spark), min_pairs=40)
+    """Pass rates of all seven checks over the held-out rows of the split."""
+    passed = validated(compiled(spark, sf)).select(F.col("doc_id").alias("idx"), "passed")
+    held_out = split_pairs(spark, sf).where("split = 'validation'").select("idx", "adapter").join(passed, "idx")
+    rates = G.pass_rate(held_out, ["adapter"])
+    return G.adapter_readiness(view(spark, sf, "pairs"), rates, J.default_catalog(spark), min_held_out=N_VAL)
 
 
 @register("delta_ready", "select adapter, count(*) as pairs, count(*) >= 100 as enough from pairs where construct in ('QUERY', 'LOOP', 'LOCK') group by 1", ["compiled", "pairs"])

@@ -154,8 +154,7 @@ def index_modules(spark, sf) -> DataFrame:
     index = base(spark, sf)
     modules, blocks = reparsed(index)
     after = I.index_modules(index, modules, blocks, F.expr("timestamp_ntz'2024-01-31'"))
-    stale = I.changed_blocks(index.blocks, blocks).where("change in ('added', 'changed')").join(after.blocks, "id").select(F.col("module_id").alias("id")).distinct()
-    flagged = after.modules.select("id", "dirty").join(stale.withColumn("changed", F.lit(True)), "id", "left")
+    flagged = after.modules.select("id", "dirty").join(after.changed.withColumn("changed", F.lit(True)), "id", "left")
     return flagged.withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
