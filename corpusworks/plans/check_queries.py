@@ -291,13 +291,13 @@ def validation_summary(spark, sf) -> DataFrame:
 
 @register(
     "escalation_package",
-    f"""with {JUDGED} select doc_id, md5(intl_block) as block_digest, md5(compiled_code) as code_digest,
-        concat_ws(' ', case when not t2 then 'T2-Sentinel' end, case when not t3 then 'T3-Preconditions' end, case when not t4 then 'T4-Postconditions' end,
-          case when not t5 then 'T5-SideEffects' end, case when not t6 then 'T6-Types' end, case when not t7 then 'T7-NoPlaceholders' end) as failed from final where not passed""",
+    f"""{ALL_CHECKED} select doc_id, md5(intl_block) as block_digest, md5(compiled_code) as code_digest,
+        concat_ws(' ', case when not t1 then 'T1-Syntax' end, case when not t2 then 'T2-Sentinel' end, case when not t3 then 'T3-Preconditions' end, case when not t4 then 'T4-Postconditions' end,
+          case when not t5 then 'T5-SideEffects' end, case when not t6 then 'T6-Types' end, case when not t7 then 'T7-NoPlaceholders' end) as failed from seven where not passed""",
     ["compiled"],
 )
 def escalation_package(spark, sf) -> DataFrame:
-    rows = V.escalation_package(rules_checked(spark, sf)).where("package is not null")
+    rows = V.escalation_package(V.validate(compiled(spark, sf))).where("package is not null")
     names = F.array_join(F.transform("package.failed_checks", lambda c: c["name"]), " ")
     return rows.select(
         "doc_id", F.md5("package.intl_block").alias("block_digest"), F.md5("package.compiled_code").alias("code_digest"), names.alias("failed")
