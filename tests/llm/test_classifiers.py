@@ -82,6 +82,24 @@ def test_noisy_or_is_the_product_over_sentences(spark):
         assert math.isclose(r.score, want[r.doc_id], abs_tol=1e-9)
 
 
+def test_log_odds_are_taken_beyond_the_beginning():
+    odds = toxicity.log_odds({"idiot": (8, 0), "idio*": (8, 0), "grumbot": (4, 0), "grum*": (9, 3)}, 5.0)
+    assert set(odds) == {"idiot", "grumbot", "grum*"}  # idio* says no more than idiot
+    assert math.isclose(odds["idiot"], math.log(8.5 / 0.5 * 5))
+    assert math.isclose(odds["grum*"] + odds["grumbot"], math.log(4.5 / 0.5 * 5))
+
+
+def test_weights_stay_near_log_odds_unless_documents_demand_otherwise():
+    """The words of the toxic documents keep their log odds though either would do; a word of clean
+    documents loses what its log odds claimed."""
+    features = {"scum": 5.0, "clown": 5.0, "of": 5.0}
+    labels = np.array([1.0] * 20 + [0.0] * 80)
+    model = toxicity.fit_bags(features, labels, np.full(100, 4.0), [[[0, 1]]] * 20 + [[[2]]] * 80)
+    chance = lambda z: 1 / (1 + math.exp(-z))
+    assert model.weights["scum"] >= 4.99 and model.weights["clown"] >= 4.99
+    assert chance(model.base + 10) > 0.9 and chance(model.base + model.weights.get("of", 0.0)) < 0.1
+
+
 def test_sentences_have_places():
     text = "One. Two!  Three\n\nFour? 3.5 is no end."
     found = toxicity.sentences(text)
