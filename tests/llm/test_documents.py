@@ -255,3 +255,13 @@ def test_pipeline_stages(spark, sf):
     last = kept[5].collect()
     assert all(r.copies >= 1 and r.rate > 0 for r in last) and kept[5].columns == [*docs.columns, "rate", "copies"]
     assert P.run(spark, sf).count() == len(last)
+
+
+def test_secrets_of_the_given_tables(spark):
+    """Every token that is assigned in the given documents is found, and nothing else; the smallest table has none."""
+    assigned = re.compile(r'token = "([0-9a-f]{40})"')
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        planted = {(r.doc_id, m.start(1)) for r in docs.collect() for m in assigned.finditer(r.text or "")}
+        found = {(r.doc_id, r.start) for r in secrets.scan(docs, secrets.learn(docs)).collect()}
+        assert found == planted
