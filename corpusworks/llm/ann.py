@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, PAIRS = 1024, 4096, 200_000
+QUERY_BLOCK, CANDIDATE_BLOCK, PAIRS = 1024, 4096, 100_000
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -39,6 +39,14 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
     return order[np.arange(len(q)) - first < k]
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner product of each pair of rows, summed in the order of the components on every machine."""
+    total = np.zeros(len(a))
+    for part in np.ascontiguousarray((a * b).T):
+        total += part
+    return total
+
+
 def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of each query of a tile."""
     if queries.empty or candidates.empty:
@@ -58,7 +66,7 @@ def tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFram
     others = min(k, low.shape[1])
     limit = np.partition(low, low.shape[1] - others, axis=1)[:, low.shape[1] - others]
     rows, cols = np.nonzero((near + slack >= limit[:, None]) & ~own)
-    scores = np.concatenate([np.einsum("ij,ij->i", q[rows[i : i + PAIRS]], c[cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)] or [np.empty(0)])
+    scores = np.concatenate([_products(q[rows[i : i + PAIRS]], c[cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)] or [np.empty(0)])
     kept = _best(qi[rows], ci[cols], scores, k)
     return pd.DataFrame({"query_id": qi[rows][kept], "vec_id": ci[cols][kept], "score": scores[kept]})
 
