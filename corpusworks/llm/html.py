@@ -31,6 +31,8 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("script style noscript template title textarea iframe object svg math select head xmp noembed noframes".split())
+#: Any other opening tag, and any text, ends an open head.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW_TAGS = frozenset("script style title textarea xmp iframe noembed noframes".split())
 CLOSES_P = BLOCK_TAGS - {"button", "body", "caption", "dialog", "head", "html", "legend", "option", "select", "tbody", "td", "template", "textarea", "tfoot", "th", "thead", "title", "tr"}
 #: An opening tag ends an open element of these kinds, unless one of the kinds behind it stands between.
@@ -45,7 +47,7 @@ ENDS = {
 }
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(class|id|role|hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)\s*(?:=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -62,17 +64,22 @@ class Block:
 
 def _element(tag: str, attributes: str) -> tuple[str, tuple[str, ...], bool]:
     """(tag, words of class, id and role, is hidden)."""
-    words, hidden = [], tag in HIDDEN_TAGS
+    words, hidden, seen = [], tag in HIDDEN_TAGS, set()
     if attributes and not attributes.isspace():
-        for m in _NAMES.finditer(attributes):
+        for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in seen:  # the first of a name counts
+                continue
+            seen.add(name)
             if name == "hidden":
                 hidden = True
+            elif name == "aria-hidden":
+                hidden = hidden or value.strip().lower() == "true"
             elif name == "style":
                 hidden = hidden or bool(_HIDDEN_STYLE.search(value))
-            else:
+            elif name in ("class", "id", "role", "itemprop"):
                 words.extend(p.lower() for p in _PARTS.findall(value))
-    return tag, tuple(words[:24]), hidden
+    return tag, tuple(dict.fromkeys(words)), hidden
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -116,6 +123,8 @@ def leaf_blocks(page: str) -> list[Block]:
     while at < size:
         m = _MARKUP.search(page, at)
         start = m.start() if m else size
+        if start > at and stack and stack[-1][0] == "head" and not page[at:start].isspace():
+            pop(len(stack) - 1)
         if start > at and not hidden:
             pieces.append((page[at:start], links > 0))
         if not m:
@@ -134,6 +143,12 @@ def leaf_blocks(page: str) -> list[Block]:
             elif tag == "p":
                 close()
             continue
+        if tag == "body":
+            i = last({"head"}, {"template"})
+            if i >= 0:
+                pop(i)
+        elif tag not in HEAD_TAGS and stack and stack[-1][0] == "head":
+            pop(len(stack) - 1)
         if tag in CLOSES_P:
             i = last({"p"}, {"button", "table", "td", "th", "caption"})
             if i >= 0:
