@@ -11,6 +11,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from corpusworks.llm.common import bounded
+from corpusworks.llm.common import bounded, materialise
 
-#: Rows that lend words to the dictionary and the labelled findings, dictionary size, labelled findings made.
-SOURCE_ROWS, ROW_CHARS, DICTIONARY, LABELLED = 400, 4_000, 5_000, 4_000
+#: Rows and their first characters that lend words to the labelled findings, and labelled findings made.
+SOURCE_ROWS, ROW_CHARS, LABELLED = 400, 4_000, 4_000
+#: Most frequent words and character pairs of the whole corpus that are kept, and words counted before counts are passed on.
+DICTIONARY, PAIRS, COUNTED = 50_000, 50_000, 200_000
 TREES, DEPTH, LEAST = 30, 9, 3
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -30,6 +33,7 @@ MASK = "[SECRET]"
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_~-]{12,}={0,2}")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_LONG = 1_000_000
 _CLASSES = {**{c: 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: 2 for c in "0123456789"}}
 _TELLING = frozenset("password passwd pwd secret token key apikey auth credential credentials bearer access private client aws api".split())
 _HARMLESS = frozenset("commit sha sha1 sha256 md5 hash checksum digest uuid id guid isbn doi version build revision phone tel card order number img image src href".split())
@@ -66,18 +70,71 @@ def candidates(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def learn_usual(texts: list[str]) -> Surroundings:
-    """Surroundings of some texts, without their long tokens that are no plain words."""
-    pairs, words = Counter(), Counter()
+def _counted(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
+    """(words of 4 or more letters, character pairs) of texts, without their long tokens that are no plain words.
+
+    Counts are given out whenever COUNTED words have come together, so they come in parts.
+    """
+    seen = Counter()
+
+    def parts() -> tuple[Counter, Counter]:
+        words, pairs = Counter(), Counter()
+        for word, n in seen.items():
+            low = word.lower()
+            if len(low) >= 4:
+                words[low] += n
+            for i in range(len(low) - 1):
+                pairs[low[i : i + 2]] += n
+        return words, pairs
+
     for text in texts:
         plain = _CANDIDATE.sub(lambda m: m[0] if m[0][1:].isalpha() and m[0][1:].islower() else " ", text)
-        found = [w.lower() for w in _WORD.findall(plain)]
-        words.update(w for w in found if len(w) >= 4)
-        for w in found:
-            pairs.update(a + b for a, b in zip(w, w[1:], strict=False))
-    total = sum(pairs.values()) + 1
-    frequent = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:DICTIONARY]
-    return Surroundings({p: math.log((n + 0.5) / total) for p, n in pairs.items()}, math.log(0.5 / total), frozenset(w for w, _ in frequent))
+        for at in _WORD.finditer(plain) if len(plain) > _LONG else ():
+            seen[at[0]] += 1
+            if len(seen) >= COUNTED:
+                yield parts()
+                seen.clear()
+        if len(plain) <= _LONG:
+            seen.update(_WORD.findall(plain))
+        if len(seen) >= COUNTED:
+            yield parts()
+            seen.clear()
+    if seen:
+        yield parts()
+
+
+def _usual(words: Iterable[tuple[str, int]], pairs: Iterable[tuple[str, int]], total: int) -> Surroundings:
+    return Surroundings({p: math.log((n + 0.5) / (total + 1)) for p, n in pairs}, math.log(0.5 / (total + 1)), frozenset(w for w, _ in words))
+
+
+def learn_usual(texts: list[str]) -> Surroundings:
+    """Surroundings of some texts, without their long tokens that are no plain words."""
+    words, pairs = Counter(), Counter()
+    for some, two in _counted(texts):
+        words.update(some)
+        pairs.update(two)
+    first = lambda counts, most: sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
+    return _usual(first(words, DICTIONARY), first(pairs, PAIRS), sum(pairs.values()))
+
+
+def usual_of(docs: DataFrame) -> Surroundings:
+    """Surroundings of all whole texts: counts per partition, added by a shuffle; the most frequent reach the driver."""
+
+    def run(batches):
+        texts = (t.as_py() for batch in batches for t in batch.column(0))
+        for parts in _counted(texts):
+            for pair, counts in enumerate(parts):
+                keys, n = list(counts), len(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([bool(pair)] * n), pa.array(keys, pa.string()), pa.array(counts.values(), pa.int64())], names=["pair", "key", "n"])
+
+    counts = docs.select("text").where("text is not null").mapInArrow(run, "pair boolean, key string, n long")
+    counts = materialise(counts.groupBy("pair", "key").agg(F.sum("n").alias("n")), "usual")
+    total = counts.where("pair").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+    def most(rows: DataFrame, count: int) -> list[tuple[str, int]]:
+        return [(r.key, r.n) for r in rows.orderBy(F.desc("n"), "key").limit(count).select("key", "n").collect()]
+
+    return _usual(most(counts.where("not pair"), DICTIONARY), most(counts.where("pair"), PAIRS), total)
 
 
 def _covered(token: str, dictionary: frozenset[str]) -> float:
@@ -235,13 +292,17 @@ def probability(model: SecretModel, x: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, findings: list[tuple[str, str, str, str, int]] | None = None) -> SecretModel:
-    """A model from labelled findings, made by rule if none are given, and from at most about SOURCE_ROWS
-    rows that show which words and transitions are usual. Works without rows."""
+    """A model from labelled findings and from the words and transitions that are usual in all whole texts.
+
+    Findings are made by rule from words of at most about SOURCE_ROWS rows if none are given. Works without rows.
+    """
+    usual = usual_of(docs)
+    if findings:
+        return fit(usual, findings)
     rows = bounded(docs.select("doc_id", "text").where("text is not null"), "doc_id", SOURCE_ROWS)
     texts = sorted(r.text for r in rows.select(F.substring("text", 1, ROW_CHARS).alias("text")).collect())
-    usual = learn_usual(texts)
     words = sorted({w for t in texts for w in _WORD.findall(t) if w.isascii()})
-    return fit(usual, findings or labelled_findings(words))
+    return fit(usual, labelled_findings(words))
 
 
 def find(model: SecretModel, texts: list[str | None], paths: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[int, str, float]]]:

@@ -1,0 +1,22 @@
+"""Corpus statistics of all whole texts."""
+
+from corpusworks.llm import secrets
+from tests.llm.helpers import AWKWARD, documents
+from tests.llm.test_documents import SENTENCES
+
+
+def test_usual_counts_all_whole_texts(spark, monkeypatch):
+    """A rare language, and what stands behind the first characters of a text, count."""
+    rows = [(i, SENTENCES[i % 80]) for i in range(3000)]
+    rows += [(5000, "x " * 5_000 + "hinterland"), (5001, "Žluťoučký kůň úpěl ďábelské ódy"), (5002, "key b7db7aa4a5fcc78305d1"), *AWKWARD]
+    docs = documents(spark, rows).repartition(5)
+    want = secrets.learn_usual([r[1] for r in rows if r[1]])
+    got = secrets.learn(docs, [("a" * 12, "", "", "", 0)]).usual
+    assert got == want and {"hinterland", "žluťoučký", "ďábelské"} <= got.dictionary and "ďá" in got.pairs
+    monkeypatch.setattr(secrets, "COUNTED", 3)
+    monkeypatch.setattr(secrets, "_LONG", 100)
+    assert secrets.learn_usual([r[1] for r in rows if r[1]]) == want
+
+
+def test_usual_of_no_rows(spark):
+    assert secrets.usual_of(documents(spark, [])) == secrets.learn_usual([])
