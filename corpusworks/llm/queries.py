@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusworks.llm import ann, decontam, html, langid, mixing, quality, secrets, simhash, substrings, toxicity
+from corpusworks.llm import ann, decontam, html, langid, mixing, quality, secrets, simhash, spelling, substrings, toxicity
 from corpusworks.llm.common import remainder, table
 
 QUERIES = {}
@@ -121,3 +121,8 @@ SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY l
 FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0
 QUALIFY rank <= 20
 """
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
