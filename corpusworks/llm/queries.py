@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusworks.llm import ann, decontam, html, langid, mixing, quality, secrets, simhash, spelling, substrings, toxicity
+from corpusworks.llm import ann, decontam, html, langid, mixing, quality, secrets, simhash, spelling, substrings, toxicity, whitening
 from corpusworks.llm.common import remainder, table
 
 QUERIES = {}
@@ -123,6 +123,11 @@ QUALIFY rank <= 20
 """
 
 
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
