@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusworks.llm import ann, decontam, html, langid, mixing, quality, secrets, simhash, spelling, substrings, toxicity, whitening
+from corpusworks.llm import ann, decontam, html, langid, mixing, pii, quality, secrets, simhash, spelling, substrings, toxicity, whitening
 from corpusworks.llm.common import remainder, table
 
 QUERIES = {}
@@ -123,6 +123,14 @@ QUALIFY rank <= 20
 """
 
 
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents")).select("*", F.filter("spans", lambda s: s["base"]).alias("base"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
