@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,28 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held_out: int,
     return one.where("label = _other").drop("_other")
 
 
+#: Bytes of text that a task works on at once, when a batch holds more.
+TAKEN = 4 << 20
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = TAKEN) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about ``most`` bytes of text; a row stays whole.
+
+    Memory that is free by the end of a task goes back to the machine: workers live on between tasks.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, first = np.cumsum(sizes + 64), 0  # rows without text cost something too
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(batches, schema)
 

@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from corpusworks.llm.common import grams, word_groups
+from corpusworks.llm.common import by_bytes, grams, word_groups
 
 #: Words of a seed, and least share of an item's words under tiles.
 SEED, COVERAGE = 5, 0.5
@@ -128,7 +127,7 @@ def _pairs(items: _Items, texts: list[str | None], coverage: float):
 
 def _scan(items: _Items, coverage: float):
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[p[0]], *p[1:]) for p in _pairs(items, batch.column("text").to_pylist(), coverage)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -176,13 +175,13 @@ def without(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, b
     """The rows, with all their columns, whose text holds no benchmark item by that coverage; no shuffle."""
 
     def clean_of(items: _Items):
-        @pandas_udf("boolean")
-        def clean(text):
-            held = {p[0] for p in _pairs(items, text.tolist(), coverage)}
-            return type(text)([i not in held for i in range(len(text))])
+        def run(batches):
+            for batch in by_bytes(batches):
+                held = {p[0] for p in _pairs(items, batch.column("text").to_pylist(), coverage)}
+                yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
 
-        return clean
+        return run
 
     for items in _blocks_of_items(benchmark, block_words):
-        docs = docs.where(clean_of(items)(F.col("text")))
+        docs = docs.mapInArrow(clean_of(items), docs.schema)
     return docs

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import types as T
 
-from corpusworks.llm.common import bounded, materialise, texts_of, word_groups
+from corpusworks.llm.common import bounded, by_bytes, materialise, texts_of, word_groups
 
 #: Bound of the labelled sample, buckets of word features, and the descent.
 SAMPLE_ROWS, BUCKETS, SMOOTH = 10_000, 1 << 16, 0.1
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE_ROWS) -> Domain
 
     def count(batches):
         held = np.zeros((len(domains), BUCKETS), dtype=np.int64)
-        for batch in batches:
+        for batch in by_bytes(batches):
             names = batch.column("domain").to_pylist()
             for first, last, bucket, offsets in _spread(texts_of(batch)):
                 owner = np.repeat([number[d] for d in names[first:last]], np.diff(offsets))
@@ -97,7 +97,7 @@ def _temperature(model: DomainModel, rows: DataFrame, number: dict[str, int]) ->
     scales = [2.0**k for k in range(-6, 4)]
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             names, texts = batch.column("domain").to_pylist(), texts_of(batch)
             truth, losses = np.array([number[d] for d in names], dtype=np.int64), []
             for scale in scales:
@@ -109,14 +109,17 @@ def _temperature(model: DomainModel, rows: DataFrame, number: dict[str, int]) ->
     return scales[min(losses, key=lambda k: (round(losses[k], 6), k))] if losses else 1.0
 
 
+def _lists(shares: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(shares) + 1, dtype=np.int32) * shares.shape[1]), pa.array(shares.ravel()))
+
+
 def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, tokens, shares (one per domain, in the model's order) of every row; whole texts, no shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             shares, words = posteriors(model, texts_of(batch))
-            flat = pa.array(shares.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(shares) + 1, dtype=np.int32) * len(model.domains)), flat)
+            lists = _lists(shares)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.astype(np.int64)), lists], names=["doc_id", "tokens", "shares"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tokens long, shares array<double>")
@@ -213,11 +216,14 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     """
     mixture, _ = fit_mixture(docs, labelled, targets, seed)
 
-    @pandas_udf("array<double>")
-    def shares(text):
-        found, _ = posteriors(mixture.model, [(t or "").encode() for t in text])
-        return type(text)(found.tolist(), dtype=object)
+    kept = [c for c in docs.columns if c not in ("shares", "rate", "copies")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+
+    def run(batches):
+        for batch in by_bytes(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(posteriors(mixture.model, texts_of(batch))[0])], names=[*batch.schema.names, "shares"])
 
-    rated = docs.withColumn("shares", shares(F.col("text"))).withColumn("rate", mixture.rate())
+    with_shares = T.StructType([*docs.schema.fields, T.StructField("shares", T.ArrayType(T.DoubleType()))])
+    rated = docs.mapInArrow(run, with_shares).withColumn("rate", mixture.rate())
     taken = rated.withColumn("copies", mixture.copies()).where("copies > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shares", "rate", "copies")], "rate", "copies")
+    return taken.select(*[F.col(f"`{c}`") for c in kept], "rate", "copies")

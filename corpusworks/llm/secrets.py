@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import types as T
 
-from corpusworks.llm.common import bounded, materialise
+from corpusworks.llm.common import bounded, by_bytes, materialise
 
 #: Rows and their first characters that lend words to the labelled findings, and labelled findings made.
 SOURCE_ROWS, ROW_CHARS, LABELLED = 400, 4_000, 4_000
@@ -29,6 +29,7 @@ DICTIONARY, PAIRS, COUNTED = 50_000, 50_000, 200_000
 TREES, DEPTH, LEAST = 30, 9, 3
 THRESHOLD = 0.5
 MASK = "[SECRET]"
+_PATH = "_path_of_the_row"
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_~-]{12,}={0,2}")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -121,11 +122,11 @@ def usual_of(docs: DataFrame) -> Surroundings:
     """Surroundings of all whole texts: counts per partition, added by a shuffle; the most frequent reach the driver."""
 
     def run(batches):
-        texts = (t.as_py() for batch in batches for t in batch.column(0))
+        texts = (t for batch in by_bytes(batches) for t in batch.column("text").to_pylist())
         for parts in _counted(texts):
             for pair, counts in enumerate(parts):
                 keys, n = list(counts), len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([bool(pair)] * n), pa.array(keys, pa.string()), pa.array(counts.values(), pa.int64())], names=["pair", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([bool(pair)] * n, pa.bool_()), pa.array(keys, pa.string()), pa.array(counts.values(), pa.int64())], names=["pair", "key", "n"])
 
     counts = docs.select("text").where("text is not null").mapInArrow(run, "pair boolean, key string, n long")
     counts = materialise(counts.groupBy("pair", "key").agg(F.sum("n").alias("n")), "usual")
@@ -335,7 +336,7 @@ def scan(docs: DataFrame, model: SecretModel, path: str | None = "source", thres
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches):
             ids, texts, paths = (batch.column(i).to_pylist() for i in range(3))
             rows = [(i, s, len(t), t, p) for i, found in zip(ids, find(model, texts, paths, threshold), strict=True) for s, t, p in found]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -350,14 +351,16 @@ def scan(docs: DataFrame, model: SecretModel, path: str | None = "source", thres
 def redact(docs: DataFrame, model: SecretModel, path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """The same rows and columns with each secret in ``text`` replaced by MASK; a null text stays null."""
 
-    @pandas_udf("string")
-    def masked(text, where):
-        found = find(model, text.tolist(), where.tolist(), threshold)
-        out = []
-        for t, secrets in zip(text, found, strict=True):
-            for start, token, _ in reversed(secrets):
-                t = t[:start] + MASK + t[start + len(token) :]
-            out.append(t)
-        return type(text)(out, dtype=object)
-
-    return docs.withColumn("text", masked(F.col("text"), _path(docs, path)))
+    def run(batches):
+        for batch in by_bytes(batches):
+            texts, out = batch.column("text").to_pylist(), []
+            for t, found in zip(texts, find(model, texts, batch.column(_PATH).to_pylist(), threshold), strict=True):
+                for start, token, _ in reversed(found):
+                    t = t[:start] + MASK + t[start + len(token) :]
+                out.append(t)
+            columns = [pa.array(out, pa.string()) if name == "text" else batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = docs.columns
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
+    return docs.select("*", _path(docs, path).alias(_PATH)).mapInArrow(run, T.StructType(fields))
