@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,6 +33,19 @@ HEADLINES = [
     "validate_stream", "retry_budget_state",
 ]
 
+#: The given tables are single files of one row group, which one core reads alone. A corpus of any size lies in many
+#: files; the bench lays the tables out so, whatever their size, before the clock starts.
+FILES = 16
+
+
+def laid_out(spark, sf_dir: str) -> str:
+    """A copy of the tables in FILES files each."""
+    folder = tempfile.mkdtemp(prefix="bench-")
+    for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
+        spark.read.parquet(path).repartition(FILES).write.parquet(f"{folder}/{os.path.basename(path)}")
+    return folder
+
+
 WARM_UP = ["validate", "strip_fences", "aggregate_join"]
 
 
@@ -39,7 +54,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
-    queries = all_queries()
+    queries, given = all_queries(), sf_dir
+    sf_dir = laid_out(spark, given)
     for name in WARM_UP:  # class loading, compilation and Python workers start before the clock runs
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
@@ -50,7 +66,7 @@ def main() -> None:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     modules = spark.read.parquet(f"{sf_dir}/part.parquet").count()
     lines = view(spark, sf_dir, "sources").selectExpr("sum(size(split(source, '\n'))) as n").first()["n"]
-    scale = re.search(r"sf([0-9.]+)", sf_dir)
+    scale = re.search(r"sf([0-9.]+)", given)
     print(
         json.dumps(
             {
@@ -60,6 +76,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": float(scale.group(1)) if scale else None,
                 "warm_up": WARM_UP,
+                "files_per_table": FILES,
                 "validated_rows_per_second": round(documents / seconds["validate"], 1),
                 "routed_rows_per_second": round(modules / seconds["route"], 1),
                 "source_lines_per_second": round(lines / seconds["block_fields"], 1),

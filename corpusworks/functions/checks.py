@@ -243,34 +243,50 @@ def check_sentinel(code: Column, block_id: Column) -> Column:
     return given(missing, fold)
 
 
-def identifiers(expression: Column, stop_words: list[str]) -> Column:
+def identifiers(expression: Column, stop_words: list[str] = ()) -> Column:
     """Distinct names in an expression string, stop words left out."""
     names = F.regexp_extract_all(expression, F.lit(rf"({IDENTIFIER})"), F.lit(1))
+    if not stop_words:
+        return F.array_distinct(names)
     return F.array_except(names, F.array(*[F.lit(w) for w in stop_words]))
 
 
-def mentions(code: Column, names: Column) -> Column:
-    """True if any of the names is a whole word of the text; false for no names. Names are word
-    characters only, so they are safe inside a pattern; most are settled by the plain search."""
+def word_set(code: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.regexp_extract_all(code, F.lit(f"({WORD}+)"), F.lit(1)))
 
-    def found(name: Column) -> Column:
-        edge = F.concat(name, F.lit(f"(?<!{WORD}"), name, F.lit(f"){WORD_END}"))
-        return code.contains(name) & F.regexp_like(code, edge)
 
-    return F.exists(names, found)
+def known_names(code: Column, *expressions: Column) -> Column:
+    """The names in some lists of expressions that are whole words of the text.
 
+    Names are word characters only, so a name is a whole word exactly if it is in the text's word set: one pass
+    over the text whatever the number of names, no pattern per name. Texts that hold no name at all, by a plain
+    search, build no set.
+    """
+    lists = [F.coalesce(e, F.array().cast("array<string>")) for e in expressions]
+    wanted = F.flatten(F.transform(F.concat(*lists), lambda e: F.coalesce(identifiers(e), F.array().cast("array<string>"))))
+
+    def found(names: Column) -> Column:
+        return F.when(F.size(names) > 0, F.array_intersect(names, word_set(code))).otherwise(names)
+
+    return given(F.filter(F.array_distinct(wanted), lambda n: code.contains(n)), found)
+
+
+def unmapped_preconditions(known: Column, preconditions: Column) -> Column:
+    """Expressions none of whose names is known; those without names too."""
 
-def unmapped_preconditions(code: Column, preconditions: Column) -> Column:
     def is_open(expression: Column) -> Column:
-        return ~F.coalesce(mentions(code, identifiers(expression, fixed.GUARD_STOP_WORDS)), F.lit(False))
+        return ~F.coalesce(F.arrays_overlap(identifiers(expression, fixed.GUARD_STOP_WORDS), known), F.lit(False))
 
     return F.filter(preconditions, is_open)
 
 
-def unmapped_postconditions(code: Column, postconditions: Column) -> Column:
+def unmapped_postconditions(known: Column, postconditions: Column) -> Column:
+    """Expressions with names none of which is known."""
+
     def is_open(expression: Column) -> Column:
         names = identifiers(expression, fixed.RESULT_STOP_WORDS)
-        return (F.size(names) > 0) & ~mentions(code, names)
+        return (F.size(names) > 0) & ~F.arrays_overlap(names, known)
 
     return F.filter(postconditions, is_open)
 
@@ -279,7 +295,9 @@ def _is_empty(items: Column) -> Column:
     return items.isNull() | (F.size(items) == 0)
 
 
-def check_preconditions(code: Column, preconditions: Column) -> Column:
+def check_preconditions(code: Column, preconditions: Column, known: Column | None = None) -> Column:
+    """``known``: the names found in the text, if they are at hand (see known_names)."""
+    known = known_names(code, preconditions) if known is None else known
     empty = _is_empty(preconditions)
 
     def fold(missing: Column) -> Column:
@@ -292,15 +310,17 @@ def check_preconditions(code: Column, preconditions: Column) -> Column:
         detail = F.concat(F.lit("Missing guards for: "), F.array_join(missing, "; "))
         return _check(fixed.CHECK_NAMES[2], passed, message, detail)
 
-    return given(unmapped_preconditions(code, preconditions), fold)
+    return given(unmapped_preconditions(known, preconditions), fold)
 
 
-def check_postconditions(code: Column, postconditions: Column) -> Column:
+def check_postconditions(code: Column, postconditions: Column, known: Column | None = None) -> Column:
+    """``known`` as in check_preconditions."""
+    known = known_names(code, postconditions) if known is None else known
     empty = _is_empty(postconditions)
     returns = F.lit(False)
     for word in fixed.RESULT_WORDS:
         returns = returns | (code.contains(word) & code.rlike(whole_words([word])))
-    open_ones = F.when(returns, unmapped_postconditions(code, postconditions))
+    open_ones = F.when(returns, unmapped_postconditions(known, postconditions))
 
     def fold(missing: Column) -> Column:
         passed = empty | F.coalesce(F.size(missing) == 0, F.lit(False))

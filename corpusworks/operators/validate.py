@@ -40,15 +40,18 @@ def _validated(df: DataFrame, names: list[str], parsed: bool = False) -> DataFra
     staged = df.withColumn("_folded", C.case_folded(code))
     if fixed.CHECK_NAMES[0] in names and not parsed:
         staged = staged.withColumn("_marks", C.brackets_of(F.when(C.uses_brackets(profile), code)))
-    folded = F.col("_folded")
+    conditions = [c for name, c in zip(fixed.CHECK_NAMES[2:4], ("preconditions", "postconditions"), strict=True) if name in names]
+    if conditions:
+        staged = staged.withColumn("_known", C.known_names(code, *map(F.col, conditions)))
+    folded, known = F.col("_folded"), F.col("_known")
     available = dict(
         zip(
             fixed.CHECK_NAMES,
             [
                 lambda: C.check_parsed(code) if parsed else C.check_rules(code, profile, F.col("_marks"), folded),
                 lambda: C.check_sentinel(code, F.col("block_id")),
-                lambda: C.check_preconditions(code, F.col("preconditions")),
-                lambda: C.check_postconditions(code, F.col("postconditions")),
+                lambda: C.check_preconditions(code, F.col("preconditions"), known),
+                lambda: C.check_postconditions(code, F.col("postconditions"), known),
                 lambda: C.check_side_effects(
                     code, F.col("mutates"), F.coalesce(F.col("observable"), F.lit(False)), F.col("emits"), folded
                 ),
@@ -58,7 +61,7 @@ def _validated(df: DataFrame, names: list[str], parsed: bool = False) -> DataFra
         )
     )
     chosen = [available[name]() for name in fixed.CHECK_NAMES if name in names]
-    checked = computed_once(staged, checks=F.array(*chosen)).drop("_marks", "_folded")
+    checked = computed_once(staged, checks=F.array(*chosen)).drop("_marks", "_folded", "_known")
     return checked.withColumn("passed", F.forall("checks", lambda c: c.passed))
 
 

@@ -252,3 +252,24 @@ def test_ids_and_types_of_any_characters(spark):
     assert all(r.s and r.t for r in good)
     other = df.select(C.check_sentinel(F.col("code"), F.concat(F.lit("z"), F.col("id"))).passed.alias("s"), C.check_return_type(F.col("code"), F.concat(F.col("id"), F.lit("zz"))).passed.alias("t")).collect()
     assert not any(r.s or r.t for r in other)
+
+
+def test_whole_words_equal_a_pattern_per_name(spark):
+    """Names of conditions against a plain pattern with word edges, letters of all scripts included."""
+    draw = random.Random(9)
+    names = ["amount", "amount_due", "due", "x", "x1", "naïve", "größe", "été", "_id", "result", "日本", "a日"]
+    rows = []
+    for i in range(600):
+        code = "".join(draw.choice([*names, " ", ".", "(", "-", "9", "é", "\n", "=="]) for _ in range(draw.randint(0, 14)))
+        conditions = [draw.choice([" > ", ".", " and ", "9"]).join(draw.choices(names, k=draw.randint(0, 3))) for _ in range(draw.randint(0, 4))]
+        rows.append((i, code, conditions + [None] * (i % 7 == 0)))
+    df = spark.createDataFrame(rows, "i int, code string, conditions array<string>")
+    known = C.known_names(F.col("code"), F.col("conditions"))
+    got = df.select("i", C.unmapped_preconditions(known, F.col("conditions")).alias("open")).collect()
+
+    def is_open(code, condition):
+        found = [n for n in re.findall(r"[a-zA-Z_]\w*", condition or "") if n not in fixed.GUARD_STOP_WORDS]
+        return not any(re.search(rf"(?<!\w){re.escape(n)}(?!\w)", code) for n in found)
+
+    want = {i: [c for c in conditions if is_open(code, c)] for i, code, conditions in rows}
+    assert {r.i: r.open for r in got} == want and sum(map(len, want.values())) > 300

@@ -100,3 +100,11 @@ def test_parser_sees_its_own_rows_only(spark, sf, tmp_path):
     before, after = text.split("ArrowEvalPython", 1)
     assert "StringStartsWith(profile,python)" in after.split("Scan", 1)[1]
     assert before.count("Generate inline") == 2  # one evaluation of the checks on each branch
+
+
+def test_names_are_looked_up_without_patterns(spark, sf, tmp_path):
+    """No pattern is built per row and name; the text's words are taken apart once for all conditions."""
+    text = plan(V.validate(stored(spark, sf, tmp_path)))
+    assert text.count(r"([\p{L}\p{N}_]+)") == 2  # once per branch, in a projection of its own
+    patterns = re.findall(r"(?:RLIKE|regexp_like)\(?([^,)]*)", text)
+    assert not any("namedlambdavariable" in p or "lambda" in p for p in patterns)
