@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusworks.operators.constructs import upsert
 from corpusworks.session import materialise, scratch_path
+from corpusworks.sources.files import BucketedTable
 
 
 @dataclass(frozen=True)
@@ -158,6 +159,26 @@ def mark_dirty(index: Index, ids: DataFrame, stop_at_dirty: bool = False) -> Ind
     return _flag_dependents(flagged, ids, stop_at_dirty)
 
 
+def mark_dirty_buckets(
+    modules: BucketedTable, blocks: BucketedTable, deps: DataFrame, ids: DataFrame, version: int, stop_at_dirty: bool = False
+) -> list[int]:
+    """mark_dirty on bucketed tables: reads ``version``, writes the next one, and in it only the buckets with a
+    module that is flagged. ``blocks`` is cut by module_id into as many buckets as ``modules``.
+
+    Returns the buckets written, which is all the driver gets. Run again for the same version it writes the same.
+    """
+    spark = deps.sparkSession
+    if modules.buckets != blocks.buckets:
+        raise ValueError("both tables must have as many buckets")
+    seeds = ids.select("id").distinct()
+    reached = dependents(deps, modules.read(spark, version), seeds, stop_at_dirty).select("id").unionByName(seeds)
+    flagged = materialise(reached.distinct(), "flagged")
+    written = sorted(r[0] for r in flagged.select(modules.bucket_of(F.col("id"))).distinct().collect())
+    for table, key in ((blocks, "module_id"), (modules, "id")):
+        table.write(_flag(table.read(spark, version, only=written), flagged, key), version + 1, retry=True)
+    return written
+
+
 def patch_marks_target(blocks: DataFrame, patches: DataFrame) -> DataFrame:
     """A patch flags only its target block."""
     return _flag(blocks, patches.select("id").distinct(), "id")

@@ -140,7 +140,7 @@ def cache_state(spark, sf) -> DataFrame:
         F.col("user_id").alias("key"), F.col("event_id").alias("row_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         (F.col("event_type") == "view").alias("is_get"), "value",
     )
-    answers = E.drain(S.cache_state(rows, ttl=3_600_000_000), "cache")
+    answers = E.drain(S.cache_state(rows, ttl=3_600_000_000, late="3660 days"), "cache")
     return answers.select(F.col("row_id").alias("event_id"), F.col("key").alias("user_id"), "value")
 
 
@@ -155,20 +155,19 @@ def validate_stream(spark, sf) -> DataFrame:
 
 @register("dirty_feed", f"with recursive {SEEDS}, {closure()} select m.id, m.id in (select id from reached) as dirty from modules m", ["modules", "deps", "blocks"])
 def dirty_feed(spark, sf) -> DataFrame:
-    """Changed module ids arrive as a stream; each batch writes the next version of the flags."""
+    """Changed module ids arrive as a stream; each batch writes the next version of the buckets it touches."""
     index = base(spark, sf, dirty=False)
-    feed, modules_root, blocks_root = (scratch_path(spark, n) for n in ("feed", "feed-modules", "feed-blocks"))
+    feed = scratch_path(spark, "feed")
+    modules = files.BucketedTable(scratch_path(spark, "feed-modules"), "id")
+    blocks = files.BucketedTable(scratch_path(spark, "feed-blocks"), "module_id")
     index.modules.where("namespace = 'app.Brand#7'").select("id").write.parquet(feed)
-    files.write_version(index.modules, modules_root, 0)
-    files.write_version(index.blocks, blocks_root, 0)
+    modules.write(index.modules, 0)
+    blocks.write(index.blocks, 0)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         # Batch n turns version n into version n + 1, so a repeated batch gives the same versions.
-        now = I.Index(files.read_version(spark, modules_root, batch_id), files.read_version(spark, blocks_root, batch_id), index.deps)
-        after = I.mark_dirty(now, batch)
-        files.write_version(after.blocks, blocks_root, batch_id + 1, retry=True)
-        files.write_version(after.modules, modules_root, batch_id + 1, retry=True)
+        I.mark_dirty_buckets(modules, blocks, index.deps, batch, batch_id)
 
-    changes = spark.readStream.schema("id string").parquet(feed)
+    changes = spark.readStream.schema("id string").option("maxFilesPerTrigger", 100).parquet(feed)
     E.dirty_feed(changes, on_batch, scratch_path(spark, "feed-state")).awaitTermination()
-    return files.read_version(spark, modules_root).select("id", "dirty")
+    return modules.read(spark).select("id", "dirty")

@@ -13,9 +13,10 @@ from corpusworks.session import scratch_path
 from corpusworks.sources.pairs import PAIRS
 
 
-def stream_table(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
-    """Parquet files of a folder as a stream; new files that match the pattern are picked up."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def stream_table(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 100) -> DataFrame:
+    """Parquet files of a folder as a stream; new files that match the pattern are picked up, so many a batch."""
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
+    return rows.parquet(folder)
 
 
 def drain(stream: DataFrame, label: str = "stream", mode: str = "append") -> DataFrame:

@@ -68,54 +68,86 @@ def retry_budget_state(stream: DataFrame, profile: str = "profile") -> DataFrame
 
 
 class Cache(StatefulProcessor):
-    """Latest set of a key; gets are answered with it until it expires."""
+    """The sets of one key in one time slice; gets of the slice are answered with them."""
 
-    def __init__(self, ttl: int, keep_ms: int | None):
-        self.ttl, self.keep_ms = ttl, keep_ms
+    def __init__(self, ttl: int, width: int, timed: bool):
+        self.ttl, self.width, self.timed = ttl, width, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entry", "at bigint, row_id bigint, value double", ttlDurationMs=self.keep_ms)
+        self.handle = handle
+        self.sets = handle.getListState("sets", "at bigint, row_id bigint, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A key's rows come in several Arrow chunks without order, so all are taken before one is answered.
-        batch = pd.concat(list(rows), ignore_index=True)
-        sets = batch.loc[~batch["is_get"], ["at", "row_id", "value"]]
-        if self.state.exists():
-            known = pd.DataFrame([self.state.get()], columns=["at", "row_id", "value"])
-            sets = pd.concat([known, sets], ignore_index=True) if len(sets) else known
-        sets = sets.sort_values(["at", "row_id"], kind="stable")
-        gets = batch.loc[batch["is_get"], ["at", "row_id"]]
-        at = sets["at"].to_numpy(dtype=np.int64)
-        place = np.searchsorted(at, gets["at"].to_numpy(dtype=np.int64), side="right") - 1
-        out = np.full(len(gets), np.nan)
-        hit = np.flatnonzero(place >= 0)
-        hit = hit[gets["at"].to_numpy(dtype=np.int64)[hit] < at[place[hit]] + self.ttl]
-        out[hit] = sets["value"].to_numpy(dtype=float)[place[hit]]
-        if len(sets):
-            last = sets.iloc[-1]
-            self.state.update((int(last["at"]), int(last["row_id"]), float(last["value"])))
-        yield pd.DataFrame({"key": key[0], "row_id": gets["row_id"].to_numpy(), "value": out})
+        start = key[1] * self.width
+        new, asked, earlier = [], [], None
+        for pdf in rows:  # no order across chunks: sets and gets are told apart, rows themselves are not kept
+            gets = pdf["is_get"].to_numpy(dtype=bool)
+            asked.append(pdf.loc[gets, ["at", "row_id"]].to_numpy(dtype=np.int64))
+            puts = pdf.loc[~gets, ["at", "row_id", "value"]]
+            before = (puts["at"] < start).to_numpy()
+            new.append(puts[~before])
+            if before.any():  # of the slice before this one only the latest set counts
+                last = puts[before].sort_values(["at", "row_id"]).iloc[-1]
+                last = (int(last["at"]), int(last["row_id"]), float(last["value"]))
+                earlier = last if earlier is None else max(earlier, last)
+        asked = np.concatenate(asked)
+        added = [tuple(r) for part in new for r in part.itertuples(index=False, name=None)] + ([earlier] if earlier else [])
+        if len(asked):
+            known = [tuple(r) for r in self.sets.get()] if self.sets.exists() else []
+            yield self.answers(key[0], asked, known + added)
+        if added:
+            self.sets.appendList([(int(a), int(r), float(v)) for a, r, v in added])
+            if self.timed:  # once the watermark is past the slice, no get of it can come
+                self.handle.registerTimer((key[1] + 1) * self.width // 1000)
+
+    def answers(self, key: int, asked: np.ndarray, sets: list[tuple]) -> pd.DataFrame:
+        out = np.full(len(asked), np.nan)
+        if sets:
+            at, ids, values = (np.array(c) for c in zip(*sets, strict=True))
+            order = np.lexsort((ids, at))
+            at, values = at[order], values[order].astype(float)
+            place = np.searchsorted(at, asked[:, 0], side="right") - 1
+            hit = np.flatnonzero(place >= 0)
+            hit = hit[asked[hit, 0] < at[place[hit]] + self.ttl]
+            out[hit] = values[place[hit]]
+        return pd.DataFrame({"key": key, "row_id": asked[:, 1], "value": out})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.sets.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def cache_state(stream: DataFrame, ttl: int, keep_ms: int | None = None) -> DataFrame:
-    """key, row_id, at (bigint time), is_get, value → one row per get.
+def cache_state(stream: DataFrame, ttl: int, width: int | None = None, late: str | None = None) -> DataFrame:
+    """key, row_id, at (bigint time in microseconds), is_get, value → one row per get.
 
-    A get is answered with the latest set at or before it, of those that arrived in earlier batches or
-    its own, if ``ttl`` has not passed between them (times as in ``at``). Of sets at one instant the
-    larger row_id counts. A key's rows of one batch are held in memory together.
+    A get is answered with the latest set at or before it, of those that arrived in earlier batches or its own, if
+    less than ``ttl`` has passed between them; gets that come late too. Of sets at one instant the larger row_id
+    counts.
 
-    With ``keep_ms`` a key's state is freed when that much wall time passes without a set; choose it
-    longer than a batch can be late. Spark then runs batches without end to look for expired state, so
-    it suits a stream that stays up, not an ``availableNow`` run. Without it one set per key is kept.
-    For exact answers on late data use constructs.cache_lookup.
+    State is kept per key and time slice of ``width`` (24 times ``ttl`` by default, ``ttl`` at least), so a busy key
+    spreads over its slices. A set that outlives its slice also goes to the next one, which needs no more than the
+    latest. A task holds one slice's sets, and of its gets the instants of one batch; choose ``width`` and the
+    source's maxFilesPerTrigger so that they fit.
+
+    With ``late`` a slice is freed by an event-time timer as soon as the watermark, that far behind the latest
+    instant seen, has passed it; rows older than the watermark are dropped. Without it all slices are kept: for runs
+    over a closed log.
     """
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Cache(ttl, keep_ms),
+    width = 24 * ttl if width is None else width
+    if width < ttl:
+        raise ValueError("a slice must not be shorter than the time to live")
+    own = F.floor(F.col("at") / width).cast("bigint")
+    outlives = ~F.col("is_get") & (F.col("at") + ttl > (own + 1) * width)
+    dealt = stream.withColumn("_slice", F.explode(F.when(outlives, F.array(own, own + 1)).otherwise(F.array(own))))
+    if late is not None:
+        dealt = dealt.withColumn("_instant", F.timestamp_micros("at")).withWatermark("_instant", late)
+    return dealt.groupBy("key", "_slice").transformWithStateInPandas(
+        statefulProcessor=Cache(ttl, width, late is not None),
         outputStructType="key bigint, row_id bigint, value double",
         outputMode="Append",
-        timeMode="None" if keep_ms is None else "ProcessingTime",
+        timeMode="None" if late is None else "EventTime",
     )

@@ -137,3 +137,46 @@ def test_required_types(spark, full):
     types = spark.createDataFrame([("m002", "t001", "User", "a user"), ("m001", "t002", "Token", None)], "module_id string, id string, name string, description string")
     rows = sorted(map(tuple, I.required_types(full.deps, types, full.modules).collect()))
     assert rows == [("m001", "TYPE User [id=t001]  # a user"), ("m002", "(none)"), ("m003", "TYPE Token [id=t002]  # ")]
+
+
+def bucketed(spark, tmp_path, name):
+    """A chain m0 <- m1 <- … <- m99 of which each tenth link is missing, with three blocks per module."""
+    from corpusworks.sources.files import BucketedTable
+
+    ids = spark.range(100).select(F.concat(F.lit("m"), "id").alias("id"), F.lit(False).alias("dirty"), F.col("id").alias("n"))
+    modules = BucketedTable(str(tmp_path / f"{name}-modules"), "id", 32)
+    blocks = BucketedTable(str(tmp_path / f"{name}-blocks"), "module_id", 32)
+    modules.write(ids, 0)
+    blocks.write(ids.select(F.explode(F.array(*map(F.lit, "abc"))).alias("b"), F.col("id").alias("module_id"), "dirty").select(F.concat("module_id", "b").alias("id"), "module_id", "dirty"), 0)
+    deps = spark.range(1, 100).where("id % 10 <> 0").select(F.concat(F.lit("m"), "id").alias("from_module"), F.concat(F.lit("m"), F.col("id") - 1).alias("to_module"))
+    return modules, blocks, deps
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    modules, blocks, deps = bucketed(spark, tmp_path, "a")
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    written = I.mark_dirty_buckets(modules, blocks, deps, ids("m9"), 0)  # nothing requires m9
+    folders = lambda table, v: sorted(p.name for p in (tmp_path / table).glob(f"v={v:08d}/_bucket=*"))
+    assert len(written) == 1 and folders("a-modules", 1) == folders("a-blocks", 1) == [f"_bucket={written[0]}"]
+    I.mark_dirty_buckets(modules, blocks, deps, ids("m17", "m17", "unknown"), 1)  # m18 and m19 require it
+    assert len(folders("a-modules", 2)) <= 4
+    dirty = lambda table, column, v=None: {r[0] for r in table.read(spark, v).where("dirty").select(column).collect()}
+    assert dirty(modules, "id", 1) == {"m9"} and dirty(modules, "id") == {"m9", "m17", "m18", "m19"} == dirty(blocks, "module_id")
+    assert modules.read(spark).count() == 100 and blocks.read(spark).count() == 300
+    before = {v: sorted(map(tuple, blocks.read(spark, v).collect())) for v in (0, 1, 2)}
+    I.mark_dirty_buckets(modules, blocks, deps, ids("m17", "unknown"), 1)  # the batch again
+    assert before == {v: sorted(map(tuple, blocks.read(spark, v).collect())) for v in (0, 1, 2)}
+    I.mark_dirty_buckets(modules, blocks, deps, ids(), 2)  # an empty batch is a version too
+    assert sorted(map(tuple, blocks.read(spark).collect())) == before[2]
+    fresh = blocks.compact(spark, 3, str(tmp_path / "compacted"))
+    assert sorted(map(tuple, fresh.read(spark).collect())) == before[2]
+
+
+def test_buckets_equal_the_plain_form(spark, tmp_path):
+    modules, blocks, deps = bucketed(spark, tmp_path, "b")
+    index = I.Index(modules.read(spark, 0), blocks.read(spark, 0), deps)
+    seeds = spark.createDataFrame([("m3",), ("m40",), ("m77",)], "id string")
+    I.mark_dirty_buckets(modules, blocks, deps, seeds, 0)
+    plain = I.mark_dirty(index, seeds)
+    for table, df in ((modules, plain.modules), (blocks, plain.blocks)):
+        assert sorted(map(tuple, table.read(spark).collect())) == sorted(map(tuple, df.select(*table.read(spark).columns).collect()))
