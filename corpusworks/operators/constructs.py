@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusworks.functions.scalars import AGGREGATES, TRANSFORMS
 from corpusworks.operators.numbering import dense_positions
+from corpusworks.session import materialise
 
 
 def _condition(where: Column | str) -> Column:
@@ -70,15 +73,102 @@ def all_or_nothing(df: DataFrame, txn: str, ok: Column | str) -> DataFrame:
 
 
 # --- pages ----------------------------------------------------------------------------------------
-def paginate(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """Page ``page`` (from 1) of ``size`` rows in a total order.
-
-    Rows are numbered by a spread sort, so a deep page costs what the first one does and no task
-    gathers the rows before it. paginate_after() needs no numbers.
+@dataclass(frozen=True)
+class _Key:
+    """One column of a row order."""
+
+    name: str
+    down: bool
+    nulls_first: bool
+
+    @staticmethod
+    def of(item: str | Column, df: DataFrame) -> _Key:
+        if isinstance(item, str):
+            return _Key(item, False, True)
+        shown = re.fullmatch(r"Column<'(.*?)(?: (ASC|DESC) NULLS (FIRST|LAST))?'>", str(item))
+        if shown is None or shown[1] not in df.columns:
+            raise ValueError(f"pages are ordered by columns; add {item} as one")
+        return _Key(shown[1], shown[2] == "DESC", shown[3] != "LAST")
+
+    def sorted(self) -> Column:
+        c = F.col(self.name)
+        if self.down:
+            return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
+        return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+
+    def before(self, bound) -> Column:
+        """Whether a row's value comes before the bound."""
+        c = F.col(self.name)
+        if bound is None:
+            return F.lit(False) if self.nulls_first else c.isNotNull()
+        ahead = F.coalesce(c > F.lit(bound) if self.down else c < F.lit(bound), F.lit(False))
+        return c.isNull() | ahead if self.nulls_first else ahead
+
+
+def _before(keys: list[_Key], bound: tuple) -> Column:
+    """Whether a row comes before the bound, by its first key that differs from it."""
+    ahead, same = F.lit(False), F.lit(True)
+    for key, value in zip(keys, bound, strict=True):
+        ahead = ahead | (same & key.before(value))
+        same = same & F.col(key.name).eqNullSafe(F.lit(value))
+    return ahead
+
+
+def _range_of(keys: list[_Key], bounds: list[tuple], first: int = 0) -> Column:
+    """How many of the bounds a row has reached, found by halving."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    low, high = _range_of(keys, bounds[:middle], first), _range_of(keys, bounds[middle + 1 :], first + middle + 1)
+    return F.when(_before(keys, bounds[middle]), low).otherwise(high)
+
+
+#: Bounds per level of counts, and rows of a range that one sort takes.
+BOUNDS, SORTED = 48, 20_000
+
+
+def _page(df: DataFrame, order: list, page: int, size: int, take: int) -> tuple[DataFrame, int]:
+    """Rows of the page and the number of all rows."""
+    keys = [_Key.of(item, df) for item in order]
+    names, rows, first = [k.name for k in keys], df, (page - 1) * size
+    total = left = df.count()
+    if first >= total:
+        return df.limit(0), total
+    while left > take:
+        # the sample only chooses bounds; counts, and so the page, are exact
+        draw = F.pmod(F.xxhash64(*names, F.lit(left)), F.lit(1 << 30)) < max(1, int(BOUNDS * 8 / left * (1 << 30)))
+        seen = rows.where(draw).select(*names).distinct().orderBy(*[k.sorted() for k in keys]).collect()
+        bounds = [tuple(r) for r in seen[:: max(1, len(seen) // BOUNDS)]]
+        counts = {r.part: r["count"] for r in rows.groupBy(_range_of(keys, bounds).alias("part")).count().collect()}
+        low, before = 0, 0
+        while before + counts.get(low, 0) <= first:
+            before += counts.get(low, 0)
+            low += 1
+        high, held = low, counts.get(low, 0)
+        while before + held < min(first + size, left) and high < len(bounds):
+            high += 1
+            held += counts.get(high, 0)
+        if held == left:
+            break
+        if low:
+            rows = rows.where(~_before(keys, bounds[low - 1]))
+            if not keys[0].down and bounds[low - 1][0] is not None and keys[0].nulls_first:
+                rows = rows.where(F.col(names[0]) >= F.lit(bounds[low - 1][0]))  # in a form that reaches the scan
+        if high < len(bounds):
+            rows = rows.where(_before(keys, bounds[high]))
+        first, left = first - before, held
+    return rows.orderBy(*[k.sorted() for k in keys]).offset(first).limit(size), total
+
+
+def paginate(df: DataFrame, order: list, page: int, size: int, take: int = SORTED) -> DataFrame:
+    """Page ``page`` (from 1) of ``size`` rows in a total order of columns, each ascending or descending.
+
+    Rows are counted between bounds on the order's columns, then between closer bounds in the range that holds the
+    page, until ``take`` rows or fewer are left (or rows that are equal in all of these columns); only they are
+    sorted. Each level is a scan of the order's columns, so a deep page costs what the first one does, and rows are
+    neither shuffled nor written. paginate_after() needs no counts.
     """
-    numbered = dense_positions(df, order, name="_pos")
-    wanted = (F.col("_pos") > (page - 1) * size) & (F.col("_pos") <= page * size)
-    return numbered.where(wanted).drop("_pos").orderBy(*order)
+    return _page(df, order, page, size, take)[0]
 
 
 def paginate_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
@@ -88,8 +178,8 @@ def paginate_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
 
 def page_envelope(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     """Items of a page with total_count and page beside them; an empty page gives no rows."""
-    total = df.agg(F.count("*").alias("total_count"))
-    return paginate(df, order, page, size).join(F.broadcast(total)).withColumn("page", F.lit(page))
+    rows, total = _page(df, order, page, size, SORTED)
+    return rows.withColumns({"total_count": F.lit(total).cast("bigint"), "page": F.lit(page)})
 
 
 # --- aggregates -------------------------------------------------------------------------------------
@@ -249,38 +339,38 @@ def normalize_events(df: DataFrame, payload: str, schema: str, kind: str, source
 
 # --- lookups and joins ---------------------------------------------------------------------------------
 def cache_lookup(
-    gets: DataFrame, sets: DataFrame, key: str = "key", ts: str = "ts", value: str = "value", ttl: str = "1 hour",
-    slice_minutes: int = 60,
+    gets: DataFrame, sets: DataFrame, key: str = "key", ts: str = "ts", value: str = "value", ttl: str = "1 hour"
 ) -> DataFrame:
     """Each get with the value of the latest set at or before it, null when none or expired.
 
-    An as-of join without pairing rows: gets and sets are stacked and cut into time slices per key,
-    so a hot key spreads over many tasks. Within a slice a running window carries the latest set;
-    across slices only the last set of each (key, slice) travels. A set counts before a get of
-    the same instant. Of sets at one instant the largest value counts.
-    ``gets`` may hold further columns; ``sets`` needs key, ts and value.
+    An as-of join without pairing rows, as a prefix scan: gets and sets are stacked and range-partitioned by key and
+    time, so a busy key, hour or instant spreads over as many partitions as its rows need. A running window carries
+    the latest set inside a partition; across partitions only the last set of each key travels. A set counts before
+    a get of the same instant. Of sets at one instant the largest value counts. Null keys meet no set.
+    ``gets`` may hold further columns; ``sets`` needs key, ts and value. The stacked rows are written once, so that
+    partitions stay what they are.
     """
     extra = [c for c in gets.columns if c not in (key, ts)]
-    # Instants are cut by their own count, so slices never run backwards when a zone changes its clock.
-    wall = F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    minutes = F.floor(F.unix_seconds(F.col(ts)) / 60) if dict(sets.dtypes)[ts] == "timestamp" else wall
-    slice_no = F.floor(minutes / slice_minutes).alias("_slice")
     entry = F.struct(F.col(ts).alias("set_ts"), F.col(value).alias("v")).alias("_set")
-    puts = sets.select(key, ts, slice_no, entry, F.lit(0).alias("_kind"))
-    asks = gets.select(key, ts, slice_no, F.lit(1).alias("_kind"), *extra)
-    last_sets = puts.groupBy(key, "_slice").agg(F.max("_set").alias("_last"))
-    slices = last_sets.unionByName(
-        asks.select(key, "_slice").distinct(), allowMissingColumns=True
-    ).groupBy(key, "_slice").agg(F.max("_last").alias("_last"))
-    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select(key, "_slice", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    puts = sets.where(F.col(key).isNotNull()).select(key, ts, entry, F.lit(0).alias("_kind"))
+    asks = gets.select(key, ts, F.lit(1).alias("_kind"), F.struct(*extra).alias("_more") if extra else F.lit(None).cast("string").alias("_more"))
     stacked = puts.unionByName(asks, allowMissingColumns=True)
-    running = Window.partitionBy(key, "_slice").orderBy(ts, "_kind", "_set").rowsBetween(Window.unboundedPreceding, 0)
-    found = stacked.withColumn("_here", F.last("_set", ignorenulls=True).over(running)).where("_kind = 1")
-    joined = found.join(carried, [key, "_slice"], "left")
+    tie = F.xxhash64("_more") if extra else F.rand(7)
+    placed = stacked.withColumn("_tie", tie).repartitionByRange(key, ts, "_kind", "_set", "_tie").withColumn("_part", F.spark_partition_id())
+    placed = materialise(placed.drop("_tie"), "lookups")
+
+    last_sets = placed.where("_kind = 0").groupBy(key, "_part").agg(F.max("_set").alias("_last"))
+    parts = last_sets.unionByName(placed.where("_kind = 1").select(key, "_part").distinct(), allowMissingColumns=True)
+    parts = parts.groupBy(key, "_part").agg(F.max("_last").alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(key, "_part", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")).where("_carried is not null")
+
+    running = Window.partitionBy("_part", key).orderBy(ts, "_kind", "_set").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("_here", F.last("_set", ignorenulls=True).over(running)).where("_kind = 1")
+    joined = found.join(carried, ["_part", key], "left")
     latest = F.coalesce("_here", "_carried")
     alive = F.col(ts) < latest.set_ts + F.expr(f"interval {ttl}")
-    return joined.select(key, ts, *extra, F.when(alive, latest.v).alias(value))
+    return joined.select(key, ts, *[F.col("_more")[c].alias(c) for c in extra], F.when(alive, latest.v).alias(value))
 
 
 def cached_report(computed: DataFrame, cache: DataFrame, params: list[str], now: Column, ttl: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Statement semantics that SQL alone does not settle: nulls, hot keys, deep pages."""
 
+import bisect
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusworks.functions import scalars as S
@@ -44,6 +46,60 @@ def test_pages(spark):
     assert D.paginate(df, ["id"], 11, 10).count() == 0
 
 
+def test_pages_equal_a_full_sort(spark):
+    """Every page in several orders, with nulls, ties on the first column and rows equal in all columns."""
+    draw = random.Random(2)
+    rows = [(draw.choice([None, 1.5, 1.5, float(draw.randint(0, 9))]), draw.choice([None, *"abcdefg"]), n) for n in range(3000)] + [(2.0, "same", -1)] * 300
+    df = spark.createDataFrame(rows, "x double, y string, n int").repartition(5)
+    orders = [
+        ([F.desc("x"), "y", "n"], lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or "", r[2])),
+        ([F.col("y").desc_nulls_first(), F.asc_nulls_last("x"), F.desc("n")], lambda r: (r[1] is not None, [-ord(c) for c in (r[1] or "").ljust(5)], r[0] is None, r[0] or 0, -r[2])),
+    ]
+    for order, by in orders:
+        want = sorted(rows, key=by)
+        for page, size in ((1, 7), (3, 100), (20, 70), (33, 100), (34, 100), (1, 4000)):
+            got = [tuple(r) for r in D.paginate(df, order, page, size, take=200).collect()]
+            assert got == want[(page - 1) * size : page * size], (order, page, size)
+    few = D.page_envelope(df.where("n >= 0"), ["n"], 2, 3).collect()
+    assert [(r.n, r.total_count, r.page) for r in few] == [(3, 3000, 2), (4, 3000, 2), (5, 3000, 2)]
+    with pytest.raises(ValueError):
+        D.paginate(df, [F.col("x") + 1], 1, 1)
+
+
+def test_pages_write_and_shuffle_no_rows(spark, monkeypatch):
+    from corpusworks.operators import constructs, numbering
+
+    def no_write(*a):
+        raise AssertionError("a page needs no written rows")
+
+    monkeypatch.setattr(constructs, "materialise", no_write)
+    monkeypatch.setattr(numbering, "materialise", no_write)
+    df = spark.range(100_000).select("id", F.repeat(F.lit("x"), 50).alias("long"))
+    page = D.paginate(df, ["id"], 1000, 50, take=2000)
+    assert [r.id for r in page.collect()] == list(range(49_950, 50_000))
+    text = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in text and "Exchange" not in text and "id#" in text
+
+
+def test_cache_lookup_spreads_a_busy_hour(spark):
+    """A third of all rows are one key's in one hour, many at one instant: brute force, and no window holds them all."""
+    draw, rows = random.Random(6), []
+    for n in range(9000):
+        busy = n % 3 == 0
+        at = T0 + datetime.timedelta(seconds=draw.choice([77, draw.randrange(3600)]) if busy else draw.randrange(200_000))
+        rows.append(("busy" if busy else draw.choice("abc"), at, draw.random() < 0.3, float(n)))
+    s = spark.createDataFrame([(k, t, v) for k, t, is_set, v in rows if is_set], "key string, ts timestamp_ntz, value double")
+    g = spark.createDataFrame([(k, t, int(v)) for k, t, is_set, v in rows if not is_set] + [(None, T0, -1)], "key string, ts timestamp_ntz, n int").repartition(5)
+    got = {r.n: r.value for r in D.cache_lookup(g, s, ttl="10 minutes").collect()}
+    by_key = {k: sorted((t, v) for q, t, is_set, v in rows if is_set and q == k) for k in ("busy", *"abc")}
+    for k, t, is_set, v in rows:
+        if not is_set:
+            at = bisect.bisect_right(by_key[k], (t, float("inf"))) - 1
+            last = by_key[k][at] if at >= 0 else None
+            assert got[int(v)] == (last[1] if last and t < last[0] + datetime.timedelta(minutes=10) else None)
+    assert got[-1] is None and len(got) == g.count()
+
+
 def test_cache_lookup_brute_force(spark):
     """A hot key with half of all rows; sets and gets at equal times; values over slice edges."""
     rng = random.Random(5)
