@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,30 @@ def shuffle(df: DataFrame, key: str, seed: int | str) -> DataFrame:
     return df.orderBy(draw(F.col(key), seed), F.col(key))
 
 
+def _exact_picks(n_val: int, by: str):
+    """Of one group's candidates in drawn order: those that together have exactly n_val rows, or none.
+
+    A candidate is taken if the rest can still be made up from the ones behind it; the sums that can are bits of
+    one number per place.
+    """
+    everything = (1 << (n_val + 1)) - 1
+
+    def picks(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_draw", "_key"], kind="stable")
+        sizes, reach = rows["_n"].tolist(), [1]
+        for n in reversed(sizes):
+            reach.append((reach[-1] | reach[-1] << n) & everything)
+        reach.reverse()
+        left, taken = n_val, []
+        if reach[0] >> n_val & 1:
+            for place, n in enumerate(sizes):
+                taken.append(n <= left and bool(reach[place + 1] >> (left - n) & 1))
+                left -= n if taken[-1] else 0
+        return rows.loc[taken if taken else [False] * len(rows), [by, "_key"]]
+
+    return picks
+
+
 def split_train_val(
     pairs: DataFrame,
     n_val: int = fixed.VALIDATION_PAIRS,
@@ -64,26 +89,31 @@ def split_train_val(
 ) -> DataFrame:
     """Add ``split``: all copies of a prompt fall on one side within their ``by`` group.
 
-    Copies are counted first (partial counts before the shuffle, keys instead of texts). Prompts are
-    then taken in drawn order until n_val rows are reached, whatever their number of copies: the last
-    one may overshoot, by its copies less one at most, and a group of a single prompt validates whole.
-    split_sizes() reports both sides. At most n_val prompts per ``by`` value are ever chosen. The list
-    is written out, so that the planner knows its size: it is broadcast while it is small, and the
-    texts are not shuffled then.
+    Copies are counted first (partial counts before the shuffle, keys instead of texts). Where some prompts have
+    exactly n_val rows together, such a set is taken: prompts in drawn order, each one that leaves a rest that the
+    later ones can make up. Of a number of copies at most n_val div that number of prompts are ever needed, so
+    n_val log n_val prompts per group decide. Where no set fits, prompts are taken in drawn order until n_val rows
+    are reached: the last one overshoots, a group with fewer rows validates whole, and split_sizes() reports it.
+    The list of chosen prompts is written out, so that the planner knows its size: it is broadcast while it is
+    small, and the texts are not shuffled then.
     """
     keyed = pairs.withColumn("_key", T.text_key(F.col(prompt)))
     groups = keyed.groupBy(by, "_key").agg(F.count("*").alias("_n")).withColumn(
         "_draw", draw(F.lower(F.hex("_key")), seed)
     )
+    groups = materialise(groups, "prompt-groups")
     in_order = Window.partitionBy(by).orderBy("_draw", "_key")
-    # The limit is pushed below the shuffle as a per-task one, which bounds each group.
+    # The limits are pushed below the shuffle as per-task ones, which bounds each group.
     first = groups.withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= n_val)
     before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    chosen = (
-        first.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .where(F.col("_before") < n_val)
-        .select(F.col(by).alias("_by"), F.col("_key").alias("_chosen"))
-    )
+    first = first.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < n_val).select(by, "_key")
+    alike = Window.partitionBy(by, "_n").orderBy("_draw", "_key")
+    few = groups.where(F.col("_n") <= n_val).withColumn("_place", F.row_number().over(alike)).where(F.col("_place") <= n_val)
+    few = few.where(F.col("_place") * F.col("_n") <= n_val).select(by, "_key", "_n", "_draw")
+    exact = materialise(few.groupBy(by).applyInPandas(_exact_picks(n_val, by), few.select(by, "_key").schema), "exact")
+    settled = exact.select(F.col(by).alias("_by")).distinct()
+    others = first.join(settled, F.col(by).eqNullSafe(F.col("_by")), "left_anti")
+    chosen = exact.unionByName(others).select(F.col(by).alias("_by"), F.col("_key").alias("_chosen"))
     chosen = materialise(chosen, "validation")
     matched = keyed.join(chosen, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_key") == F.col("_chosen")), "left")
     split = F.when(F.col("_chosen").isNotNull(), "validation").otherwise("train")

@@ -21,8 +21,7 @@ from corpusworks.sources import pairs as P
 from corpusworks.sources.files import read_sources
 from corpusworks.sources.files import write_pieces as write_files
 
-# Corpora of the given sizes are small, so that quotas bind: targets are cut down to this share.
-N_VAL = 5
+N_VAL = fixed.VALIDATION_PAIRS
 
 
 def draw_sql(key: str, seed: str) -> str:
@@ -100,10 +99,18 @@ def shuffle(spark, sf) -> DataFrame:
     return pairs.join(first, "idx", "left").withColumn("early", F.coalesce("early", F.lit(False)))
 
 
+# Sums that the prompts from each place on can make up, then the prompts in drawn order that leave such a rest.
 SPLIT = f"""
-    g as (select adapter, {key_sql('prompt')} as k, count(*) as n from pairs group by 1, 2),
-    o as (select *, coalesce(sum(n) over (partition by adapter order by {draw_sql('k', '5')}, k rows between unbounded preceding and 1 preceding), 0) as before from g),
-    chosen as (select adapter, k from o where before < {N_VAL}),
+    g as (select adapter, {key_sql('prompt')} as k, count(*) as n, {draw_sql('k', '5')} as d from pairs group by 1, 2),
+    o as (select *, coalesce(sum(n) over (partition by adapter order by d, k rows between unbounded preceding and 1 preceding), 0) as before,
+          row_number() over (partition by adapter, n order by d, k) * n <= {N_VAL} as needed from g),
+    c as (select adapter, k, n, row_number() over (partition by adapter order by d, k) as i from o where needed),
+    reach as (select adapter, count(*) + 1 as i, [0::bigint] as sums from c group by adapter
+          union all select adapter, c.i, list_distinct(sums || list_filter(list_transform(sums, lambda x: x + n), lambda x: x <= {N_VAL})) from reach join c using (adapter) where c.i = reach.i - 1),
+    walk as (select adapter, 0::bigint as i, {N_VAL}::bigint as rest, null::varchar as k, false as taken from reach where i = 1 and list_contains(sums, {N_VAL})
+          union all select w.adapter, c.i, w.rest - case when t.yes then c.n else 0 end, c.k, t.yes from walk w join c on c.adapter = w.adapter and c.i = w.i + 1
+          join reach r on r.adapter = c.adapter and r.i = c.i + 1, lateral (select list_contains(r.sums, w.rest - c.n) as yes) t),
+    chosen as (select adapter, k from walk where taken union all select adapter, k from o where before < {N_VAL} and adapter not in (select adapter from walk)),
     assigned as (select p.*, case when c.k is null then 'train' else 'validation' end as split from pairs p left join chosen c on c.adapter = p.adapter and c.k = {key_sql('p.prompt')})
 """
 
@@ -112,7 +119,7 @@ def split_pairs(spark, sf) -> DataFrame:
     return W.split_train_val(view(spark, sf, "pairs"), N_VAL, 5)
 
 
-@register("split_train_val", f"with {SPLIT} select idx, adapter, split from assigned", ["compiled", "pairs"])
+@register("split_train_val", f"with recursive {SPLIT} select idx, adapter, split from assigned", ["compiled", "pairs"])
 def split_train_val(spark, sf) -> DataFrame:
     return split_pairs(spark, sf).select("idx", "adapter", "split")
 
@@ -171,7 +178,7 @@ def leakage(spark, sf) -> DataFrame:
 
 @register(
     "split_sizes",
-    f"with {SPLIT} select adapter, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'validation') as validation, "
+    f"with recursive {SPLIT} select adapter, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'validation') as validation, "
     f"greatest(0, count(*) filter (where split = 'validation') - {N_VAL}) as overshoot from assigned group by 1",
     ["compiled", "pairs"],
 )
@@ -181,7 +188,7 @@ def split_sizes(spark, sf) -> DataFrame:
 
 @register(
     "leakage_after_split",
-    f"with {SPLIT} select adapter, count(*) as prompts, 0::bigint as leaked from (select distinct adapter, {key_sql('prompt')} as k from assigned) x group by 1",
+    f"with recursive {SPLIT} select adapter, count(*) as prompts, 0::bigint as leaked from (select distinct adapter, {key_sql('prompt')} as k from assigned) x group by 1",
     ["compiled", "pairs"],
 )
 def leakage_after_split(spark, sf) -> DataFrame:
@@ -271,11 +278,11 @@ def run_progress(spark, sf) -> DataFrame:
     return rows.withColumn("per_minute", F.round("per_minute", 9))
 
 
-TARGETS = f"(select profile as adapter, pairs // 100 as target from {CATALOG_SQL})"
+TARGETS = f"(select profile as adapter, pairs as target from {CATALOG_SQL})"
 
 
 def targets(spark) -> DataFrame:
-    return J.default_catalog(spark).select(F.col("profile").alias("adapter"), F.floor(F.col("pairs") / 100).alias("target"))
+    return J.default_catalog(spark).select(F.col("profile").alias("adapter"), F.col("pairs").cast("bigint").alias("target"))
 
 
 @register(
@@ -299,7 +306,7 @@ def call_estimate(spark, sf) -> DataFrame:
 
 @register(
     "merge_append",
-    f"with {SPLIT} select 'old' as origin, split, count(*) as rows from assigned group by 1, 2 union all select 'new', 'train', count(*) from conversations where role = 'user'",
+    f"with recursive {SPLIT} select 'old' as origin, split, count(*) as rows from assigned group by 1, 2 union all select 'new', 'train', count(*) from conversations where role = 'user'",
     ["compiled", "pairs"],
 )
 def merge_append(spark, sf) -> DataFrame:
@@ -350,13 +357,12 @@ def corpus_status(spark, sf) -> DataFrame:
 
 @register(
     "phase_status",
-    f"""with s as (select profile, phase, count(idx) >= pairs // 50 as complete from {CATALOG_SQL} left join (select idx, adapter from pairs) p on adapter = profile group by profile, phase, pairs)
+    f"""with s as (select profile, phase, count(idx) >= pairs as complete from {CATALOG_SQL} left join (select idx, adapter from pairs) p on adapter = profile group by profile, phase, pairs)
         select phase, count(*) filter (where complete) || ' / ' || count(*) as progress from s group by 1""",
     ["compiled", "pairs"],
 )
 def phase_status(spark, sf) -> DataFrame:
-    scaled = J.default_catalog(spark).withColumn("pairs", F.floor(F.col("pairs") / 50))
-    return G.phase_status(G.corpus_status(view(spark, sf, "pairs"), scaled))
+    return G.phase_status(G.corpus_status(view(spark, sf, "pairs"), J.default_catalog(spark)))
 
 
 LENGTHS = f"(select adapter, length(t) as chars, {TOKENS} as tokens from (select adapter, concat(system, chr(10), prompt, chr(10), completion) as t from pairs) y)"
@@ -516,7 +522,7 @@ def as_metadata(spark, sf) -> DataFrame:
 
 @register(
     "pairs_round_trip",
-    f"with {SPLIT} select idx, adapter, split, md5(prompt) as prompt_digest, md5(completion) as completion_digest from assigned",
+    f"with recursive {SPLIT} select idx, adapter, split, md5(prompt) as prompt_digest, md5(completion) as completion_digest from assigned",
     ["compiled", "pairs"],
 )
 def pairs_round_trip(spark, sf) -> DataFrame:

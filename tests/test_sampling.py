@@ -1,6 +1,7 @@
 """Splits, schedules and numbering, with a third of all rows in one group."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,28 @@ def test_split_takes_prompts_in_drawn_order_alone(spark):
         assert {r.prompt for r in rows if r.split == "validation"} == want and len(rows) == 160
     single = W.split_train_val(df.where("prompt = 'y'"), 20, seed=3).collect()
     assert {r.split for r in single} == {"validation"} and len(single) == 90
+
+
+def test_split_is_exact_where_some_prompts_fit(spark):
+    """Random copy counts: exactly n_val rows wherever a subset has them, whole prompts, in drawn order; else as drawn."""
+    draw, rows = random.Random(8), []
+    for g in range(40):
+        sizes = [draw.choice([3, 4, 6, 9, 20, 35] if g % 2 else [7, 14, 21, 50]) for _ in range(draw.randint(1, 9))]
+        rows += [(f"g{g}", f"p{i}") for i, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame(rows, "adapter string, prompt string").repartition(4)
+    n_val = 30
+    split = [(r.adapter, r.prompt, r.split) for r in W.split_train_val(df, n_val, seed=2).collect()]
+    assert len(split) == len(rows) and len({x[:2] for x in split}) == len(set(split))  # no prompt on both sides
+    exact = 0
+    for g in {r[0] for r in rows}:
+        sizes = collections.Counter(p for a, p in rows if a == g)
+        held = sum(1 for a, _, side in split if a == g and side == "validation")
+        sums = {0}
+        for n in sizes.values():
+            sums |= {s + n for s in sums}
+        if n_val in sums:
+            exact += 1
+            assert held == n_val
+        else:
+            assert held >= min(n_val, sum(sizes.values()))
+    assert 5 < exact < 38
