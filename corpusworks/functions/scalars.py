@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +82,36 @@ def register_transform(name: str, fn: Callable[[Column], Column]) -> None:
     TRANSFORMS[name] = fn
 
 
+def register_vectorised(name: str, fn: Callable[[pa.Array], pa.Array], returns: str) -> None:
+    """Make a function over whole Arrow arrays available to transform(… using=name).
+
+    ``fn`` gets each batch of a column once and gives as many values of the type ``returns``. It runs in a node of
+    its own above the filters that stand before it, so rows that are filtered out never reach Python.
+    """
+    TRANSFORMS[name] = F.arrow_udf(fn, returns)
+
+
+@dataclass(frozen=True)
+class Mergeable:
+    """An aggregate with a state of its own: a list of numbers of bounded length.
+
+    ``partial`` makes it from some values (nulls left out), ``merge`` from two states, in any order; ``finish`` gives
+    the result.
+    """
+
+    partial: Callable[[np.ndarray], np.ndarray]
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], float | None]
+
+
+MERGEABLES: dict[str, Mergeable] = {}
+
+
+def register_mergeable(name: str, aggregate: Mergeable) -> None:
+    """Make an aggregate with its own state available to aggregate_merging(…)."""
+    MERGEABLES[name.upper()] = aggregate
+
+
 def register_aggregate(name: str, fn: Callable[[Column], Column]) -> None:
     """Make an aggregate available to aggregate(…); names are not case-sensitive."""
     AGGREGATES[name.upper()] = fn

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusworks.functions.scalars import AGGREGATES, TRANSFORMS
+from corpusworks.functions.scalars import AGGREGATES, MERGEABLES, TRANSFORMS
 from corpusworks.operators.numbering import dense_positions
 from corpusworks.session import materialise
 
@@ -189,6 +194,54 @@ def aggregate(df: DataFrame, by: list[str], compute: dict[str, tuple[str, str]])
                                  for out, (fn, c) in compute.items()])
 
 
+#: Groups whose states a task holds before it passes them on, and parts that a group's states are merged in.
+HELD, PARTS = 20_000, 32
+
+
+def aggregate_merging(df: DataFrame, by: list[str], fn: str, col: str, out: str) -> DataFrame:
+    """by and ``out``: an aggregate with a state of its own, from the MERGEABLES registry.
+
+    Tasks turn the rows they read into one bounded state per group and pass states on, not rows. States are merged
+    in PARTS parts per group, then across parts, so no task gathers a group however many rows or tasks it has.
+    """
+    kind = MERGEABLES[fn.upper()]
+    keys = df.select(*by).schema
+    names = [f"_by{i}" for i in range(len(by))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, keys.fields, strict=True)]
+    schema = T.StructType([*fields, T.StructField("_part", T.IntegerType()), T.StructField("_state", T.ArrayType(T.DoubleType()))])
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(col).cast("double").alias("_value"))
+
+    def states(held: dict, part: int) -> pd.DataFrame:
+        columns = list(zip(*held, strict=True)) or [()] * len(names)
+        # null keys stay null whatever their type
+        table = {n: pd.Series(list(c), dtype=object) for n, c in zip(names, columns, strict=True)}
+        return pd.DataFrame({**table, "_part": part, "_state": [list(map(float, s)) for s in held.values()]})
+
+    def partial(batches):
+        held, part = {}, TaskContext.get().partitionId() % PARTS  # the same when a task is run again
+        for batch in batches:
+            for key, values in batch.groupby(names, dropna=False)["_value"] if names else [((), batch["_value"])]:
+                key = tuple(None if pd.isna(k) else k for k in key)
+                state = kind.partial(values.dropna().to_numpy(dtype=float))
+                held[key] = kind.merge(held[key], state) if key in held else state
+            if len(held) > HELD:
+                yield states(held, part)
+                held = {}
+        yield states(held, part)
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        state = functools.reduce(kind.merge, map(np.asarray, rows["_state"]))
+        return rows.iloc[:1].assign(_state=[list(map(float, state))])
+
+    def finished(rows: pd.DataFrame) -> pd.DataFrame:
+        state = functools.reduce(kind.merge, map(np.asarray, rows["_state"]))
+        return rows.iloc[:1][names].assign(_out=[kind.finish(state)])
+
+    some = rows.mapInPandas(partial, schema).groupBy(*names, "_part").applyInPandas(merged, schema)
+    done = some.groupBy(*names).applyInPandas(finished, T.StructType([*fields, T.StructField("_out", T.DoubleType())]))
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], F.col("_out").alias(out))
+
+
 def aggregate_having(df: DataFrame, by: list[str], aggs: list[Column], having: Column | str) -> DataFrame:
     return df.groupBy(*by).agg(*aggs).where(_condition(having))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusworks import fixed
 from corpusworks.functions import text as T
+from corpusworks.functions.tokens import token_count
 from corpusworks.operators.routing import with_tier
 
 
@@ -181,10 +182,14 @@ def phase_status(status: DataFrame) -> DataFrame:
     return counted.select("phase", F.concat_ws(" / ", "_done", "_all").alias("progress"))
 
 
-def length_profile(pairs: DataFrame, text: str = "text", max_tokens: int = fixed.MAX_TOKENS) -> DataFrame:
-    """Length distribution per adapter; the percentile is an approximation with bounded memory."""
+def length_profile(pairs: DataFrame, text: str = "text", max_tokens: int = fixed.MAX_TOKENS, tokenizer: str | None = None) -> DataFrame:
+    """Length distribution per adapter; the percentile is an approximation with bounded memory.
+
+    ``tokenizer`` as in rendering.length_gate.
+    """
+    tokens = T.token_estimate(F.col(text)) if tokenizer is None else token_count(F.col(text), tokenizer)
     sized_rows = pairs.select(
-        "adapter", F.length(text).cast("bigint").alias("chars"), T.token_estimate(F.col(text)).cast("bigint").alias("tokens")
+        "adapter", F.length(text).cast("bigint").alias("chars"), tokens.cast("bigint").alias("tokens")
     )
     return sized_rows.groupBy("adapter").agg(
         F.count("*").alias("n"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusworks import fixed
 from corpusworks.functions import text as T
+from corpusworks.functions.tokens import token_count
 
 
 def pair_metadata(category: str) -> Column:
@@ -117,9 +118,13 @@ def with_training_text(pairs: DataFrame, eos: str) -> DataFrame:
     return pairs.withColumn("text", T.training_text(F.col("system"), F.col("prompt"), F.col("completion"), eos))
 
 
-def length_gate(pairs: DataFrame, text: str = "text", max_tokens: int = fixed.MAX_TOKENS) -> DataFrame:
-    """Add ``tokens`` (an estimate) and ``fits``; filter on fits to drop, or keep it as a flag."""
-    return pairs.withColumn("tokens", T.token_estimate(F.col(text))).withColumn("fits", F.col("tokens") <= max_tokens)
+def length_gate(pairs: DataFrame, text: str = "text", max_tokens: int = fixed.MAX_TOKENS, tokenizer: str | None = None) -> DataFrame:
+    """Add ``tokens`` and ``fits``; filter on fits to drop, or keep it as a flag.
+
+    ``tokenizer`` is the path of a tokenizer file (see functions.tokens); without one white-space counts stand in.
+    """
+    tokens = T.token_estimate(F.col(text)) if tokenizer is None else token_count(F.col(text), tokenizer)
+    return pairs.withColumn("tokens", tokens).withColumn("fits", F.col("tokens") <= max_tokens)
 
 
 def project_fields(df: DataFrame, add: dict[str, Column] | None = None, drop: list[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusworks import fixed
 from corpusworks.functions import checks as C
 from corpusworks.functions import text as T
+from corpusworks.functions.conditions import condition
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -112,6 +113,34 @@ def expect(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     return kept, judged.where(F.size("broken_rules") > 0)
 
 
+def expect_conditions(rows: DataFrame, rules: DataFrame, by: str, most: int = 2000) -> DataFrame:
+    """Add ``broken`` and ``unread`` to rows: the conditions of a row's ``by`` value that do not hold, and those
+    that are no conditions over the columns of ``rows``.
+
+    ``rules``: by, condition (text of the block language, as block_fields() finds them). Each distinct condition is
+    translated once, ``most`` of them at the most; its result is computed only for rows whose ``by`` asks for it.
+    A condition that evaluates to null is broken. Rows without rules have two empty lists.
+    """
+    rules = rules.where(F.col(by).isNotNull() & F.col("condition").isNotNull()).select(by, "condition").distinct()
+    texts = sorted(r[0] for r in rules.select("condition").distinct().limit(most + 1).collect())
+    if len(texts) > most:
+        raise ValueError(f"more than {most} distinct conditions")
+    columns = {text: condition(text, rows) for text in texts}
+    asked = rules.groupBy(by).agg(F.array_sort(F.collect_set("condition")).alias("_asked"))  # bounded by ``most``
+    joined = rows.join(asked, by, "left").withColumn("_asked", F.coalesce("_asked", F.array().cast("array<string>")))
+    broken = [
+        F.when(F.array_contains("_asked", text) & ~F.coalesce(c, F.lit(False)), F.lit(text)) for text, c in columns.items() if c is not None
+    ]
+    unread = [text for text, c in columns.items() if c is None]
+    none = F.array().cast("array<string>")
+    return joined.withColumns(
+        {
+            "broken": F.array_compact(F.array(*broken)) if broken else none,
+            "unread": F.array_intersect("_asked", F.array(*map(F.lit, unread))) if unread else none,
+        }
+    ).select(*[rows[c] for c in rows.columns if c != by], by, "broken", "unread").select(*rows.columns, "broken", "unread")
+
+
 def type_to_ddl(declared: str) -> str:
     """Spark type of a declared type: T, T(n), T[], T? and Map<K,V>."""
     name = declared.strip().removesuffix("?")

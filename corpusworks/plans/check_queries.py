@@ -338,6 +338,25 @@ def expect(spark, sf) -> DataFrame:
     return good.unionByName(quarantined.select(*key, F.array_join("broken_rules", ",").alias("broken")))
 
 
+@register(
+    "expect_conditions",
+    """with r as (select p_brand, min(p_size) + 10 as least, min(p_type) as t, 10 + count(*) % 3 as n from part group by 1)
+       select p_partkey, concat_ws(',', case when not (p_size >= least and not p_type = t or length(p_name) > n) then 'mixed' end,
+         case when not (p_retailprice > 1000 or p_size < 30 and p_type <> t) then 'priced' end) as broken, 1 as unread
+       from part join r using (p_brand)""",
+)
+def expect_conditions(spark, sf) -> DataFrame:
+    """Conditions that the corpus itself holds: three of each brand, in the block language, one of them prose."""
+    parts = table(spark, sf, "part")
+    made = parts.groupBy("p_brand").agg((F.min("p_size") + 10).alias("least"), F.min("p_type").alias("t"), (10 + F.count("*") % 3).alias("n"))
+    mixed = F.concat(F.lit("p_size >= "), "least", F.lit(' AND NOT p_type == "'), "t", F.lit('" OR p_name.length > '), "n")
+    priced = F.concat(F.lit('p_retailprice > 1000 OR p_size < 30 AND p_type != "'), "t", F.lit('"'))
+    rules = made.select("p_brand", F.explode(F.array(mixed, priced, F.lit("the part must be sold somewhere"))).alias("condition"))
+    judged = V.expect_conditions(parts, rules, "p_brand")
+    names = F.transform("broken", lambda c: F.when(c.startswith("p_size"), F.lit("mixed")).otherwise("priced"))
+    return judged.select("p_partkey", F.array_join(F.array_sort(names), ",").alias("broken"), F.size("unread").alias("unread"))
+
+
 FIELDS = [
     {"name": "p_name", "type": "String(11)", "not_null": True},
     {"name": "p_type", "type": "Int?", "not_null": False},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -532,3 +534,51 @@ def transform_custom(spark, sf) -> DataFrame:
     """A user-named function."""
     S.register_transform("slug", lambda c: F.concat(F.replace(c, F.lit(" "), F.lit("-")), F.lit("#"), F.length(c).cast("string")))
     return D.transform(table(spark, sf, "part"), "p_name", "slug", "slug").select("p_partkey", "slug")
+
+
+def second_largest(values):
+    """The two largest distinct values; missing ones are NaN."""
+    top = np.unique(values)[::-1][:2]
+    return np.concatenate([top, np.full(2 - len(top), np.nan)])
+
+
+SECOND_LARGEST = S.Mergeable(
+    second_largest,
+    lambda a, b: second_largest(np.concatenate([a, b])[~np.isnan(np.concatenate([a, b]))]),
+    lambda state: None if np.isnan(state[1]) else float(state[1]),
+)
+
+
+@register(
+    "aggregate_merging",
+    """select event_type, user_id % 7 as team, max(value) filter (where value < top) as runner_up from events
+       join (select event_type, user_id % 7 as team, max(value) as top from events group by 1, 2) t using (event_type) where t.team = user_id % 7 group by 1, 2""",
+)
+def aggregate_merging(spark, sf) -> DataFrame:
+    """A user-named aggregate with a state of its own: the second largest distinct value."""
+    S.register_mergeable("SECOND_LARGEST", SECOND_LARGEST)
+    rows = table(spark, sf, "events").select("event_type", (F.col("user_id") % 7).alias("team"), "value")
+    return D.aggregate_merging(rows, ["event_type", "team"], "SECOND_LARGEST", "value", "runner_up")
+
+
+def check_digits(numbers: pa.Array) -> pa.Array:
+    """The digit that, put behind a number, makes its weighted digit sum a multiple of ten."""
+    rest, total, double = numbers.to_numpy(zero_copy_only=False).copy(), 0, True
+    total = np.zeros(len(rest), dtype=np.int64)
+    while rest.any():
+        digit = rest % 10 * (2 if double else 1)
+        total += np.where(digit > 9, digit - 9, digit)
+        rest, double = rest // 10, not double
+    return pa.array((10 - total % 10) % 10)
+
+
+@register(
+    "transform_vectorised",
+    """select p_partkey, (10 - list_sum(list_transform(range(1, len(s) + 1), lambda i: case when i % 2 = 1 then case when s[i]::int > 4 then s[i]::int * 2 - 9 else s[i]::int * 2 end else s[i]::int end))::bigint % 10) % 10 as digit
+       from (select p_partkey, reverse(p_partkey::varchar) as s from part where p_size > 25) x""",
+)
+def transform_vectorised(spark, sf) -> DataFrame:
+    """A user-named function over whole Arrow arrays, behind a filter."""
+    S.register_vectorised("check_digit", check_digits, "bigint")
+    rows = table(spark, sf, "part").where("p_size > 25")
+    return D.transform(rows.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), F.col("p_partkey").cast("bigint").alias("n")), "n", "check_digit", "digit").select("p_partkey", "digit")

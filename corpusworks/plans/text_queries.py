@@ -251,6 +251,17 @@ def length_gate(spark, sf) -> DataFrame:
     return gated.select("idx", F.col("tokens").cast("bigint").alias("tokens"), "fits")
 
 
+#: A public vocabulary on every machine; a cluster names a shared file.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@register("token_lengths", None, ["pairs"])
+def token_lengths(spark, sf) -> DataFrame:
+    """Tokens of the training texts by a byte-pair vocabulary, which SQL cannot count; tests compare with the encoder."""
+    gated = R.length_gate(R.with_training_text(view(spark, sf, "pairs"), "</s>"), tokenizer=TOKENIZER)
+    return gated.select("idx", "tokens", "fits")
+
+
 # --- rendering ------------------------------------------------------------------------------------
 def _rendered(df: DataFrame) -> DataFrame:
     return df.select(

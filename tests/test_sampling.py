@@ -136,7 +136,7 @@ def test_split_is_exact_where_some_prompts_fit(spark):
     """Random copy counts: exactly n_val rows wherever a subset has them, whole prompts, in drawn order; else as drawn."""
     draw, rows = random.Random(8), []
     for g in range(40):
-        sizes = [draw.choice([3, 4, 6, 9, 20, 35] if g % 2 else [7, 14, 21, 50]) for _ in range(draw.randint(1, 9))]
+        sizes = [draw.choice([3, 4, 6, 9, 20, 35] if g % 2 else [7, 14, 21, 50]) for _ in range(draw.randint(1, 24))]
         rows += [(f"g{g}", f"p{i}") for i, n in enumerate(sizes) for _ in range(n)]
     df = spark.createDataFrame(rows, "adapter string, prompt string").repartition(4)
     n_val = 30
