@@ -229,16 +229,85 @@ def build_plan(index: Index, catalog: DataFrame) -> DataFrame:
     return dirty_nodes(index).join(adapters, "profile", "left").orderBy("module_id", "block_id")
 
 
+def _mark_of(df: DataFrame, *columns: str) -> tuple:
+    """Count and checksum of rows, which change when the rows do."""
+    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*columns))).first())
+
+
+def _on_cycles(edges: DataFrame) -> DataFrame:
+    """The edges left when modules that nothing requires or that require nothing are taken away again and again."""
+    left = None
+    while True:
+        n = edges.count()
+        if n in (0, left):
+            return edges
+        left = n
+        sides = edges.select(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        both = sides.groupBy("id").agg(F.max("out").alias("out"), F.max("in").alias("in")).where("out = 1 and in = 1").select("id")
+        kept = edges.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        edges = materialise(kept.select("src", "dst"), "trimmed")
+
+
+def cyclic_groups(edges: DataFrame) -> DataFrame:
+    """id, part for the nodes of (src, dst) that lie on cycles; part is the largest id of a group of nodes that all
+    reach each other.
+
+    Nodes off all cycles are trimmed. Then each node takes the largest id that reaches it; those that reach the node
+    of that id on edges of the same id are its group. Groups are taken out and the rest goes on. Each round is
+    written, so lineage stays short.
+    """
+    edges, found = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "edges"), None
+    while True:
+        edges = _on_cycles(edges)
+        if not edges.limit(1).count():
+            return found if found is not None else edges.select(F.col("src").alias("id"), F.col("dst").alias("part"))
+        colours = materialise(edges.select(F.col("src").alias("id")).distinct().withColumn("part", F.col("id")), "colours")
+        mark = None
+        while mark != (mark := _mark_of(colours, "id", "part")):
+            for _ in range(2):  # a step reads the last one twice, so more of them in one plan cost more than they save
+                passed = edges.join(colours.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "part")
+                colours = colours.unionByName(passed).groupBy("id").agg(F.max("part").alias("part"))
+            colours = materialise(colours, "colours")
+        of = lambda end, name: colours.select(F.col("id").alias(end), F.col("part").alias(name))  # noqa: E731, B023
+        same = materialise(edges.join(of("src", "part"), "src").join(of("dst", "_to"), "dst").where("part = _to").select("src", "dst", "part"), "same")
+        group = materialise(colours.where("id = part"), "group")
+        size = None
+        while size != (size := group.count()):
+            for _ in range(2):
+                back = same.join(group.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "part")
+                group = group.unionByName(back).distinct()
+            group = materialise(group, "group")
+        found = group if found is None else found.unionByName(group)
+        taken = group.select("id")
+        rest = edges.join(taken.withColumnRenamed("id", "src"), "src", "left_anti").join(taken.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        edges = materialise(rest.select("src", "dst"), "edges")
+
+
 def affected_by(index: Index, seeds: DataFrame) -> DataFrame:
-    """Per seed module: how many modules and blocks a change would rebuild."""
-    reach = dependents(
-        index.deps, index.modules, seeds.select(F.col("id").alias("seed"), "id"), per=["seed"]
-    )
-    sizes = index.blocks.groupBy("module_id").agg(F.count("*").alias("_blocks"))
-    joined = reach.join(sizes, F.col("id") == F.col("module_id"), "left")
-    return joined.groupBy("seed").agg(
-        F.count("*").alias("modules"), F.coalesce(F.sum("_blocks"), F.lit(0)).alias("blocks")
-    )
+    """Per seed module: how many modules and blocks a change would rebuild.
+
+    Modules that reach each other are affected together, so they are condensed to one node first (only in the part
+    of the graph that the seeds reach). Closures run over the condensed graph, one per condensed seed: their rows are
+    bounded by pairs of groups, however many modules a group has and however many of them are seeds.
+    """
+    seeds = materialise(seeds.select("id").distinct(), "seeds")
+    reached = materialise(dependents(index.deps, index.modules, seeds).select("id"), "reached")
+    inside = index.deps.join(reached.withColumnRenamed("id", "from_module"), "from_module", "left_semi")
+    inside = inside.join(reached.withColumnRenamed("id", "to_module"), "to_module", "left_semi")
+    groups = cyclic_groups(inside.select(F.col("to_module").alias("src"), F.col("from_module").alias("dst")))
+    parts = reached.join(groups, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
+    parts = materialise(parts, "parts")
+    of = lambda end, name: parts.select(F.col("id").alias(end), F.col("part").alias(name))
+    known = index.modules.select(F.col("id").alias("from_module"))
+    edges = inside.join(known, "from_module", "left_semi").join(of("from_module", "_from"), "from_module").join(of("to_module", "_to"), "to_module")
+    edges = edges.where("_from <> _to").select(F.col("_from").alias("from_module"), F.col("_to").alias("to_module")).distinct()
+    blocks = index.blocks.join(of("module_id", "part"), "module_id").groupBy("part").agg(F.count("*").alias("_blocks"))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("_modules")).join(blocks, "part", "left")
+    wanted = seeds.join(parts, "id").select("id", "part")
+    start = wanted.select(F.col("part").alias("seed"), F.col("part").alias("id")).distinct()
+    reach = dependents(edges, sizes.select(F.col("part").alias("id")), start, per=["seed"]).select("seed", F.col("id").alias("part"))
+    totals = reach.join(sizes, "part").groupBy("seed").agg(F.sum("_modules").alias("modules"), F.coalesce(F.sum("_blocks"), F.lit(0)).alias("blocks"))
+    return wanted.join(totals.withColumnRenamed("seed", "part"), "part").select(F.col("id").alias("seed"), "modules", "blocks")
 
 
 def index_stats(index: Index) -> DataFrame:

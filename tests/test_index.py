@@ -180,3 +180,36 @@ def test_buckets_equal_the_plain_form(spark, tmp_path):
     plain = I.mark_dirty(index, seeds)
     for table, df in ((modules, plain.modules), (blocks, plain.blocks)):
         assert sorted(map(tuple, table.read(spark).collect())) == sorted(map(tuple, df.select(*table.read(spark).columns).collect()))
+
+
+def test_affected_by_equals_plain_closure_on_cyclic_graphs(spark):
+    """Rings, rings joined by bridges, chains and unknown modules; every module is a seed."""
+    import random
+
+    draw = random.Random(12)
+    names = [f"m{i:03d}" for i in range(60)]
+    edges = {(names[i], names[(i + 1) % 12]) for i in range(12)} | {(names[20 + i], names[20 + (i + 1) % 5]) for i in range(5)}
+    edges |= {(names[i], names[i + 1]) for i in range(30, 45)} | {(draw.choice(names), draw.choice(names)) for _ in range(25)}
+    edges |= {("gone", names[3]), (names[50], "gone"), (names[51], names[51])}
+    blocks = [(f"{n}-{k}", n) for n in names for k in range(draw.randint(0, 3))]
+    index = I.Index(
+        spark.createDataFrame([(n, False) for n in names], "id string, dirty boolean"),
+        spark.createDataFrame(blocks, "id string, module_id string"),
+        spark.createDataFrame(sorted(edges), "from_module string, to_module string"),
+    )
+    seeds = spark.createDataFrame([(n,) for n in [*names, "gone", "nowhere", names[0]]], "id string")
+    got = {r.seed: (r.modules, r.blocks) for r in I.affected_by(index, seeds).collect()}
+    want = {}
+    for seed in {*names, "gone", "nowhere"}:
+        seen, todo = {seed}, [seed]
+        while todo:
+            now = todo.pop()
+            for a, b in edges:
+                if b == now and a in names and a not in seen:
+                    seen.add(a)
+                    todo.append(a)
+        want[seed] = (len(seen), sum(m in seen for _, m in blocks))
+    assert got == want
+    ring = [(names[(i + 1) % 12], names[i]) for i in range(12)]
+    groups = I.cyclic_groups(spark.createDataFrame(ring, "src string, dst string")).collect()
+    assert {(r.id, r.part) for r in groups} == {(names[i], names[11]) for i in range(12)}
