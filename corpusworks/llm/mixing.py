@@ -7,7 +7,8 @@ tokens of each domain match their targets with rates as near to one as the steps
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,13 @@ class Mixture:
     model: DomainModel
     moves: list[np.ndarray]
     seed: str = "mix"
+    targets: dict[str, float] = field(default_factory=dict)  # wanted share of all tokens by domain
+    reached: dict[str, float] = field(default_factory=dict)  # expected share under the rates
+
+    def missed(self, close: float = CLOSE) -> dict[str, float]:
+        """Reached minus wanted share of the domains that are further off than ``close``."""
+        gaps = {d: self.reached[d] - t for d, t in self.targets.items()}
+        return {d: gap for d, gap in gaps.items() if abs(gap) > close}
 
     def rate(self) -> Column:
         """The rate as a column over ``shares``."""
@@ -186,14 +194,20 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """The mixture, and the memberships it was fitted to.
 
     ``targets`` are weights per learned domain, scaled to sum 1; a domain that is not named gets 0, and
-    None asks for equal weights. With no labelled rows all rates are 1.
+    None asks for equal weights. With no labelled rows all rates are 1. The mixture tells the shares it
+    reached; a warning names the domains that miss their targets after ``steps``, such as one without tokens.
     """
     model = fit(docs, labelled)
     named = targets or dict.fromkeys(model.domains, 1.0)
     weights = np.array([max(0.0, float(named.get(d, 0.0))) for d in model.domains])
     weights = weights / weights.sum() if weights.sum() else np.full(len(weights), 1 / len(weights))
     members = materialise(memberships(docs, model), "memberships")
-    return Mixture(model, fit_rates(members, weights.tolist(), steps)[0], seed), members
+    moves, reached = fit_rates(members, weights.tolist(), steps)
+    wanted, got = (dict(zip(model.domains, shares, strict=True)) for shares in (weights.tolist(), reached))
+    mixture = Mixture(model, moves, seed, wanted, got)
+    if any(reached) and mixture.missed():
+        warnings.warn(f"targets missed by {mixture.missed()} after {steps} steps", stacklevel=2)
+    return mixture, members
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix") -> DataFrame:
