@@ -201,6 +201,15 @@ def test_mixture_reaches_its_targets(spark, targets):
     assert np.mean([truth[i] == d for i, d in zip(got["doc_id"], got["domain"], strict=True)]) > 0.97
 
 
+def test_missed_targets_are_told(spark):
+    docs = documents(spark, mixture_rows())
+    labelled = docs.selectExpr("doc_id", "lang as domain")
+    with pytest.warns(UserWarning, match="targets missed"):
+        mixture, _ = mixing.fit_mixture(docs, labelled, {"aa": 1, "bb": 2, "cc": 5}, steps=0)
+    assert mixture.targets == {"aa": 0.125, "bb": 0.25, "cc": 0.625} and abs(sum(mixture.reached.values()) - 1) < 1e-6
+    assert mixture.missed()["cc"] < -0.3 and mixture.missed()["aa"] > 0.3
+
+
 def test_descent_equals_numpy(spark):
     rng = np.random.default_rng(2)
     shares = rng.dirichlet([0.4, 0.6, 0.5], 200)
