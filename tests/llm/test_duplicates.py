@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -166,6 +167,7 @@ def plain_neighbours(rows, k):
 def test_neighbours_equal_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(ann, "QUERY_BLOCK", blocks[0])
     monkeypatch.setattr(ann, "CANDIDATE_BLOCK", blocks[1])
+    monkeypatch.setattr(ann, "TILE", (5, 30))
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(150)]
     rows += [(i, rows[7][1]) for i in range(150, 260)]  # many equal vectors: ties
@@ -182,3 +184,38 @@ def test_neighbours_of_few_and_no_rows(spark):
     few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in ann.search(few, F.col("vec_id") % 20 == 0).collect()] == [(20, 1)]
     assert ann.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("scale", ["huge", "denormal", "mixed"])
+def test_neighbours_of_huge_and_tiny_vectors(spark, monkeypatch, scale):
+    """Products beyond the doubles are infinite ties, those below them zero ties; no row is lost."""
+    monkeypatch.setattr(ann, "TILE", (4, 25))
+    rng = np.random.default_rng(3)
+    power = {"huge": rng.integers(500, 531, 200), "denormal": rng.integers(-1060, -500, 200), "mixed": rng.integers(-1060, 1000, 200)}[scale]
+    rows = [(i, (rng.normal(size=8) * 2.0 ** int(p)).tolist()) for i, p in enumerate(power)]
+    rows += [(200, [1.7e308] * 5 + [-1.7e308] * 3), (201, [1.7e308] * 8), (202, [5e-324] * 8), (203, [1e160] * 8), (220, [1e160] * 8)]
+    exact = {i: [Fraction(x) for x in v] for i, v in rows}
+
+    def score(a, b):
+        with np.errstate(all="ignore"):
+            total = 0.0
+            for x, y in zip(a, b, strict=True):
+                total += x * y
+        if np.isfinite(total):
+            return total
+        value = sum(Fraction(x) * Fraction(y) for x, y in zip(a, b, strict=True))
+        try:
+            return float(value)
+        except OverflowError:
+            return float("inf") if value > 0 else float("-inf")
+
+    vectors = dict(rows)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0, 7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {i for i in exact if i % 20 == 0}
+    for query, found in got.items():
+        want = sorted(((-score(vectors[query], v), i) for i, v in rows if i != query))[:7]
+        assert [f[1] for f in sorted(found)] == [i for _, i in want]
+        assert [f[2] for f in sorted(found)] == pytest.approx([-s for s, _ in want], rel=1e-12)
