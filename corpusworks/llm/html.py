@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from corpusworks.llm.common import bounded
 
 #: Pages that lend their sentences to the labelled pages, labelled pages made, and training steps.
-SOURCE_PAGES, LABELLED_PAGES, STEPS, RATE, RIDGE = 200, 600, 150, 0.1, 0.002
+#: Sentences of more than SENTENCE characters are not lent.
+SENTENCE = 1_000
+SOURCE_PAGES, LABELLED_PAGES, STEPS, RATE, RIDGE = 200, 600, 300, 0.1, 0.0005
 
 # HTML's element kinds.
 BLOCK_TAGS = frozenset(
@@ -46,19 +48,30 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+# A quote opens a value right behind "=" only; elsewhere it belongs to a name or a bare value.
+_VALUE = r"""\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*|)"""
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=" + _VALUE + r")*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)\s*(?:=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+@dataclass(eq=False)
+class Around:
+    """An open element that counts, in the chain of those around a block: its tag, and the features that it adds to theirs."""
+
+    outer: Around | None
+    tag: str
+    adds: tuple[str, ...]
+
+
 @dataclass
 class Block:
     """A leaf block: text with white space turned into single spaces, and the open elements around it."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    around: Around | None
     linked: int  # characters inside links
 
 
@@ -88,7 +101,9 @@ def leaf_blocks(page: str) -> list[Block]:
     Never fails: end tags that match nothing are ignored, what is open at the end is closed.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack: list[tuple[str, bool, Around | None]] = []
+    places: dict[str, list[int]] = {}  # of each tag's open elements
+    held: set[str] = set()  # features of the open elements
     pieces: list[tuple[str, bool]] = []
     links = hidden = at = 0
 
@@ -98,26 +113,35 @@ def leaf_blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in pieces))).strip()
             if text:
                 linked = sum(len(_SPACE.sub(" ", html.unescape(p)).strip()) for p, is_link in pieces if is_link)
-                blocks.append(Block(text, tuple((t, w) for t, w, _ in stack if t in BLOCK_TAGS or w), min(linked, len(text))))
+                blocks.append(Block(text, stack[-1][2] if stack else None, min(linked, len(text))))
             pieces = []
 
     def pop(to: int) -> None:
         nonlocal links, hidden
         while len(stack) > to:
-            tag, _, is_hidden = stack[-1]
+            tag, is_hidden, around = stack[-1]
             if tag in BLOCK_TAGS or is_hidden:
                 close()
             stack.pop()
+            places[tag].pop()
+            if around is not (stack[-1][2] if stack else None):
+                held.difference_update(around.adds)
             links -= tag == "a"
             hidden -= is_hidden
 
     def last(kinds, until) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in kinds:
-                return i
-            if stack[i][0] in until:
-                return -1
-        return -1
+        place = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=-1)
+        i = place(kinds)
+        return i if i > place(until) else -1
+
+    def push(tag: str, words: tuple[str, ...], is_hidden: bool) -> None:
+        around = stack[-1][2] if stack else None
+        if tag in BLOCK_TAGS or words:
+            adds = tuple(f for f in (f"in:{tag}", *(f"word:{w}" for w in words)) if f not in held)
+            held.update(adds)
+            around = Around(around, tag, adds)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, is_hidden, around))
 
     size = len(page)
     while at < size:
@@ -167,7 +191,7 @@ def leaf_blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else size
         element = _element(tag, m[3])
-        stack.append(element)
+        push(*element)
         links += tag == "a"
         hidden += element[2]
     pop(0)
@@ -175,16 +199,14 @@ def leaf_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
-    """Names of the features that hold, per block."""
+def _own_features(blocks: list[Block]) -> list[list[str]]:
+    """Names of the features of each block's text, place, innermost element and neighbours."""
     out, n = [], len(blocks)
+    form = [f"{b.around.tag if b.around else ''}:{min(6, (b.text.count(' ') + 1).bit_length())}:{min(2, int(2 * b.linked / len(b.text)))}" for b in blocks]
     for i, b in enumerate(blocks):
         f = ["bias"]
-        tags = {t for t, _ in b.path}
-        f += [f"in:{t}" for t in tags]
-        f += [f"word:{w}" for w in {w for _, words in b.path for w in words}]
-        if b.path:
-            f.append(f"own:{b.path[-1][0]}")
+        if b.around:
+            f.append(f"own:{b.around.tag}")
         size = len(b.text)
         f.append(f"size:{min(8, size.bit_length())}")
         f.append(f"links:{min(4, int(4 * b.linked / size))}")
@@ -197,14 +219,24 @@ def features(blocks: list[Block]) -> list[list[str]]:
             f.append("bars")
         if sum(c.isdigit() for c in b.text) * 5 > size:
             f.append("digits")
-        if i == 0:
-            f.append("first")
-        if i == n - 1:
-            f.append("last")
+        f.append(f"form:{form[i]}")
+        f.append(f"before:{form[i - 1]}" if i else "first")
+        f.append(f"behind:{form[i + 1]}" if i < n - 1 else "last")
         out.append(f)
     return out
 
 
+def features(blocks: list[Block]) -> list[list[str]]:
+    """Names of the features that hold, per block, those of all elements around it included."""
+    out = _own_features(blocks)
+    for f, b in zip(out, blocks, strict=True):
+        around = b.around
+        while around:
+            f.extend(around.adds)
+            around = around.outer
+    return out
+
+
 @dataclass
 class ChainModel:
     """Weights of 'is main text' per feature, and of the four pairs of neighbouring labels."""
@@ -265,15 +297,33 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS) -> C
     return ChainModel({f: float(w) for f, w in zip(names, theta, strict=False) if abs(w) > 1e-4}, (tuple(pair[0]), tuple(pair[1])))
 
 
+def scores(model: ChainModel, blocks: list[Block]) -> list[float]:
+    """Sum of the weights of each block's features; elements around several blocks are summed once."""
+    sums: dict[Around | None, float] = {None: 0.0}
+    out, get = [], model.weights.get
+    for f, b in zip(_own_features(blocks), blocks, strict=True):
+        todo, around = [], b.around
+        while around not in sums:
+            todo.append(around)
+            around = around.outer
+        for x in reversed(todo):
+            sums[x] = sums[x.outer] + sum(get(name, 0.0) for name in x.adds)
+        out.append(sums[b.around] + sum(get(name, 0.0) for name in f))
+    return out
+
+
 def decode(model: ChainModel, found: list[list[str]]) -> list[int]:
-    """Most likely labels of a chain (Viterbi); ties go to 'not main text'."""
-    if not found:
+    """Most likely labels of a chain with the given features (Viterbi); ties go to 'not main text'."""
+    return viterbi(model, [sum(model.weights.get(f, 0.0) for f in block) for block in found])
+
+
+def viterbi(model: ChainModel, weights: list[float]) -> list[int]:
+    """Most likely labels of a chain of blocks with these scores for 'main text'."""
+    if not weights:
         return []
     (p00, p01), (p10, p11) = model.pairs
-    weights, back = model.weights, []
-    zero, one = 0.0, sum(weights.get(f, 0.0) for f in found[0])
-    for block in found[1:]:
-        w = sum(weights.get(f, 0.0) for f in block)
+    back, zero, one = [], 0.0, weights[0]
+    for w in weights[1:]:
         back.append((one + p10 > zero + p00, one + p11 > zero + p01))
         zero, one = max(zero + p00, one + p10), max(zero + p01, one + p11) + w
     labels = [int(one > zero)]
@@ -285,7 +335,7 @@ def decode(model: ChainModel, found: list[list[str]]) -> list[int]:
 def main_text(model: ChainModel, page: str | None) -> str:
     """Main blocks joined by line ends; empty for a null page or one without main text."""
     blocks = leaf_blocks(page or "")
-    labels = decode(model, features(blocks))
+    labels = viterbi(model, scores(model, blocks))
     return "\n".join(b.text for b, is_main in zip(blocks, labels, strict=True) if is_main)
 
 
@@ -306,9 +356,18 @@ _AROUND = {
 _CONTENT = ["content", "article-body", "post", "entry-content", "story", "post-content", "main-content", "text", "article", "body"]
 
 
-def labelled_pages(sentences: list[str], count: int, seed: int = 7) -> Iterator[tuple[str, list[int]]]:
+#: Share of labelled pages whose parts carry no telling names, and kinds of parts that such pages hold: their form tells them.
+NAMELESS, TOLD_BY_FORM = 0.35, frozenset(("menu", "header", "footer", "form", "share"))
+
+
+def labelled_pages(
+    sentences: list[str], count: int, seed: int = 7, nameless: float = NAMELESS
+) -> Iterator[tuple[str, list[int]]]:
     """(html, label of each leaf block) of pages laid out in many ways around the given sentences.
 
+    In a share of the pages, all parts sit in plain elements without names or with random ones, as
+    generated style sheets give; there, length, links, sentence ends and place must decide.
+
     Each page has an article and some of the parts around one; the layout decides a block's label, so
     labels are known by construction. Sentences appear on both sides, so that text alone cannot tell.
     """
@@ -322,7 +381,19 @@ def labelled_pages(sentences: list[str], count: int, seed: int = 7) -> Iterator[
         text = " ".join(draw.choice(sentences) for _ in range(draw.choice([1, 1, 2, 4, 8])))
         return html.escape(text) or "Text"
 
+    def random_name() -> str:
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+        return draw.choice(["css-", "sc-", "_", "x", "jsx-"]) + "".join(draw.choice(letters) for _ in range(draw.randint(4, 8)))
+
+    def nameless_box(inner: str) -> str:
+        for _ in range(draw.randint(1, 3)):
+            mark = draw.choice(["", f' class="{random_name()}"', f' class="{random_name()} {random_name()}"', f' id="{random_name()}"'])
+            inner = f"<div{mark}>{inner}</div>"
+        return inner
+
     def named(tag: str, names: list[str], inner: str, plain: float) -> str:
+        if bare:
+            return f"<form>{nameless_box(inner)}</form>" if tag == "form" else nameless_box(inner)
         name = draw.choice(names)
         mark = draw.choice(["", f' class="{name}"', f' class="{name}"', f' id="{name}"', f' class="{name} block-{draw.randint(1, 99)}"'])
         if draw.random() < plain:
@@ -340,8 +411,8 @@ def labelled_pages(sentences: list[str], count: int, seed: int = 7) -> Iterator[
             inner = "".join(one % paragraph().replace("%", "") for _ in range(draw.randint(1, 4)))
         elif kind == "footer":
             inner = f"&copy; {words(1, 3)} &middot; {words(2, 12)}"
-        elif draw.random() < 0.5:
-            inner = words(2, 20)
+        elif bare or draw.random() < 0.5:
+            inner = words(2, 5 if bare else 20)
         else:
             inner = "".join(f"<p>{paragraph() if draw.random() < 0.5 else words(2, 15)}</p>" for _ in range(draw.randint(1, 3)))
         return named(tag, names, inner, 0.6 if tag != "div" else 1.0)
@@ -364,6 +435,8 @@ def labelled_pages(sentences: list[str], count: int, seed: int = 7) -> Iterator[
                 parts.append(f"<p>{paragraph()} <a href='/x'>{words(1, 4)}</a> {words(3, 12)}</p>")
         body = "\n".join(parts)
         form = draw.random()
+        if bare:
+            return nameless_box(body)
         if form < 0.5:
             body = f"<article>{body}</article>"
         elif form < 0.65:
@@ -373,8 +446,11 @@ def labelled_pages(sentences: list[str], count: int, seed: int = 7) -> Iterator[
         return f"<main>{body}</main>" if draw.random() < 0.2 else body
 
     for _ in range(count):
+        bare = draw.random() < nameless
         before = [k for k in ("header", "menu", "notice", "advert", "sidebar", "form", "share") if draw.random() < 0.4]
         after = [k for k in ("share", "advert", "sidebar", "form", "comments", "notice", "footer") if draw.random() < 0.4]
+        if bare:
+            before, after = ([k for k in kinds if k in TOLD_BY_FORM] for kinds in (before, after))
         chain, labels = [], []
         for kind in [*before, "article", *after]:
             piece = article() if kind == "article" else around(kind)
@@ -392,8 +468,8 @@ def learn(pages: DataFrame, source_pages: int = SOURCE_PAGES, count: int = LABEL
     rows = bounded(pages.select("page_id", "html").where("html is not null"), "page_id", source_pages).collect()
     lines = []
     for r in sorted(rows, key=lambda r: (r.page_id is None, r.page_id or 0, r.html)):
-        for b in leaf_blocks(r.html)[:40]:
-            lines.extend(x for x in re.split(r"(?<=[.!?]) ", b.text[:2000]) if x)
+        for b in leaf_blocks(r.html):
+            lines.extend(x for x in re.split(r"(?<=[.!?]) ", b.text) if 0 < len(x) <= SENTENCE)
     return fit([(features(leaf_blocks(page)), labels) for page, labels in labelled_pages(lines, count)])
 
 
