@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusworks.llm.common import bounded
+from corpusworks.llm.common import bounded, by_bytes
 
 #: Pages that lend their sentences to the labelled pages, labelled pages made, and training steps.
 #: Sentences of more than SENTENCE characters are not lent.
@@ -480,7 +480,7 @@ def extract(pages: DataFrame, model: ChainModel) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, "html"):
             texts = [main_text(model, page) for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
