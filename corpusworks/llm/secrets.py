@@ -1,6 +1,7 @@
 """Secret scans: candidates judged by a random forest that is learned from labelled findings.
 
-Long tokens with digits or inner capitals are candidates. The forest looks at their length, how
+Long tokens with digits or inner capitals are candidates, and so are values of any form behind an
+assignment to a telling name and the passwords of URLs. The forest looks at their length, how
 usual their character transitions are, how far dictionary words cover them, the path they come from
 and the words around them, and tells secrets from false positives.
 """
@@ -32,6 +33,14 @@ MASK = "[SECRET]"
 _PATH = "_path_of_the_row"
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_~-]{12,}={0,2}")
+# The value after a telling name and a sign of assignment: quoted, or up to white space, a quote or the next name of a query string.
+_ASSIGNED = re.compile(
+    r"""(?:passw(?:or)?d|passphrase|pwd|pass|secret|token|api[_-]?key|auth[_-]?key|access[_-]?key|private[_-]?key|credentials?)"""
+    r"""(?:[_-][A-Za-z0-9_-]{0,40})?["'`]?[ \t]{0,8}(?::=|=>|=|:)[ \t]{0,8}"""
+    r"""(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|`([^`\n]{6,512})`|((?:(?![&;,][A-Za-z_][A-Za-z0-9_.-]{0,40}=)[^\s"'`<>]){6,}))""",
+    re.I,
+)
+_URL_PASSWORD = re.compile(r"://[^\s:/@?#\"'<>]{0,256}:([^\s/@\"'<>]{6,512})@")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _LONG = 1_000_000
@@ -40,7 +49,10 @@ _TELLING = frozenset("password passwd pwd secret token key apikey auth credentia
 _HARMLESS = frozenset("commit sha sha1 sha256 md5 hash checksum digest uuid id guid isbn doi version build revision phone tel card order number img image src href".split())
 _PATHS = re.compile(r"test|example|sample|mock|fixture|doc|vendor|lock", re.I)
 _STARTS = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk-|sk_|pk_|xox[abp]-|AIza|eyJ|glpat-|npm_)")
-NAMES = ["length", "transitions", "rarest", "switches", "digits", "capitals", "entropy", "hex", "words", "start", "telling", "harmless", "assigned", "quoted", "path"]
+#: Marks of variables, calls and placeholders; and what stands before a URL's password.
+_HOLDS_PLACE = re.compile(r"^[$<{%\[(]|\(|[{}]|\.\.\.|x{4}|\*{3}|your[_-]|example|change[_-]?me|placeholder|^(?:none|null|true|false|undefined|required|optional|string)$", re.I)
+_URL_LEFT = re.compile(r"://[^\s:/@]{0,64}:$")
+NAMES = ["length", "transitions", "rarest", "switches", "digits", "capitals", "entropy", "hex", "words", "start", "telling", "harmless", "assigned", "quoted", "path", "marks", "commonest", "plain", "in_url"]
 
 
 @dataclass
@@ -58,17 +70,42 @@ class SecretModel:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+def _valued(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) of assignments to telling names and of passwords in URLs."""
+    for m in _ASSIGNED.finditer(text):
+        group = m.lastindex
+        value = m[group] if group < 4 else m[group].rstrip(".,;:)]}")
+        if len(value) >= 6 and not value.startswith("//"):
+            yield m.start(group), value
+    if "://" in text:
+        for m in _URL_PASSWORD.finditer(text):
+            yield m.start(1), m[1]
+
+
 def candidates(text: str) -> list[tuple[int, str]]:
-    """(start, token): 12 or more characters with a digit, or 16 or more with a capital behind the first."""
-    out = []
+    """(start, token) in order, none overlapping.
+
+    Values of 6 or more characters behind an assignment to a telling name (quoted, or up to white space
+    without the punctuation that ends it) and passwords of URLs; elsewhere runs of 12 or more characters
+    with a digit, or of 16 or more with a capital behind the first.
+    """
+    out, free = [], 0
+    for start, value in sorted(_valued(text)):
+        if start >= free:
+            out.append((start, value))
+            free = start + len(value)
+    k, valued = 0, len(out)
     for m in _CANDIDATE.finditer(text):
         token = m[0]
         if token.isalpha() and (len(token) < 16 or token[1:].islower()):
             continue
         if not any(c in "0123456789" for c in token) and (len(token) < 16 or token[1:].lower() == token[1:]):
             continue
-        out.append((m.start(), token))
-    return out
+        while k < valued and out[k][0] + len(out[k][1]) <= m.start():
+            k += 1
+        if k == valued or out[k][0] >= m.end():
+            out.append((m.start(), token))
+    return sorted(out)
 
 
 def _counted(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
@@ -114,8 +151,13 @@ def learn_usual(texts: list[str]) -> Surroundings:
     for some, two in _counted(texts):
         words.update(some)
         pairs.update(two)
-    first = lambda counts, most: sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]
-    return _usual(first(words, DICTIONARY), first(pairs, PAIRS), sum(pairs.values()))
+    return _usual(_frequent(words, DICTIONARY), _frequent(pairs, PAIRS), sum(pairs.values()))
+
+
+def _frequent(counts: Counter, most: int) -> list[tuple[str, int]]:
+    """Entries above the least count that at most ``most`` entries lie above."""
+    cut = sorted(counts.values(), reverse=True)[most] if len(counts) > most else 0
+    return [(key, n) for key, n in counts.items() if n > cut]
 
 
 def usual_of(docs: DataFrame) -> Surroundings:
@@ -133,7 +175,13 @@ def usual_of(docs: DataFrame) -> Surroundings:
     total = counts.where("pair").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
     def most(rows: DataFrame, count: int) -> list[tuple[str, int]]:
-        return [(r.key, r.n) for r in rows.orderBy(F.desc("n"), "key").limit(count).select("key", "n").collect()]
+        low, high = -1, rows.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+        while high - low > 1:  # the least count that at most `count` rows lie above; one small row per step
+            tried = sorted({low + (high - low) * k // 32 for k in range(1, 33)} - {low})
+            above = rows.agg(*[F.count_if(F.col("n") > t).alias(str(t)) for t in tried]).first()
+            fits = next(i for i, t in enumerate(tried) if above[str(t)] <= count or t == high)
+            low, high = (tried[fits - 1] if fits else low), tried[fits]
+        return [(r.key, r.n) for r in rows.where(F.col("n") > high).select("key", "n").collect()]
 
     return _usual(most(counts.where("not pair"), DICTIONARY), most(counts.where("pair"), PAIRS), total)
 
@@ -170,9 +218,13 @@ def describe(token: str, before: str, after: str, path: str, usual: Surroundings
         float(bool(_STARTS.match(token))),
         float(any(w in _TELLING for w in near)),
         float(any(w in _HARMLESS for w in near)),
-        float(left[-1:] in ("=", ":")),
+        float(left[-1:] in ("=", ":", ">")),
         float(quoted),
         float(bool(_PATHS.search(path))),
+        kinds.count(3) / n,
+        max(counts.values()) / n,
+        float(bool(_HOLDS_PLACE.search(token))),
+        float(bool(_URL_LEFT.search(before))),
     ]
 
 
@@ -222,11 +274,52 @@ def labelled_findings(words: list[str], count: int = LABELLED, seed: int = 11) -
         lambda: (draw.choice(["your_password_here1", "changeme12345", "xxxxxxxxxxxx1234", "example_token_123", "000000000000000"]), draw.choice(names) + draw.choice(signs)),
         lambda: (joined(2, 3, str.lower) + str(draw.randint(1, 999)), ""),
     ]
+    marks = "!@#$%^&*?-_.+"
+
+    def short_secret() -> str:
+        """A password that people choose or that is drawn for them."""
+        word = lambda: draw.choice(words)[:10]
+        form = draw.random()
+        if form < 0.2:
+            return word() + chars(digits, 1, 4)
+        if form < 0.4:
+            return word().capitalize() + draw.choice(marks) + chars(digits, 1, 5) + chars(marks, 0, 2)
+        if form < 0.55:
+            return word() + draw.choice(marks) + word() + draw.choice(marks) + word() + chars(digits, 0, 2)
+        if form < 0.7:
+            return "".join(draw.choice(alnum + marks) for _ in range(draw.randint(7, 24)))
+        if form < 0.8:
+            return chars(lower, 14, 30)
+        if form < 0.85:
+            at = draw.randint(0, 12)
+            return lower[at : at + draw.randint(12, 26)]
+        return "".join({"a": "4", "e": "3", "o": "0", "s": "5", "i": "1"}.get(c, c) if draw.random() < 0.7 else c for c in word() + word()[:4]) + chars(digits + marks, 1, 4)
+
+    def placeholder() -> str:
+        name = joined(1, 2, str.lower)
+        return draw.choice(
+            ["${%s}" % name.upper(), "$" + name.upper(), "<%s>" % name, "{{ %s }}" % name, "os.environ[%s]" % name, "getenv(%s)" % name, "get_%s()" % name, "********", "xxxxxxxx",
+             "your_%s_here" % name, "your-%s" % name, "changeme", "undefined", "required", "string", "example_" + name, "config.%s.%s" % (name, draw.choice(words)), "..." + "." * draw.randint(3, 6)]
+        )
+
+    def prose() -> str:
+        """Words behind a name and a colon or a sign that assign nothing: a sentence goes on."""
+        return draw.choice([str.lower, str.capitalize])("".join(draw.choice(words) for _ in range(draw.choice([1, 1, 1, 2]))))
+
     paths = ["", "src", "src/main.py", "config/prod.yml", "notes.txt", "tests/test_keys.py", "docs/example.md", "package-lock.json"]
     out = []
     for k in range(count):
         path = draw.choice(paths[:5] if draw.random() < 0.8 else paths)
-        if k % 2:
+        if k % 8 == 7:
+            if draw.random() < 0.25:
+                out.append((short_secret(), f"{around()} {draw.choice(['postgres', 'https', 'mysql', 'redis'])}://{draw.choice(words)}:", "@" + draw.choice(words), path, 1))
+                continue
+            before = f"{around()} {draw.choice(names + ['DB_PASS', 'pass'])}{draw.choice(signs)}"
+            out.append((short_secret(), before, before[-1] if before[-1] in "\"'" else " ", path, 1))
+        elif k % 8 == 6:
+            before = f"{around()} {draw.choice(names + ['DB_PASS', 'pass'])}{draw.choice(signs)}"
+            out.append((draw.choice([placeholder, placeholder, prose])(), before, before[-1] if before[-1] in "\"'" else " ", path, 0))
+        elif k % 2:
             if draw.random() < 0.45:
                 before, token = around() + draw.choice([" ", " ", ' "', "="]), draw.choice(makes)()
             else:
@@ -237,7 +330,7 @@ def labelled_findings(words: list[str], count: int = LABELLED, seed: int = 11) -
             token, mark = draw.choice(harmless)()
             before = f"{around()} {mark}"
             out.append((token, before, draw.choice([" ", ".", ","]) + around(), path, 0))
-    return [f for f in out if len(f[0]) >= 12]
+    return [f for f in out if len(f[0]) >= (6 if f[1].rstrip("\"'` ")[-1:] in ("=", ":") else 12)]
 
 
 def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, nodes: list) -> int:
