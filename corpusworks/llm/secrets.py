@@ -34,12 +34,17 @@ _PATH = "_path_of_the_row"
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_~-]{12,}={0,2}")
 # The value after a telling name and a sign of assignment: quoted, or up to white space, a quote or the next name of a query string.
-_ASSIGNED = re.compile(
+_SIGN = re.compile(r"[:=]")
+_NAME_BEFORE = re.compile(
     r"""(?:passw(?:or)?d|passphrase|pwd|pass|secret|token|api[_-]?key|auth[_-]?key|access[_-]?key|private[_-]?key|credentials?)"""
-    r"""(?:[_-][A-Za-z0-9_-]{0,40})?["'`]?[ \t]{0,8}(?::=|=>|=|:)[ \t]{0,8}"""
-    r"""(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|`([^`\n]{6,512})`|((?:(?![&;,][A-Za-z_][A-Za-z0-9_.-]{0,40}=)[^\s"'`<>]){6,}))""",
+    r"""(?:[_-][A-Za-z0-9_-]{0,40})?["'`]?[ \t]{0,8}\Z""",
     re.I,
 )
+_NAME_SIZE = 64  # characters that such a name and what follows it can take
+_ASSIGNED = re.compile(
+    r"""(?::=|=>|=|:)[ \t]{0,8}"""
+    r"""(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|`([^`\n]{6,512})`|((?:(?![&;,][A-Za-z_][A-Za-z0-9_.-]{0,40}=)[^\s"'`<>]){6,}))"""
+)
 _URL_PASSWORD = re.compile(r"://[^\s:/@?#\"'<>]{0,256}:([^\s/@\"'<>]{6,512})@")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,8 +77,14 @@ class SecretModel:
 
 def _valued(text: str) -> Iterator[tuple[int, str]]:
     """(start, value) of assignments to telling names and of passwords in URLs."""
-    for m in _ASSIGNED.finditer(text):
-        group = m.lastindex
+    at, sign = 0, _SIGN.search(text)
+    while sign:
+        p = sign.start()
+        m = _ASSIGNED.match(text, p) if _NAME_BEFORE.search(text[max(at, p - _NAME_SIZE) : p]) else None
+        if not m:
+            sign = _SIGN.search(text, p + 1)
+            continue
+        at, sign, group = m.end(), _SIGN.search(text, m.end()), m.lastindex
         value = m[group] if group < 4 else m[group].rstrip(".,;:)]}")
         if len(value) >= 6 and not value.startswith("//"):
             yield m.start(group), value
