@@ -215,7 +215,9 @@ def aggregate_merging(df: DataFrame, by: list[str], fn: str, col: str, out: str)
         columns = list(zip(*held, strict=True)) or [()] * len(names)
         # null keys stay null whatever their type
         table = {n: pd.Series(list(c), dtype=object) for n, c in zip(names, columns, strict=True)}
-        return pd.DataFrame({**table, "_part": part, "_state": [list(map(float, s)) for s in held.values()]})
+        # without groups the column must still be one of lists
+        found = pd.Series([list(map(float, s)) for s in held.values()], dtype=object)
+        return pd.DataFrame({**table, "_part": part, "_state": found})
 
     def partial(batches):
         held, part = {}, TaskContext.get().partitionId() % PARTS  # the same when a task is run again

@@ -125,6 +125,15 @@ def test_mergeable_aggregate(spark):
     assert D.aggregate_merging(df.limit(0), ["k"], "TRIMMED_MEAN", "v", "mean").count() == 0
 
 
+def test_merging_aggregate_with_tasks_without_rows(spark):
+    """Tasks that read no rows, and tasks whose rows are all filtered out, give no states and do not fail."""
+    S.register_mergeable("total", S.Mergeable(lambda v: np.array([v.sum()]), lambda a, b: a + b, lambda s: float(s[0])))
+    df = spark.range(40, numPartitions=20).where("id < 3 or id = 39").selectExpr("cast(id % 2 as string) as k", "cast(id as double) as v")
+    for by, want in ((["k"], {("0",): 2.0, ("1",): 40.0}), ([], {(): 42.0})):
+        got = {tuple(r[c] for c in by): r.s for r in D.aggregate_merging(df, by, "TOTAL", "v", "s").collect()}
+        assert got == want
+
+
 def test_vectorised_function_runs_once_behind_the_filter(spark, tmp_path):
     S.register_vectorised("shout", lambda a: pa.compute.utf8_upper(a), "string")
     spark.range(1000).select("id", F.concat(F.lit("n"), "id").alias("name")).write.parquet(str(tmp_path / "t"))
