@@ -230,6 +230,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Views that make a long text of a short row, and rows of their table for a task. Files are cut by their bytes, so
+#: without this a few small tasks would build and search all texts.
+LONG_TEXTS, SPREAD = ("sources", "manifests"), 8192
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt to one task for each SPREAD of them."""
+    tasks = -(-rows.count() // SPREAD)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame. Tables are bound as arguments, so no temp view remains."""
     query = VIEWS[name].replace("{", "{{").replace("}", "}}")
@@ -237,6 +248,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in used:
         query = query.replace(f"from {t}", f"from {{{t}}}")
     bound = {t: table(spark, sf_dir, t) for t in used}
+    if name in LONG_TEXTS:
+        bound = {t: spread(rows) for t, rows in bound.items()}
     return spark.sql(query, **bound)
 
 

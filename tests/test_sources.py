@@ -158,6 +158,19 @@ def test_source_text(spark, tmp_path):
     assert uses == {"QUERY": 1, "IF": 1, "FAIL": 1, "ASSIGN": 1, "SEQUENCE": 1, "CACHE SET": 1, "RETURN": 1}
 
 
+def test_views_of_long_texts_are_spread_by_rows(spark, tmp_path, monkeypatch):
+    """A small file of short rows becomes many tasks where the view makes long texts of them; rows stay the same."""
+    from corpusworks.plans import inputs
+
+    columns = "id as p_partkey, 'p' as p_name, 'Brand#1' as p_brand, 'LARGE' as p_type, cast(id % 50 as int) as p_size"
+    spark.range(300).selectExpr(*columns.split(", ")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    plain = {name: inputs.view(spark, str(tmp_path), name) for name in ("sources", "manifests")}
+    monkeypatch.setattr(inputs, "SPREAD", 50)
+    for name, rows in plain.items():
+        dealt = inputs.view(spark, str(tmp_path), name)
+        assert dealt.rdd.getNumPartitions() == 6 and sorted(dealt.collect()) == sorted(rows.collect())
+
+
 def test_corrections(spark):
     failed = "array(named_struct('name', 'T7', 'message', 'TODO', 'detail', 'd'), named_struct('name', 'T2', 'message', 'none', 'detail', ''))"
     df = spark.sql(f"select 'go_gin' adapter, 'go' language, 'f1' block_id, 'n' block_name, ' BLOCK ' intl_block, ' code ' compiled_code, 'fixed' corrected, 2 retry_count, {failed} failed")
