@@ -20,8 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of smallest id, of each group linked by a five-word Jaccard similarity of 0.8 or more."""
-    return nearcopies.keep_one(docs, nearcopies.near_copies(docs))
+    """One document, of smallest id, of each group linked by SimHash fingerprints that differ in three bits or fewer.
+
+    Texts that these leave apart are linked where their five-word Jaccard similarity is 0.8 or more.
+    """
+    return nearcopies.keep_one(docs, nearcopies.near_copies(docs, bits=True))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

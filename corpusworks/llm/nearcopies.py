@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusworks.llm import simhash
 from corpusworks.llm.common import bounded, by_bytes, grams, materialise, mix, texts_of, word_groups
 from corpusworks.llm.components import components
 
@@ -79,23 +80,26 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.s for r in counts.where(F.col("n") >= least).select("s").collect()], dtype=np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, similarity: float, bits: bool = False) -> DataFrame:
     """doc_id, text_key (a hash of the text), node (equal for equal shingle sets), n (shingles), leading (the shingles
-    that propose pairs; none without words) of every row."""
+    that propose pairs; none without words) of every row; with ``bits`` also fp, its SimHash fingerprint."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
 
     def run(batches):
         for batch in by_bytes(batches, most=_TAKEN):
-            nodes, sizes, first = [], [], []
-            for s in shingle_sets(texts_of(batch), shingle):
+            nodes, sizes, first, texts = [], [], [], texts_of(batch)
+            for s in shingle_sets(texts, shingle):
                 nodes.append(_node(s))
                 sizes.append(len(s))
                 first.append(leading(s, frequent.value, similarity))
             columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(first)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "leading"])
+            if bits:
+                columns.append(pa.array([int.from_bytes(simhash.fingerprint(t), "big", signed=True) for t in texts], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    names = ["doc_id", "text_key", "node", "n", "leading", *(["fp"] if bits else [])]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key())
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n long, leading array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n long, leading array<long>" + (", fp long" if bits else ""))
 
 
 def _sets(docs: DataFrame, shingle: int, wanted: bytes | None = None) -> DataFrame:
@@ -185,9 +189,29 @@ def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return materialise(both.where(near).select("a", "b"), "near-links")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_links(rows: DataFrame) -> DataFrame:
+    """a, b: links that join the nodes of (node, fp) whose fingerprints SimHash joins, one star per component."""
+    held = materialise(rows.select("node", "fp").distinct(), "near-fingerprints")
+    roots = components(simhash.links(held.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    placed = materialise(held.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root")), "near-fingerprints")
+    first = placed.groupBy("root").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("root", "b")
+    return materialise(placed.join(first, "root").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-links")
+
+
+def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (key, node, n) of lists that hold nodes not joined by ``links`` yet, with the part that each is in."""
+    parts = components(links).withColumnRenamed("root", "part")
+    placed = materialise(lists.select("key", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-members")
+    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    return materialise(placed.join(apart, "key").select("key", "node", "n", "part"), "near-members")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: bool = False) -> DataFrame:
     """doc_id, text_key, component_id (smallest doc_id reachable by pairs of that shingle Jaccard or more), kept.
 
+    With ``bits`` texts are joined by SimHash first, as ``simhash.near_duplicates`` does, and its links count like
+    those of that similarity; only texts that it leaves apart are compared by their shingles.
+
     ``kept`` marks the text that stands for its component: of the rows of smallest id, the one of smallest text_key.
 
     Texts without words are copies of each other. A null doc_id is never the smallest; a component of null
@@ -196,19 +220,19 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     shingles. Then all pairs of a list that are not joined yet are counted over their lists, and those that share
     enough leading shingles are compared by their whole sets; a group of near copies costs its size.
     """
-    rows = materialise(signatures(docs, shingle, similarity), "near-signatures")
-    found = shared_lists(rows.where("n > 0").select("node", "n", "leading").dropDuplicates(["node"]))
-    hubs = found.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
-    members = materialise(found.join(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "key"), "near-members")
+    rows = materialise(signatures(docs, shingle, similarity, bits), "near-signatures")
+    links = fingerprint_links(rows) if bits else None
+    lists = shared_lists(rows.where("n > 0").select("node", "n", "leading").dropDuplicates(["node"]))
+    found = _placed(lists, links) if bits else lists.withColumn("part", F.col("node"))
+    hubs = found.groupBy("key").agg(F.min(F.struct("node", "n", "part")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
+    hub = [F.col(f"hub.{c}").alias(name) for c, name in (("node", "hub"), ("n", "hub_n"), ("part", "hub_part"))]
+    members = materialise(found.join(hubs.select("key", *hub), "key"), "near-members")
     alike = (F.col("n") >= similarity * F.col("hub_n")) & (F.col("hub_n") >= similarity * F.col("n"))
-    led = members.where(F.expr("node <> hub") & alike).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b"))
-    links = _similar(docs, led, shingle, similarity)
+    led = members.where(F.expr("part <> hub_part") & alike).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b"))
+    close = _similar(docs, led, shingle, similarity)
+    links = close if links is None else links.unionByName(close)
 
-    joined = components(links).withColumnRenamed("root", "part")
-    placed = members.select("key", "node", "n").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    placed = materialise(placed, "near-members")
-    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    apart = materialise(placed.join(apart, "key").select("key", "node", "n", "part"), "near-members")
+    apart = _placed(members, links)
     x, y = apart.alias("x"), apart.alias("y")
     fits = (F.col("x.n") >= similarity * F.col("y.n")) & (F.col("y.n") >= similarity * F.col("x.n"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits)

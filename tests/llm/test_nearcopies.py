@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusworks.llm import nearcopies
+from corpusworks.llm import nearcopies, simhash
 from tests.llm.helpers import AWKWARD, documents
 from tests.llm.test_duplicates import WORDS, roots
 
@@ -123,3 +123,24 @@ def test_similar_sets_share_enough_leading_shingles(spark):
     least = pairs.withColumn("least", nearcopies.enough(F.col("a"), F.col("b"), 0.8)).collect()
     assert len(least) > 500 and all(r.shared >= r.least for r in least)
     assert any(r.least > 3 for r in least) and any(r.shared == r.least for r in least)
+
+
+def test_stage_joins_what_simhash_joins(spark, monkeypatch):
+    """Texts of equal fingerprints fall together however unlike their sets of shingles, and are not compared by them."""
+    compared, plain = [], nearcopies._similar
+
+    def counted(docs, pairs, *a):
+        compared.append(pairs.count())
+        return plain(docs, pairs, *a)
+
+    monkeypatch.setattr(nearcopies, "_similar", counted)
+    often = WORDS[:9] * 60  # an odd number of runs, so that few other words turn no bit
+    texts = [[*often, *(f"{c}{k}" for k in range(12))] for c in "abcdef"]
+    edited = random.Random(9).choices(WORDS, k=300)
+    rows = [(i, " ".join(words)) for i, words in enumerate([*texts, WORDS[9:30], edited, [*edited[:100], "changed", *edited[101:]]], 5)]
+    docs = documents(spark, rows)
+    joined = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert [joined[i] for i in range(5, 12)] == [5] * 6 + [11]
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert kept == [5, 11, 12] and sum(compared) <= 60
+    assert {r.component_id for r in nearcopies.near_copies(docs).collect()} == {5, 6, 7, 8, 9, 10, 11, 12}
