@@ -68,49 +68,55 @@ def retry_budget_state(stream: DataFrame, profile: str = "profile") -> DataFrame
 
 
 class Cache(StatefulProcessor):
-    """The sets of one key in one time slice; gets of the slice are answered with them."""
+    """The sets of the keys of one bucket in one time slice; gets of the slice are answered with them."""
 
     def __init__(self, ttl: int, width: int, timed: bool):
         self.ttl, self.width, self.timed = ttl, width, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sets = handle.getListState("sets", "at bigint, row_id bigint, value double")
+        self.sets = handle.getListState("sets", "key bigint, at bigint, row_id bigint, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start = key[1] * self.width
         new, asked, earlier = [], [], None
         for pdf in rows:  # no order across chunks: sets and gets are told apart, rows themselves are not kept
             gets = pdf["is_get"].to_numpy(dtype=bool)
-            asked.append(pdf.loc[gets, ["at", "row_id"]].to_numpy(dtype=np.int64))
-            puts = pdf.loc[~gets, ["at", "row_id", "value"]]
+            asked.append(pdf.loc[gets, ["of", "at", "row_id"]].to_numpy(dtype=np.int64))
+            puts = pdf.loc[~gets, ["of", "at", "row_id", "value"]]
             before = (puts["at"] < start).to_numpy()
             new.append(puts[~before])
-            if before.any():  # of the slice before this one only the latest set counts
-                last = puts[before].sort_values(["at", "row_id"]).iloc[-1]
-                last = (int(last["at"]), int(last["row_id"]), float(last["value"]))
-                earlier = last if earlier is None else max(earlier, last)
+            if before.any():  # of the slice before this one only the latest set of a key counts
+                last = puts[before] if earlier is None else pd.concat([earlier, puts[before]])
+                earlier = last.sort_values(["of", "at", "row_id"]).drop_duplicates("of", keep="last")
         asked = np.concatenate(asked)
-        added = [tuple(r) for part in new for r in part.itertuples(index=False, name=None)] + ([earlier] if earlier else [])
+        added = [
+            (int(k), int(a), int(r), float(v))
+            for part in (new if earlier is None else [*new, earlier])
+            for k, a, r, v in part.itertuples(index=False, name=None)
+        ]
         if len(asked):
             known = [tuple(r) for r in self.sets.get()] if self.sets.exists() else []
-            yield self.answers(key[0], asked, known + added)
+            yield self.answers(key[0] == NO_KEY, asked, known + added)
         if added:
-            self.sets.appendList([(int(a), int(r), float(v)) for a, r, v in added])
+            self.sets.appendList(added)
             if self.timed:  # once the watermark is past the slice, no get of it can come
                 self.handle.registerTimer((key[1] + 1) * self.width // 1000)
 
-    def answers(self, key: int, asked: np.ndarray, sets: list[tuple]) -> pd.DataFrame:
+    def answers(self, no_key: bool, asked: np.ndarray, sets: list[tuple]) -> pd.DataFrame:
         out = np.full(len(asked), np.nan)
         if sets:
-            at, ids, values = (np.array(c) for c in zip(*sets, strict=True))
-            order = np.lexsort((ids, at))
-            at, values = at[order], values[order].astype(float)
-            place = np.searchsorted(at, asked[:, 0], side="right") - 1
-            hit = np.flatnonzero(place >= 0)
-            hit = hit[asked[hit, 0] < at[place[hit]] + self.ttl]
-            out[hit] = values[place[hit]]
-        return pd.DataFrame({"key": key, "row_id": asked[:, 1], "value": out})
+            keys, at, ids, values = (np.array(c, dtype=t) for c, t in zip(zip(*sets, strict=True), (np.int64,) * 3 + (float,), strict=True))
+            n = len(keys)
+            keys, at = np.concatenate([keys, asked[:, 0]]), np.concatenate([at, asked[:, 1]])
+            # sets and gets of a key in one order, a get behind the sets of its instant; the last set before it answers
+            order = np.lexsort((np.concatenate([ids, asked[:, 2]]), np.arange(len(keys)) >= n, at, keys))
+            place = np.maximum.accumulate(np.where(order < n, np.arange(len(order)), -1))
+            hit = np.flatnonzero((order >= n) & (place >= 0))
+            get, put = order[hit], order[place[hit]]
+            good = (keys[get] == keys[put]) & (at[get] < at[put] + self.ttl)
+            out[get[good] - n] = values[put[good]]
+        return pd.DataFrame({"key": None if no_key else asked[:, 0], "row_id": asked[:, 2], "value": out})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.sets.clear()
@@ -120,17 +126,22 @@ class Cache(StatefulProcessor):
         pass
 
 
-def cache_state(stream: DataFrame, ttl: int, width: int | None = None, late: str | None = None) -> DataFrame:
+#: The bucket of rows without a key.
+NO_KEY = -1
+
+
+def cache_state(stream: DataFrame, ttl: int, width: int | None = None, late: str | None = None, buckets: int = 128) -> DataFrame:
     """key, row_id, at (bigint time in microseconds), is_get, value → one row per get.
 
     A get is answered with the latest set at or before it, of those that arrived in earlier batches or its own, if
     less than ``ttl`` has passed between them; gets that come late too. Of sets at one instant the larger row_id
     counts.
 
-    State is kept per key and time slice of ``width`` (24 times ``ttl`` by default, ``ttl`` at least), so a busy key
-    spreads over its slices. A set that outlives its slice also goes to the next one, which needs no more than the
-    latest. A task holds one slice's sets, and of its gets the instants of one batch; choose ``width`` and the
-    source's maxFilesPerTrigger so that they fit.
+    State is kept per time slice of ``width`` (24 times ``ttl`` by default, ``ttl`` at least) and one of ``buckets``
+    that keys are dealt to, so a busy key spreads over its slices, and the cost of a state, which is that of many
+    rows, does not come with each key. A set that outlives its slice also goes to the next one, which needs no more
+    than the latest of a key. A task holds one bucket's sets of a slice, and of its gets the instants of one batch;
+    choose ``buckets``, ``width`` and the source's maxFilesPerTrigger so that they fit.
 
     With ``late`` a slice is freed by an event-time timer as soon as the watermark, that far behind the latest
     instant seen, has passed it; rows older than the watermark are dropped. Without it all slices are kept: for runs
@@ -145,7 +156,9 @@ def cache_state(stream: DataFrame, ttl: int, width: int | None = None, late: str
     dealt = stream.withColumn("_slice", F.explode(F.when(outlives, F.array(own, own + 1)).otherwise(F.array(own))))
     if late is not None:
         dealt = dealt.withColumn("_instant", F.timestamp_micros("at")).withWatermark("_instant", late)
-    return dealt.groupBy("key", "_slice").transformWithStateInPandas(
+    bucket = F.when(F.col("key").isNull(), NO_KEY).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    dealt = dealt.withColumns({"_bucket": bucket, "of": F.coalesce(F.col("key"), F.lit(0)).cast("bigint")})
+    return dealt.groupBy("_bucket", "_slice").transformWithStateInPandas(
         statefulProcessor=Cache(ttl, width, late is not None),
         outputStructType="key bigint, row_id bigint, value double",
         outputMode="Append",

@@ -112,6 +112,27 @@ def test_cache_of_a_hot_key_in_one_batch(spark, tmp_path):
     assert len(answers) == 20_000 and all(v == n - 1 for n, v in answers.items())
 
 
+def test_cache_of_many_keys_needs_few_states(spark, tmp_path):
+    """Keys share states, so their number does not grow with the keys; answers stay those of each key, without one too."""
+    draw = random.Random(2)
+    rows = [(draw.choice([None, *range(700)]), n, draw.randrange(1000), draw.random() < 0.5) for n in range(4000)]
+    rows = [(k, n, at, g, None if g else float(n)) for k, n, at, g in rows]
+    schema = "key bigint, row_id bigint, at bigint, is_get boolean, value double"
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(S.Cache):
+        def handleInputRows(self, *a):
+            calls.add(1)
+            return super().handleInputRows(*a)
+
+    plain, S.Cache = S.Cache, Counted
+    try:
+        got = answered(S.cache_state(feed(spark, tmp_path, [rows], schema), ttl=1000, width=1000, buckets=4))
+    finally:
+        S.Cache = plain
+    assert got == plain_cache([rows], 1000) and calls.value <= 2 * 5
+
+
 def test_windows_equal_batch(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     good = F.col("event_type") != "error"
