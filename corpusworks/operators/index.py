@@ -97,9 +97,9 @@ def dependents(
     """All modules that transitively require a seed, seeds included, with their distance in steps.
 
     ``per`` names extra seed columns that keep separate closures apart. A round takes STEPS steps
-    from the latest modules along the edges, leaves out what earlier rounds saw and writes the rest
-    to the shared folder: lineage stays short, lost executors cost one round, and the planner sees
-    the true size of the frontier, so it broadcasts small ones and shuffles large ones. Unknown
+    from the latest modules along the edges, leaves out what earlier rounds saw, which is read once
+    for all steps, and writes the rest to the shared folder: lineage stays short, lost executors cost one
+    round, and the planner sees the true size of the frontier, so it broadcasts small ones and shuffles large ones. Unknown
     modules are skipped; cycles end because no round expands what an earlier one saw. With
     stop_at_dirty, modules that are dirty already are neither reported nor passed through.
     """
@@ -123,14 +123,14 @@ def dependents(
         steps = []
         for _ in range(STEPS):
             distance += 1
-            step = edges.join(layer.withColumnRenamed("id", "to_module"), "to_module")
-            step = step.select(*per, F.col("from_module").alias("id")).distinct()
-            layer = step.join(visited.select(*keys), keys, "left_anti")
+            layer = edges.join(layer.withColumnRenamed("id", "to_module"), "to_module")
+            layer = layer.select(*per, F.col("from_module").alias("id")).distinct()
             steps.append(layer.withColumn("distance", F.lit(distance)))
         together = steps[0]
         for step in steps[1:]:
             together = together.unionByName(step)
-        found = together.groupBy(*keys).agg(F.min("distance").alias("distance"))
+        nearest = together.groupBy(*keys).agg(F.min("distance").alias("distance"))
+        found = nearest.join(visited.select(*keys), keys, "left_anti")
 
 
 def _flag(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -297,12 +297,15 @@ def affected_by(index: Index, seeds: DataFrame) -> DataFrame:
     groups = cyclic_groups(inside.select(F.col("to_module").alias("src"), F.col("from_module").alias("dst")))
     parts = reached.join(groups, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
     parts = materialise(parts, "parts")
+    # closures carry numbers, which are shorter than ids and hashed faster
+    numbers = materialise(parts.select("part").distinct().withColumn("no", F.monotonically_increasing_id()), "numbers")
+    parts = materialise(parts.join(numbers, "part").select("id", F.col("no").alias("part")), "parts")
     of = lambda end, name: parts.select(F.col("id").alias(end), F.col("part").alias(name))
     known = index.modules.select(F.col("id").alias("from_module"))
     edges = inside.join(known, "from_module", "left_semi").join(of("from_module", "_from"), "from_module").join(of("to_module", "_to"), "to_module")
     edges = edges.where("_from <> _to").select(F.col("_from").alias("from_module"), F.col("_to").alias("to_module")).distinct()
     blocks = index.blocks.join(of("module_id", "part"), "module_id").groupBy("part").agg(F.count("*").alias("_blocks"))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("_modules")).join(blocks, "part", "left")
+    sizes = materialise(parts.groupBy("part").agg(F.count("*").alias("_modules")).join(blocks, "part", "left"), "sizes")
     wanted = seeds.join(parts, "id").select("id", "part")
     start = wanted.select(F.col("part").alias("seed"), F.col("part").alias("id")).distinct()
     reach = dependents(edges, sizes.select(F.col("part").alias("id")), start, per=["seed"]).select("seed", F.col("id").alias("part"))

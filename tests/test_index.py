@@ -213,3 +213,22 @@ def test_affected_by_equals_plain_closure_on_cyclic_graphs(spark):
     ring = [(names[(i + 1) % 12], names[i]) for i in range(12)]
     groups = I.cyclic_groups(spark.createDataFrame(ring, "src string, dst string")).collect()
     assert {(r.id, r.part) for r in groups} == {(names[i], names[11]) for i in range(12)}
+
+
+def test_a_round_reads_what_was_seen_once(spark, monkeypatch):
+    """Distances stay the shortest on a graph with ways of several lengths and a cycle, and seen rows are joined once per round."""
+    names = [f"m{i:02d}" for i in range(30)]
+    edges = {(names[i + 1], names[i]) for i in range(29)} | {(names[i + 3], names[i]) for i in range(0, 27, 3)} | {(names[2], names[20]), (names[0], names[29])}
+    deps = spark.createDataFrame(sorted(edges), "from_module string, to_module string")
+    modules = spark.createDataFrame([(n, False) for n in names], "id string, dirty boolean")
+    want, front, d = {names[0]: 0}, {names[0]}, 0
+    while front:
+        d += 1
+        front = {a for a, b in edges if b in front and a not in want}
+        want |= dict.fromkeys(front, d)
+    joins, plain = [], type(deps).join
+    monkeypatch.setattr(type(deps), "join", lambda self, other, on=None, how=None: joins.append(how) or plain(self, other, on, how))
+    got = I.dependents(deps, modules, spark.createDataFrame([(names[0],)], "id string"))
+    rounds = -(-max(want.values()) // I.STEPS) + 1
+    assert joins.count("left_anti") <= rounds
+    assert sorted((r.id, r.distance) for r in got.collect()) == sorted(want.items())
