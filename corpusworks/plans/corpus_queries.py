@@ -566,8 +566,8 @@ def append_corrections(spark, sf) -> DataFrame:
 
     path = scratch_path(spark, "corrections")
     rows = render_correction(failed_rows(spark, sf), F.expr("timestamp_ntz'2024-02-01 00:00:00'"))
-    P.append_corrections(rows, path)
-    P.append_corrections(rows, path)
+    P.append_corrections(rows, path, compression="gzip")
+    P.append_corrections(rows, path, compression="gzip")
     return P.read_pairs(spark, path).groupBy("metadata.adapter").agg(F.count("*").alias("rows"))
 
 

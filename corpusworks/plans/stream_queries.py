@@ -85,7 +85,7 @@ def corrections_stream(spark, sf) -> DataFrame:
     from corpusworks.plans.text_queries import failed_rows
 
     path, out = scratch_path(spark, "corrections"), scratch_path(spark, "counts")
-    append_corrections(render_correction(failed_rows(spark, sf), F.expr("timestamp_ntz'2024-02-01'")), path)
+    append_corrections(render_correction(failed_rows(spark, sf), F.expr("timestamp_ntz'2024-02-01'")), path, compression="gzip")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:06d}")

@@ -59,10 +59,14 @@ def write_pairs(df: DataFrame, path: str, mode: str = "overwrite", files: int =
     _clustered(rows, files).write.mode(mode).partitionBy("adapter", "split").json(path)
 
 
-def append_corrections(df: DataFrame, path: str, files: int = 8) -> None:
-    """Append correction pairs below adapter=…/split=corrections; earlier files stay untouched."""
+def append_corrections(df: DataFrame, path: str, files: int = 8, compression: str | None = None) -> None:
+    """Append correction pairs below adapter=…/split=corrections; earlier files stay untouched.
+
+    Lines repeat their texts, so with ``compression`` ("gzip") files are much smaller; Spark reads both kinds, also
+    side by side, but their names no longer end in .json.
+    """
     rows = df.withColumns({"adapter": F.col("metadata.adapter"), "split": F.lit("corrections")})
-    _clustered(rows, files).write.mode("append").partitionBy("adapter", "split").json(path)
+    _clustered(rows, files).write.mode("append").partitionBy("adapter", "split").json(path, compression=compression)
 
 
 #: Finds adapter and kind in the paths of write_pairs and append_corrections, and in flat adapter/kind.jsonl.

@@ -54,6 +54,27 @@ def test_write_and_append(spark, tmp_path):
     assert pairs.read_pairs(spark, log).count() == 3
 
 
+def test_packed_corrections_are_read_beside_plain_ones(spark, tmp_path):
+    """Packed lines count like plain ones in batch, in file counts and in a stream, and take less room."""
+    from corpusworks.streaming import events
+
+    meta = F.struct(F.lit("C").alias("category"), F.lit("go_gin").alias("adapter"))
+    df = spark.createDataFrame([(f"{n} " + "the same text " * 50,) for n in range(200)], "prompt string")
+    df = df.select(F.lit("s").alias("system"), "prompt", F.col("prompt").alias("completion"), meta.alias("metadata"))
+    log = str(tmp_path / "corrections")
+    pairs.append_corrections(df, log)
+    pairs.append_corrections(df, log, compression="gzip")
+    size = {end: sum(p.stat().st_size for p in (tmp_path / "corrections").rglob(f"part-*{end}")) for end in (".json", ".json.gz")}
+    assert 0 < size[".json.gz"] < size[".json"] / 5
+    got = pairs.read_pairs(spark, log).groupBy("prompt", "completion").count().collect()
+    assert len(got) == 200 and all(r["count"] == 2 and r.prompt == r.completion for r in got)
+    counts = pairs.file_counts(spark, f"{log}/*/*/*.json*", spark.createDataFrame([("go_gin",)], "adapter string"))
+    assert {r.kind: r.rows for r in counts.collect()}["corrections"] == 400
+    query = events.stream_corrections(spark, log).writeStream.format("memory").queryName("packed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("packed").count() == 400
+
+
 def test_file_counts(spark, tmp_path):
     for name, n in (("go_gin/train", 3), ("go_gin/val", 2), ("sql_mysql/validation", 1)):
         file = tmp_path / f"{name}.jsonl"
