@@ -24,6 +24,8 @@ from corpusworks.llm.components import components
 #: Rows sampled for the order, texts of them that make a shingle frequent, and frequent shingles kept (8 bytes each,
 #: sent to every task). The sample chooses the order only.
 SAMPLE, OFTEN, MOST = 8192, 6, 1 << 20
+#: Pairs of two parts that are compared in a round, before all that are left.
+ROUNDS = 1, 16
 #: Bits that say which texts' sets are needed.
 SLOTS, _SLICE = 1 << 23, 1 << 15
 #: Bytes of text taken at once and hashed at once.
@@ -172,21 +174,48 @@ def enough(a: Column, b: Column, similarity: float) -> Column:
     return F.greatest(F.lit(1), shared - F.ceil(F.greatest(a, b) * similarity - 1e-9) + 1)
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float, parted: bool = False) -> DataFrame:
     """Of rows (a, b, n_a, n_b), one for each shared leading shingle of two nodes and its set's sizes, the pairs (a, b)
-    whose shingle sets have that Jaccard similarity or more. Pairs that share too few are not looked at."""
+    whose shingle sets have that Jaccard similarity or more. Pairs that share too few are not looked at.
+
+    With ``parted`` rows also have part_a and part_b, the parts that the nodes are joined to already, and pairs of
+    parts that pairs found before join are left out. Of two parts, the pairs that share most leading shingles come
+    first, ROUNDS says how many; all pairs of parts that are not joined then come last.
+    """
+    parts = [F.first(f("part_a", "part_b")).alias(name) for f, name in ((F.least, "low"), (F.greatest, "high"))] if parted else []
     counted = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+        F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), *parts
     )
-    pairs = materialise(counted.where(F.col("shared") >= enough(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"), "near-pairs")
+    pairs = materialise(counted.where(F.col("shared") >= enough(F.col("n_a"), F.col("n_b"), similarity)).drop("n_a", "n_b"), "near-pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     # sets of texts that no pair needs stay where they are; the others are shuffled once, for both joins
     sets = _sets(docs, shingle, _bitmap(needed)).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    if not parted:
+        return _verified(pairs.select("a", "b"), sets, similarity)
+    sets, found = materialise(sets, "near-sets"), None
+    for most in ROUNDS:
+        best = F.max(F.struct("shared", "a", "b")).alias("best")
+        tried = pairs.groupBy("low", "high", F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("slot")).agg(best)
+        tried = materialise(tried.select("best.a", "best.b", "low", "high"), "near-tried")
+        near = _verified(tried, sets, similarity)
+        found = near if found is None else found.unionByName(near)
+        roots = components(found.select(F.col("low").alias("a"), F.col("high").alias("b")))
+        left = pairs.select("low", "high").distinct()
+        for end in ("low", "high"):
+            left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+        left = left.where(F.coalesce("low_root", "low") != F.coalesce("high_root", "high")).select("low", "high")
+        pairs = pairs.join(left, ["low", "high"], "left_semi").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialise(pairs.select("a", "b", "shared", "low", "high"), "near-pairs")
+    return found.select("a", "b").unionByName(_verified(pairs.select("a", "b"), sets, similarity))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of pairs (a, b) whose sets have that Jaccard similarity or more."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     near = F.col("shared") / (F.size("of_a") + F.size("of_b") - F.col("shared")) >= similarity
-    return materialise(both.where(near).select("a", "b"), "near-links")
+    return materialise(both.where(near).select(*pairs.columns), "near-links")
 
 
 def fingerprint_links(rows: DataFrame) -> DataFrame:
@@ -218,7 +247,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
     ids alone has a null component_id. Repeated rows give repeated results; other columns are ignored.
     Members of a list are first compared with its least one, where the lists that it leads show enough shared
     shingles. Then all pairs of a list that are not joined yet are counted over their lists, and those that share
-    enough leading shingles are compared by their whole sets; a group of near copies costs its size.
+    enough leading shingles are compared by their whole sets, the likeliest pairs of two parts first: a text that
+    one of them joins to a group is not compared with the others of that group.
     """
     rows = materialise(signatures(docs, shingle, similarity, bits), "near-signatures")
     links = fingerprint_links(rows) if bits else None
@@ -237,8 +267,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
     fits = (F.col("x.n") >= similarity * F.col("y.n")) & (F.col("y.n") >= similarity * F.col("x.n"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits)
     # two nodes of different parts meet on every list they share, so their count is whole here
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-    links = links.unionByName(_similar(docs, pairs, shingle, similarity))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), F.col("x.part").alias("part_a"), F.col("y.part").alias("part_b"))
+    links = links.unionByName(_similar(docs, pairs, shingle, similarity, True))
 
     best = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least")
     least = rows.groupBy("node").agg(best)

@@ -144,3 +144,29 @@ def test_stage_joins_what_simhash_joins(spark, monkeypatch):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
     assert kept == [5, 11, 12] and sum(compared) <= 60
     assert {r.component_id for r in nearcopies.near_copies(docs).collect()} == {5, 6, 7, 8, 9, 10, 11, 12}
+
+
+def test_a_text_joined_to_a_group_is_not_compared_with_all_of_it(spark, monkeypatch):
+    """Pairs of two parts are compared by their whole sets a few at a time until one joins them; no link is lost."""
+    compared, plain = [], nearcopies._verified
+
+    def counted(pairs, *a):
+        compared.append(pairs.count())
+        return plain(pairs, *a)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    draw = random.Random(14)
+    words = [f"w{k}" for k in range(200)]
+    # 41 texts of one part, 5 alone that are near all of these, and one that is near none
+    near = [[w if k != at * 4 else f"n{at}" for k, w in enumerate(words)] for at in range(46)]
+    far = [w if k % 18 else f"far{k}" for k, w in enumerate(words)]
+    docs = documents(spark, [(i, " ".join(t)) for i, t in enumerate([*near, far, draw.sample(words, 60)])])
+    ids = [(r.node, r.n, r.leading, r.doc_id) for r in nearcopies.signatures(docs, 5, 0.8).collect()]
+    part = {node: (ids[0][0] if i < 41 else node) for node, _, _, i in ids}
+    rows = [(a[0], b[0], a[1], b[1], part[a[0]], part[b[0]]) for k, a in enumerate(ids) for b in ids[k + 1 :] if part[a[0]] != part[b[0]] for _ in range(len(set(a[2]) & set(b[2])))]
+    pairs = spark.createDataFrame(rows, "a long, b long, n_a long, n_b long, part_a long, part_b long")
+    of = {node: i for node, _, _, i in ids}
+    links = [(of[r.a], of[r.b]) for r in nearcopies._similar(docs, pairs, 5, 0.8, True).collect()]
+    assert all(a != b and max(a, b) < 46 for a, b in links)
+    joined = roots(range(48), lambda a, b: (a < 41 and b < 41) or (a, b) in links or (b, a) in links)
+    assert len({joined[i] for i in range(46)}) == 1 and sum(compared) < 100 < 41 * 5
