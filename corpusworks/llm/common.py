@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusworks.session import materialise, scratch_path
 
@@ -73,7 +74,17 @@ def by_bytes(batches: Iterator[pa.RecordBatch], name: str = "text", most: int =
         trim(0)
 
 
-def arrow_map(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: Bytes of rows sent to Python at once; Spark's own bound of 64 MB takes a whole task's texts, which the executor and
+#: its worker then hold at the same time.
+SENT, SENT_KEY = 1 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(
+    df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
+    """mapInArrow over batches of about SENT bytes; a row stays whole. Sets this bound for the session, if it has none."""
+    if df.sparkSession.conf.get(SENT_KEY, None) is None:
+        df.sparkSession.conf.set(SENT_KEY, f"{SENT}b")
     return df.mapInArrow(batches, schema)
 
 
@@ -84,21 +95,23 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS = np.ones((2, 0), dtype=np.uint64)
 PIECE = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(PIECE.bit_length(), (n - 1).bit_length())
-    if size not in _POWERS:
-        steps = np.full((2, size), [[_BASE], [_INVERSE]], dtype=np.uint64)
-        steps[:, 0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(steps, axis=1, out=steps)
-        if size > 2 * PIECE:  # one very long word: not worth keeping
-            return steps[0], steps[1]
-        _POWERS[size] = (steps[0], steps[1])
-    return _POWERS[size]
+def _powers(n: int) -> np.ndarray:
+    """The first n powers, or more, of the base and its inverse; the longest made so far are kept."""
+    global _POWERS
+    if _POWERS.shape[1] >= n:
+        return _POWERS
+    size = 1 << max(16, (n - 1).bit_length())
+    steps = np.full((2, size), [[_BASE], [_INVERSE]], dtype=np.uint64)
+    steps[:, 0] = 1
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(steps, axis=1, out=steps)
+    if size <= 2 * PIECE:  # more is for one very long word: not worth keeping
+        _POWERS = steps
+    return steps
 
 
 def mix(x: np.ndarray) -> np.ndarray:

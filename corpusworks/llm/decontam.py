@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusworks.llm.common import by_bytes, grams, word_groups
+from corpusworks.llm.common import arrow_map, by_bytes, grams, word_groups
 
 #: Words of a seed, and least share of an item's words under tiles.
 SEED, COVERAGE = 5, 0.5
 #: Benchmark words per block. Blocks bound what is sent to every task (16 bytes a word); documents are
 #: read once per block.
 BLOCK_WORDS = 2_000_000
+#: Bytes of text hashed at once.
+_PIECE = 1 << 17
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
@@ -35,7 +37,7 @@ def normal(text: str | None) -> bytes:
 
 def _hashes(texts: list[str | None]) -> list[np.ndarray]:
     out = []
-    for _, _, hashes, offsets in word_groups([normal(t) for t in texts], _APART):
+    for _, _, hashes, offsets in word_groups([normal(t) for t in texts], _APART, _PIECE):
         out += [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     return out
 
@@ -115,7 +117,7 @@ def _matches(items: _Items, hashes: np.ndarray, offsets: np.ndarray) -> dict[tup
 
 def _pairs(items: _Items, texts: list[str | None], coverage: float):
     """(text, item id, coverage, tiles, longest tile) of the pairs that reach the coverage."""
-    for first, _, hashes, offsets in word_groups([normal(t) for t in texts], _APART):
+    for first, _, hashes, offsets in word_groups([normal(t) for t in texts], _APART, _PIECE):
         for (d, i), starts in _matches(items, hashes, offsets).items():
             size = len(items.words[i])
             if len({p for _, p in starts}) * SEED < coverage * size:
@@ -164,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
     out = None
     for items in _blocks_of_items(benchmark, block_words):
-        part = rows.mapInArrow(_scan(items, coverage), "doc_id long, item_id long, coverage double, n_tiles int, longest int")
+        part = arrow_map(rows, _scan(items, coverage), "doc_id long, item_id long, coverage double, n_tiles int, longest int")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, n_tiles int, longest int")
@@ -183,5 +185,5 @@ def without(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, b
         return run
 
     for items in _blocks_of_items(benchmark, block_words):
-        docs = docs.mapInArrow(clean_of(items), docs.schema)
+        docs = arrow_map(docs, clean_of(items), docs.schema)
     return docs

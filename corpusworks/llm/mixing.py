@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusworks.llm.common import bounded, by_bytes, materialise, texts_of, word_groups
+from corpusworks.llm.common import arrow_map, bounded, by_bytes, materialise, texts_of, word_groups
 
 #: Bound of the labelled sample, buckets of word features, and the descent.
 SAMPLE_ROWS, BUCKETS, SMOOTH = 10_000, 1 << 16, 0.1
 STEPS, CLOSE = 60, 1e-4
+#: Bytes of text hashed at once.
+_PIECE = 1 << 17
 
 
 @dataclass
@@ -33,7 +35,7 @@ class DomainModel:
 
 def _spread(texts: list[bytes]):
     """(first, last, bucket of each word, offsets) of runs of texts, in lower case (ASCII)."""
-    for first, last, hashes, offsets in word_groups([t.lower() for t in texts]):
+    for first, last, hashes, offsets in word_groups([t.lower() for t in texts], piece=_PIECE):
         yield first, last, (hashes % np.uint64(BUCKETS)).astype(np.int64), offsets
 
 
@@ -84,7 +86,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE_ROWS) -> Domain
         yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(held[d, b])], names=["d", "b", "n"])
 
     counts = np.full((len(domains), BUCKETS), SMOOTH)
-    for r in rows.mapInArrow(count, "d int, b int, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in arrow_map(rows, count, "d int, b int, n long").groupBy("d", "b").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.d, r.b] += r.n
     logs = np.log(counts / counts.sum(axis=1, keepdims=True))
     prior = np.array([sizes[d] for d in domains], float)
@@ -106,7 +108,7 @@ def _temperature(model: DomainModel, rows: DataFrame, number: dict[str, int]) ->
                 losses.append(float(-np.log(np.maximum(shares[np.arange(len(truth)), truth], 1e-9)).sum()))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(scales)), pa.int32()), pa.array(losses, pa.float64())], names=["k", "loss"])
 
-    losses = {r.k: r.loss for r in rows.mapInArrow(run, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
+    losses = {r.k: r.loss for r in arrow_map(rows, run, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
     return scales[min(losses, key=lambda k: (round(losses[k], 6), k))] if losses else 1.0
 
 
@@ -123,7 +125,7 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
             lists = _lists(shares)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.astype(np.int64)), lists], names=["doc_id", "tokens", "shares"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tokens long, shares array<double>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, tokens long, shares array<double>")
 
 
 def rate_column(k: int, moves: list[np.ndarray]) -> Column:
@@ -238,6 +240,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(posteriors(mixture.model, texts_of(batch))[0])], names=[*batch.schema.names, "shares"])
 
     with_shares = T.StructType([*docs.schema.fields, T.StructField("shares", T.ArrayType(T.DoubleType()))])
-    rated = docs.mapInArrow(run, with_shares).withColumn("rate", mixture.rate())
+    rated = arrow_map(docs, run, with_shares).withColumn("rate", mixture.rate())
     taken = rated.withColumn("copies", mixture.copies()).where("copies > 0")
     return taken.select(*[F.col(f"`{c}`") for c in kept], "rate", "copies")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusworks.llm import simhash
-from corpusworks.llm.common import bounded, by_bytes, grams, materialise, mix, texts_of, word_groups
+from corpusworks.llm.common import arrow_map, bounded, by_bytes, grams, materialise, mix, texts_of, word_groups
 from corpusworks.llm.components import components
 
 #: Rows sampled for the order, texts of them that make a shingle frequent, and frequent shingles kept (8 bytes each,
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, shingle: int, similarity: float, bits: bool = Fa
 
     names = ["doc_id", "text_key", "node", "n", "leading", *(["fp"] if bits else [])]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key())
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n long, leading array<long>" + (", fp long" if bits else ""))
+    return arrow_map(rows, run, "doc_id long, text_key long, node long, n long, leading array<long>" + (", fp long" if bits else ""))
 
 
 def _sets(docs: DataFrame, shingle: int, wanted: bytes | None = None) -> DataFrame:
@@ -120,7 +120,7 @@ def _sets(docs: DataFrame, shingle: int, wanted: bytes | None = None) -> DataFra
                     sets[node] = s.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), _lists(list(sets.values()))], names=["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+    return arrow_map(docs.select("text"), run, "node long, shingles array<long>")
 
 
 def _bitmap(nodes: DataFrame) -> bytes:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusworks.llm.common import bounded, by_bytes, materialise
+from corpusworks.llm.common import arrow_map, bounded, by_bytes, materialise
 
 #: Rows and their first characters that lend words to the labelled findings, and labelled findings made.
 SOURCE_ROWS, ROW_CHARS, LABELLED = 400, 4_000, 4_000
@@ -181,7 +181,7 @@ def usual_of(docs: DataFrame) -> Surroundings:
                 keys, n = list(counts), len(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([bool(pair)] * n, pa.bool_()), pa.array(keys, pa.string()), pa.array(counts.values(), pa.int64())], names=["pair", "key", "n"])
 
-    counts = docs.select("text").where("text is not null").mapInArrow(run, "pair boolean, key string, n long")
+    counts = arrow_map(docs.select("text").where("text is not null"), run, "pair boolean, key string, n long")
     counts = materialise(counts.groupBy("pair", "key").agg(F.sum("n").alias("n")), "usual")
     total = counts.where("pair").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
@@ -449,7 +449,7 @@ def scan(docs: DataFrame, model: SecretModel, path: str | None = "source", thres
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", _path(docs, path))
-    return rows.mapInArrow(run, "doc_id long, start int, length int, secret string, score double")
+    return arrow_map(rows, run, "doc_id long, start int, length int, secret string, score double")
 
 
 def redact(docs: DataFrame, model: SecretModel, path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -467,4 +467,4 @@ def redact(docs: DataFrame, model: SecretModel, path: str | None = "source", thr
 
     names = docs.columns
     fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    return docs.select("*", _path(docs, path).alias(_PATH)).mapInArrow(run, T.StructType(fields))
+    return arrow_map(docs.select("*", _path(docs, path).alias(_PATH)), run, T.StructType(fields))
